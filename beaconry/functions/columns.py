@@ -21,7 +21,7 @@ def double_text(value: Column) -> Column:
     """Shortest decimal text of a double, plain from 1e-4 up to 1e15, else scientific."""
     raw = value.cast("string")
     plain = F.regexp_replace(
-        F.regexp_replace(value.cast("decimal(38,22)").cast("string"),
+        F.regexp_replace(value.try_cast("decimal(38,22)").cast("string"),
                          "0+$", ""), "\\.$", "")
     mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), "\\.0$", "")
     exponent = F.substring_index(raw, "E", -1)
