@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +64,8 @@ def to_analytics_request(events: DataFrame, service: str | None) -> DataFrame:
         F.col("session_id").alias("sessionId"), F.col("correlation_id").alias("correlationId"),
         F.col("node_id").alias("nodeId"), F.col("tenant_id").alias("tenantId"), "environment",
         F.to_json("properties").alias("properties"))
-    grouped = events.groupBy("batch_id").agg(F.array_sort(
-        F.collect_list(F.struct("pos", item.alias("item"))),
-        lambda a, b: a["pos"] - b["pos"]).alias("items"))
+    grouped = events.groupBy("batch_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items"))
     body = F.transform("items", lambda i: i["item"].withField(
         "properties", F.from_json(i["item"]["properties"], "map<string,variant>")))
     return grouped.select("batch_id", F.to_json(F.struct(
@@ -96,18 +97,49 @@ def batch_tenant(events: DataFrame) -> DataFrame:
 
 
 def pack_batches(captured: DataFrame, size: int, mode: str = "cap") -> DataFrame:
-    """Capture documents ``{"batch": [...]}``.
+    """Capture documents ``{"batch": [...]}`` with the number of events in each.
+
+    ``cap``: at most ``size`` events of one request each. The document number comes from the
+    event's position in its request, so no window sorts a whole batch in one task and no group
+    exceeds ``size``.
 
-    ``cap``: at most ``size`` events each. The document number comes from the event's position
-    in its request, so no window sorts a whole batch in one task and no group exceeds ``size``.
-    ``threshold``: what is pending when the threshold is met goes out in one document; requests
-    below it are packed with ``size`` as the cap of nothing but themselves.
+    ``threshold``: whole requests pile up and everything pending goes out once ``size`` is met.
+    Each partition keeps its own pile, as each collector process does, so nothing is shuffled and
+    a task holds less than ``size`` events plus one request.
     """
-    if mode not in ("cap", "threshold"):
+    if mode == "cap":
+        grouped = captured.groupBy("batch_id", F.floor(F.col("pos") / size).alias("doc_no")).agg(
+            F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("events"))
+        joined = F.array_join(F.transform("events", lambda e: e["json"]), ",")
+        return grouped.select(
+            "batch_id", "doc_no", F.size("events").cast("bigint").alias("event_count"),
+            F.concat(F.lit('{"batch":['), joined, F.lit("]}")).alias("document"))
+    if mode != "threshold":
         raise ValueError(f"unknown packing mode: {mode}")
-    number = F.floor(F.col("pos") / size) if mode == "cap" else F.lit(0).cast("bigint")
-    numbered = captured.withColumn("doc_no", number)
-    grouped = numbered.groupBy("batch_id", "doc_no").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("events"))
-    body = F.concat(F.lit('{"batch":['), F.array_join(F.transform("events", lambda e: e["json"]), ","), F.lit("]}"))
-    return grouped.select("batch_id", "doc_no", F.size("events").alias("event_count"), body.alias("document"))
+    schema = "batch_id string, doc_no bigint, event_count bigint, document string"
+    return captured.select("batch_id", "json").mapInArrow(_threshold_packer(size), schema)
+
+
+def _threshold_packer(size: int):
+    def pack(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        pending: list[str] = []
+        last, number = None, 0
+
+        def document() -> Any:
+            return pa.RecordBatch.from_pydict({
+                "batch_id": [last], "doc_no": [number], "event_count": [len(pending)],
+                "document": ['{"batch":[' + ",".join(pending) + "]}"]})
+
+        for batch in batches:
+            for batch_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if batch_id != last and len(pending) >= size:
+                    yield document()
+                    pending, number = [], number + 1
+                pending.append(text)
+                last = batch_id
+        if pending:
+            yield document()
+
+    return pack
