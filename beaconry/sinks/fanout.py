@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,12 @@ class Ledger:
         self.spark, self.path = spark, path
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = fs_path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(fs_path):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def outcomes(self) -> DataFrame:
         return self._read("outcomes", LEDGER)
