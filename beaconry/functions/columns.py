@@ -9,7 +9,7 @@ from beaconry.constants import (
     ERROR_SEVERITY_NUMBER, ERROR_SEVERITY_TEXTS, EXCEPTION_KEYS, EXCEPTION_MESSAGE, EXCEPTION_STACKTRACE,
     EXCEPTION_TYPE, INTERNAL_TENANT, JSON, LEVEL_MIN_SEVERITY, PROTOBUF, SERVICE_NAME, SEVERITY_NAMES,
     TAG_KEY_LENGTH)
-from beaconry.functions.maps import distinct_fold, entry, keep_last, let, present
+from beaconry.functions.maps import distinct_fold, entry, keep_last, let, present, record
 
 
 def payload_format(content_type: Column) -> Column:
@@ -197,10 +197,10 @@ def first_exception(events: Column) -> Column:
 
 def exception_fields(events: Column, fmt: Column | str) -> Column:
     """Type, message and stack trace of the first exception event."""
-    return let(first_exception(events), lambda ev: F.struct(
-        last_attribute(ev["attributes"], EXCEPTION_TYPE, fmt).alias("exception_type"),
-        last_attribute(ev["attributes"], EXCEPTION_MESSAGE, fmt).alias("exception_message"),
-        last_attribute(ev["attributes"], EXCEPTION_STACKTRACE, fmt).alias("stack_trace")))
+    return let(first_exception(events), lambda ev: record(
+        exception_type=last_attribute(ev["attributes"], EXCEPTION_TYPE, fmt),
+        exception_message=last_attribute(ev["attributes"], EXCEPTION_MESSAGE, fmt),
+        stack_trace=last_attribute(ev["attributes"], EXCEPTION_STACKTRACE, fmt)))
 
 
 def is_error_span(status_code: Column, events: Column) -> Column:

@@ -20,9 +20,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def record(**fields: Column) -> Column:
+    """Struct with explicit names: aliases inside lambdas are not kept reliably."""
+    return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
+
+
 def entry(key: Column | str, value: Column) -> Column:
-    key = key if isinstance(key, Column) else F.lit(key)
-    return F.struct(key.alias("key"), value.alias("value"))
+    return record(key=key if isinstance(key, Column) else F.lit(key), value=value)
 
 
 def present(value: Column) -> Column:
@@ -49,7 +53,7 @@ def _keys(es: Column, fold: bool) -> Column:
 
 
 def _bind(es: Column, fold: bool, body: Callable[[Column], Column]) -> Column:
-    keyed = let(es, lambda e: F.struct(e.alias("es"), _keys(e, fold).alias("ks")))
+    keyed = let(es, lambda e: record(es=e, ks=_keys(e, fold)))
     return let(keyed, body)
 
 
@@ -83,7 +87,7 @@ def _fold_existing(es: Column) -> Column:
     """Case-insensitive dictionary load: first spelling of the key, last value."""
 
     def slow(b: Column) -> Column:
-        tail = F.reverse(F.arrays_zip(b["ks"].alias("ks"), b["es"].alias("es")))
+        tail = F.reverse(F.transform(b["es"], lambda e: record(ks=F.lower(e["key"]), es=e)))
         kept = F.filter(b["es"], lambda e, i: F.array_position(b["ks"], F.lower(e["key"])) == i + 1)
         return F.transform(
             kept,
@@ -124,5 +128,5 @@ def distinct_fold(names: Column) -> Column:
         return F.filter(b["es"], lambda n, i: F.array_position(b["ks"], F.lower(n)) == i + 1)
 
     clean = F.filter(names, lambda n: n.isNotNull())
-    keyed = let(clean, lambda e: F.struct(e.alias("es"), F.transform(e, F.lower).alias("ks")))
+    keyed = let(clean, lambda e: record(es=e, ks=F.transform(e, F.lower)))
     return let(keyed, body)

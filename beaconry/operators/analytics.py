@@ -12,6 +12,8 @@ from beaconry.context import CollectorOptions
 from beaconry.functions.columns import distinct_id, filter_map
 from beaconry.functions.maps import VARIANT_ENTRIES, entries, entries_of, entry, merge_last, present, upsert
 
+_JSON_TIME = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSxxx"}
+
 # Context fields of the tag projection, and of the capture properties (no user id).
 TAG_FIELDS = ("node_id", "node_name", "correlation_id", "operation_id", "grid_id", "tenant_id", "user_id",
               "session_id", "environment")
@@ -50,7 +52,7 @@ def capture_events(events: DataFrame, opts: CollectorOptions = CollectorOptions(
     out = events.select(
         *carried, F.col("event_name").alias("event"), event_distinct_id().alias("distinct_id"),
         F.col("ts").alias("timestamp"), capture_properties(opts).alias("properties"))
-    return out.withColumn("json", F.to_json(F.struct("event", "distinct_id", "timestamp", "properties")))
+    return out.withColumn("json", F.to_json(F.struct("event", "distinct_id", "timestamp", "properties"), _JSON_TIME))
 
 
 def to_analytics_request(events: DataFrame, service: str | None) -> DataFrame:
@@ -69,7 +71,7 @@ def to_analytics_request(events: DataFrame, service: str | None) -> DataFrame:
     body = F.transform("items", lambda i: i["item"].withField(
         "properties", F.from_json(i["item"]["properties"], "map<string,variant>")))
     return grouped.select("batch_id", F.to_json(F.struct(
-        body.alias("events"), F.lit(service).cast("string").alias("sourceService"))).alias("request"))
+        body.alias("events"), F.lit(service).cast("string").alias("sourceService")), _JSON_TIME).alias("request"))
 
 
 def with_property(df: DataFrame, key: str, value: Column | str | None) -> DataFrame:

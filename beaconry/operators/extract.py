@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from beaconry.constants import EXCEPTION_MESSAGE, EXCEPTION_STACKTRACE, EXCEPTION_TYPE, JSON
 from beaconry.functions.columns import (
     attrs_map, body_text, exception_fields, is_error_log, is_error_span, last_attribute, nano_ts)
-from beaconry.functions.maps import let, present
+from beaconry.functions.maps import let, present, record
 
 ERROR_SPAN_FIELDS = (
     "span_name", "service_name", "error_message", "exception_type", "exception_message", "stack_trace",
@@ -18,16 +18,12 @@ ERROR_LOG_FIELDS = (
     "exception_type", "exception_message", "stack_trace", "attributes")
 
 
-def _struct(fields: dict[str, Column]) -> Column:
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-
 def _status_message(message: Column, fmt: Column | str, strict: bool) -> Column:
     """A protobuf status message is never null; unless ``strict``, an empty one does not mask."""
-    if strict or fmt == JSON and isinstance(fmt, str):
+    if strict:
         return message
     if isinstance(fmt, str):
-        return F.nullif(message, F.lit(""))
+        return message if fmt == JSON else F.nullif(message, F.lit(""))
     return F.when((fmt != JSON) & (message == ""), F.lit(None)).otherwise(message)
 
 
@@ -36,7 +32,7 @@ def error_span(
     trace_id: Column, span_id: Column, fmt: Column | str, strict: bool = False,
 ) -> Column:
     """Record of one error span."""
-    return let(exception_fields(events, fmt), lambda x: _struct({
+    return let(exception_fields(events, fmt), lambda x: record(**{
         "span_name": F.coalesce(name, F.lit("unknown")),
         "service_name": service,
         "error_message": F.coalesce(_status_message(status_message, fmt, strict), x["exception_message"]),
@@ -66,7 +62,7 @@ def error_log(
 ) -> Column:
     """Record of one error log."""
     message = _log_attribute(attributes, EXCEPTION_MESSAGE, fmt)
-    return _struct({
+    return record(**{
         "message": F.coalesce(body, message),
         "severity_number": F.coalesce(severity, F.lit(0)),
         "severity_text": text,
@@ -91,18 +87,18 @@ def extract_error_spans(spans: DataFrame, strict: bool = False) -> DataFrame:
     """Error spans of a flat span table: a filter and a projection."""
     c, fmt = F.col, F.col("source_format")
     hit = spans.filter(is_error_span(c("status_code"), c("events")))
-    record = error_span(c("service_name"), c("name"), c("status_message"), c("events"), c("attributes"),
+    error = error_span(c("service_name"), c("name"), c("status_message"), c("events"), c("attributes"),
                         c("trace_id"), c("span_id"), fmt, strict)
-    return hit.select(*_carried(spans), record.alias("e")).select(*_carried(spans), "e.*")
+    return hit.select(*_carried(spans), error.alias("e")).select(*_carried(spans), "e.*")
 
 
 def extract_error_logs(logs: DataFrame) -> DataFrame:
     """Error logs of a flat log table: a filter and a projection."""
     c, fmt = F.col, F.col("source_format")
     hit = logs.filter(is_error_log(c("severity_number"), c("severity_text"), c("attributes"), fmt))
-    record = error_log(c("service_name"), c("severity_number"), c("severity_text"), c("body"), c("ts"),
+    error = error_log(c("service_name"), c("severity_number"), c("severity_text"), c("body"), c("ts"),
                        c("attributes"), c("trace_id"), c("span_id"), fmt)
-    return hit.select(*_carried(logs), record.alias("e")).select(*_carried(logs), "e.*")
+    return hit.select(*_carried(logs), error.alias("e")).select(*_carried(logs), "e.*")
 
 
 def span_errors_in(span: Column, fmt: Column | str) -> Column:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import ANALYTICS, ERRORS, LOGS, METRICS, TRACES
 from beaconry.functions.columns import min_severity
-from beaconry.functions.maps import let
+from beaconry.functions.maps import let, record
 from beaconry.operators.stats import max_severity_of
-from beaconry.sources.envelopes import json_branch
+from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.otlp import parse_json
+from beaconry.sources.proto import decode_documents
 
 DELIVERED, SKIPPED = "delivered", "skipped"
 DISABLED, NO_PAYLOAD, BELOW_LEVEL, NO_ENDPOINT = "disabled", "no payload", "below level", "endpoint missing"
@@ -78,17 +79,16 @@ def _decision(c: SinkConfig, has_payload: Column, severity: Column) -> Column:
 def decisions(sinks: Sequence[SinkConfig], signal: Column, has_payload: Column, severity: Column,
               errors: Column) -> Column:
     """Array of (sink, decision, reason) for a row. Error sinks appear only where there are errors."""
-    rows = []
-    for c in sinks:
+
+    def one(c: SinkConfig) -> Column:
         applies = signal == c.signal
         if c.takes == ERROR_EVENTS:
             applies = applies & (errors > 0)
-        rows.append(let(_decision(c, has_payload, severity), lambda reason, c=c, applies=applies: F.when(
-            applies, F.struct(
-                F.lit(c.sink).alias("sink"),
-                F.when(reason.isNull(), DELIVERED).otherwise(SKIPPED).alias("decision"),
-                F.coalesce(reason, F.lit(DELIVERED)).alias("reason")))))
-    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+        return let(_decision(c, has_payload, severity), lambda reason: F.when(applies, record(
+            sink=F.lit(c.sink), decision=F.when(reason.isNull(), DELIVERED).otherwise(SKIPPED),
+            reason=F.coalesce(reason, F.lit(DELIVERED)))))
+
+    return F.filter(F.array(*[one(c) for c in sinks]), lambda r: r.isNotNull())
 
 
 def route(stats: DataFrame, sinks: Sequence[SinkConfig]) -> DataFrame:
@@ -119,3 +119,28 @@ def filter_batches_by_level(envelopes: DataFrame, level: str) -> DataFrame:
         F.col("max_severity") >= min_severity(level))
 
 
+
+
+def routed_payloads(envelopes: DataFrame, signal: str, sinks: Sequence[SinkConfig],
+                    json_only: bool = False) -> DataFrame:
+    """Envelopes with their payload and the ``routes`` of the payload sinks.
+
+    Decided from the row itself: a payload is never joined or shuffled. It is parsed only where a
+    log sink has a minimum level, and then for the severity numbers alone.
+    """
+    wanted = [c for c in sinks if c.signal == signal and c.takes == PAYLOAD]
+    columns = ["batch_id", "received_at", "signal", "content_type", "payload"]
+
+    def decided(df: DataFrame, severity: Column) -> DataFrame:
+        return df.select(*columns, decisions(
+            wanted, F.col("signal"), F.col("payload").isNotNull(), severity, F.lit(0)).alias("routes"))
+
+    if signal != LOGS or not any(c.enabled and c.min_level for c in wanted):
+        return decided(envelopes.filter(F.col("signal") == signal), F.lit(0))
+    parsed = json_branch(envelopes, LOGS).withColumn(
+        "doc", parse_json(F.col("payload"), LOGS, "struct<severityNumber:int>"))
+    routed = decided(parsed, max_severity_of(F.col("doc")))
+    if json_only:
+        return routed
+    binary = decode_documents(proto_branch(envelopes, LOGS), LOGS, ("signal", "content_type", "payload"))
+    return routed.unionByName(decided(binary, max_severity_of(F.col("doc"))))

@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    Only where the cluster names none (local runs, tests) is a temporary folder used, and named to
-    the session for later calls.
+    Only where the cluster names none (local runs, tests) is a temporary folder used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="beaconry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="beaconry-")
+        root = _LOCAL[app]
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

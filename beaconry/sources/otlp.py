@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import JSON, LOGS, METRICS, TRACES
 from beaconry.functions.columns import attrs_map, body_text, nano_ts, service_name
+from beaconry.functions.maps import record
 from beaconry.schemas import HEADER_COLUMNS, TREE, document
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.proto import decode_documents
@@ -134,34 +135,37 @@ _BY_KIND = {
 }
 
 
+_TEMPORAL = ("sum", "histogram", "exponentialHistogram")
+
+
 def _point(field: str, p: Column, metric: Column) -> Column:
     """One data point of any kind in the common layout; what its kind lacks is null."""
-    cols = []
+    cols = {
+        "start_time_unix_nano": p["startTimeUnixNano"], "time_unix_nano": p["timeUnixNano"],
+        "attributes": p["attributes"]}
     for name, (source, kind) in POINT_COLUMNS.items():
-        value = p[source].try_cast(kind) if name in _BY_KIND[field] else F.lit(None).cast(kind)
-        cols.append(value.alias(name))
+        cols[name] = p[source].try_cast(kind) if name in _BY_KIND[field] else F.lit(None).cast(kind)
     for side in ("positive", "negative"):
         for name, source, kind in (("offset", "offset", "int"), ("counts", "bucketCounts", "array<decimal(20,0)>")):
-            value = p[side][source].try_cast(kind) if field == "exponentialHistogram" else F.lit(None).cast(kind)
-            cols.append(value.alias(f"{side}_{name}"))
-    temporal = "aggregationTemporality"
-    cols.append((metric[temporal] if field in ("sum", "histogram", "exponentialHistogram")
-                 else F.lit(None).cast("int")).alias("temporality"))
-    cols.append((metric["isMonotonic"] if field == "sum" else F.lit(None).cast("boolean")).alias("monotonic"))
-    exemplars = F.size(p["exemplars"]) if field != "summary" else F.lit(None).cast("int")
-    cols.append(F.when(exemplars > 0, exemplars).otherwise(0).alias("exemplar_count"))
-    return F.struct(
-        p["startTimeUnixNano"].alias("start_time_unix_nano"), p["timeUnixNano"].alias("time_unix_nano"),
-        p["attributes"].alias("attributes"), *cols)
+            cols[f"{side}_{name}"] = (
+                p[side][source].try_cast(kind) if field == "exponentialHistogram" else F.lit(None).cast(kind))
+    cols["temporality"] = (metric["aggregationTemporality"] if field in _TEMPORAL else F.lit(None).cast("int"))
+    cols["monotonic"] = metric["isMonotonic"] if field == "sum" else F.lit(None).cast("boolean")
+    exemplars = F.size(p["exemplars"]) if field != "summary" else F.lit(0)
+    cols["exemplar_count"] = F.when(exemplars > 0, exemplars).otherwise(0)
+    return record(**cols)
 
 
 def metric_points(metrics: DataFrame) -> DataFrame:
     """One row per data point of every kind, in one pass over the metrics."""
     keep = [c for c in metrics.columns if c not in METRIC_KINDS]
+
+    def points(field: str) -> Column:
+        return F.transform(F.col(field)["dataPoints"], lambda p: _point(field, p, F.col(field)))
+
     per_kind = F.lit(None)
     for field, label in METRIC_KINDS.items():
-        points = F.transform(F.col(field)["dataPoints"], lambda p, f=field: _point(f, p, F.col(f)))
-        per_kind = F.when(F.col("kind") == label, points).otherwise(per_kind)
+        per_kind = F.when(F.col("kind") == label, points(field)).otherwise(per_kind)
     exploded = metrics.select(*keep, F.posexplode(per_kind).alias("point_pos", "p"))
     return exploded.select(
         *keep, "point_pos", "p.*",

@@ -8,7 +8,7 @@ batch-wise with ``mapInArrow``: one narrow pass per partition, no shuffle.
 from __future__ import annotations
 
 from functools import lru_cache
-from typing import Any, Iterator
+from typing import Any, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,10 +132,14 @@ def _reader(spark_type: T.DataType, descriptor: Any, field_name: str = "") -> An
     return lambda v: v
 
 
-def decode_documents(envelopes: DataFrame, signal: str) -> DataFrame:
-    """Decode protobuf payloads; an undecodable one keeps its row with a null ``doc``."""
-    keep = [c for c in HEADER_COLUMNS if c in envelopes.columns] + ["payload_bytes"]
-    narrow = envelopes.withColumn("payload_bytes", F.octet_length("payload")).select(*keep, "payload")
+def decode_documents(envelopes: DataFrame, signal: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Decode protobuf payloads; an undecodable one keeps its row with a null ``doc``.
+
+    ``carry`` names further columns to pass through, ``payload`` among them if it is still wanted.
+    """
+    keep = [c for c in HEADER_COLUMNS if c in envelopes.columns] + ["payload_bytes", *carry]
+    read_only = [] if "payload" in carry else ["payload"]
+    narrow = envelopes.withColumn("payload_bytes", F.octet_length("payload")).select(*keep, *read_only)
     doc_type = T.DataType.fromDDL(document(signal))
     out = T.StructType([narrow.schema[c] for c in keep] + [T.StructField("doc", doc_type)])
     root = ROOT[signal]

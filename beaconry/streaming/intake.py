@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from beaconry.constants import ANALYTICS, ERRORS, LOGS, METRICS, TRACES
 from beaconry.context import CollectorOptions, Context
 from beaconry.operators.analytics import pack_batches
-from beaconry.operators.routing import SinkConfig, default_sinks, delivered_to
+from beaconry.operators.routing import SinkConfig, default_sinks, delivered_to, routed_payloads
 from beaconry.plans.process import (
     Processed, process_analytics, process_errors, process_logs, process_metrics, process_traces)
 from beaconry.sinks.base import Sink
@@ -22,19 +22,17 @@ PROCESS = {
 }
 
 
-def sink_views(envelopes: DataFrame, done: Processed, opts: CollectorOptions) -> Mapping[str, Callable[[str], DataFrame]]:
+def sink_views(envelopes: DataFrame, done: Processed, configs: Sequence[SinkConfig],
+               json_only: bool = False) -> Mapping[str, Callable[[str], DataFrame]]:
     """What a sink may ask for: routed payloads, error events, capture documents or batch rows."""
 
     def payload(sink: str) -> DataFrame:
-        ids = delivered_to(done.stats, sink).select("batch_id")
-        mine = envelopes.filter(envelopes["signal"] == done.signal)
-        return mine.join(ids, "batch_id", "left_semi").select(
-            "batch_id", "received_at", "signal", "content_type", "payload")
+        return delivered_to(routed_payloads(envelopes, done.signal, configs, json_only), sink).drop("routes")
 
     return {
         "payload": payload,
         "error_events": lambda _sink: done.deliveries(),
-        "documents": lambda _sink: pack_batches(done.captured, opts.pack_size, "threshold"),
+        "documents": lambda _sink: pack_batches(done.captured, done.opts.pack_size, "threshold"),
         "batches": lambda sink: delivered_to(done.stats, sink),
     }
 
@@ -43,12 +41,13 @@ def run_batch(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], ledger:
               ctx: Context = Context(), opts: CollectorOptions = CollectorOptions(),
               configs: Sequence[SinkConfig] | None = None, audit_sink: Sink | None = None,
               table: str | None = None, **kwargs: Any) -> Processed:
-    """Process one batch of envelopes and deliver it. The payload's own routing is decided once."""
+    """Process one batch of envelopes, deliver it, then publish its audit events."""
     configs = default_sinks(opts.min_level) if configs is None else configs
     if signal in (TRACES, METRICS, LOGS):
         kwargs = {"table": table, **kwargs}
     done = PROCESS[signal](envelopes, ctx, opts, configs, **kwargs)
-    outcomes = fan_out(sink_views(envelopes, done, opts), sinks, epoch, ledger)
+    outcomes = fan_out(
+        sink_views(envelopes, done, configs, kwargs.get("json_only", False)), sinks, epoch, ledger)
     audit = done.audit(failed_sinks(outcomes))
     if audit is not None and audit_sink is not None:
         publish_audit(audit, audit_sink, epoch, ledger)
