@@ -20,6 +20,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def nonempty(array: Column) -> Column:
+    """The array, or null if it has no element: the form to hand to ``explode``.
+
+    Exploding a plain column makes the optimizer filter on the column's size first, and that
+    filter moves below the projection that computes the column, which is then computed twice.
+    """
+    return F.when(F.size(array) > 0, array)
+
+
 def record(**fields: Column) -> Column:
     """Struct with explicit names: aliases inside lambdas are not kept reliably."""
     return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])

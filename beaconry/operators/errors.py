@@ -11,7 +11,7 @@ from beaconry.constants import (
     EXCEPTION_MESSAGE, EXCEPTION_STACKTRACE, EXCEPTION_TYPE, KEYS, SEVERITY_ERROR, TENANT_ID, TagKeys)
 from beaconry.context import CollectorOptions, Context
 from beaconry.functions.columns import backend_level, is_deliverable, sampled, severity_level, tag_key
-from beaconry.functions.maps import entries, entries_of, entry, merge_last, upsert
+from beaconry.functions.maps import entries, entries_of, entry, merge_last, nonempty, upsert
 from beaconry.operators.enrich import enrich_errors
 
 EVENT_COLUMNS = (
@@ -32,7 +32,7 @@ def _extra(record: Column) -> Column:
 def explode_errors(profile: DataFrame) -> DataFrame:
     """Error records of batch profiles, one row each, with their batch's attribution."""
     return profile.select(
-        "batch_id", "received_at", "source_name", "batch_tenant", F.posexplode("errors").alias("pos", "e"))
+        "batch_id", "received_at", "source_name", "batch_tenant", F.posexplode(nonempty(F.col("errors"))).alias("pos", "e"))
 
 
 def _none() -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import ANALYTICS, ERRORS, LOGS, METRICS, TRACES
 from beaconry.functions.columns import min_severity
-from beaconry.functions.maps import let, record
+from beaconry.functions.maps import let, nonempty, record
 from beaconry.operators.stats import max_severity_of
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.otlp import parse_json
@@ -99,7 +99,7 @@ def route(stats: DataFrame, sinks: Sequence[SinkConfig]) -> DataFrame:
 
 def route_decisions(routed: DataFrame) -> DataFrame:
     """One row per batch and sink with the decision and its reason."""
-    return routed.select("batch_id", "signal", F.explode("routes").alias("r")).select("batch_id", "signal", "r.*")
+    return routed.select("batch_id", "signal", F.explode(nonempty(F.col("routes"))).alias("r")).select("batch_id", "signal", "r.*")
 
 
 def delivered_to(routed: DataFrame, sink: str) -> DataFrame:

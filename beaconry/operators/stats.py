@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from beaconry.constants import BYTES_PER_ITEM, JSON, LOGS, METRICS, PROTOBUF, TRACES
 from beaconry.functions.columns import service_name, service_names
 from beaconry.operators.extract import log_errors_in, log_record, span_errors_in, span_record
-from beaconry.schemas import HEADER_COLUMNS, TREE
+from beaconry.schemas import HEADER_COLUMNS, METRIC_BODIES, METRIC_SIZES, TREE
 from beaconry.sources.envelopes import estimated_items, is_json_object, json_branch
 from beaconry.sources.otlp import decode_proto, parse_json
 
@@ -40,11 +40,7 @@ def point_count(doc: Column) -> Column:
     """Exact number of data points of a metrics document."""
 
     def of_metric(m: Column) -> Column:
-        kinds = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
-        total = _long()
-        for k in kinds:
-            total = total + F.coalesce(F.array_size(m[k]["dataPoints"]), F.lit(0)).cast("bigint")
-        return total
+        return F.coalesce(*[F.array_size(m[k]["dataPoints"]) for k in METRIC_BODIES], F.lit(0)).cast("bigint")
 
     return sum_items(doc, METRICS, lambda ms: F.aggregate(ms, _long(), lambda a, m: a + of_metric(m)))
 
@@ -124,12 +120,9 @@ def count_logs(envelopes: DataFrame) -> DataFrame:
 
 def count_metrics(envelopes: DataFrame) -> DataFrame:
     """Metrics per batch, the 1:1 point estimate and the exact number of points."""
-    points = "struct<dataPoints:array<struct<flags:int>>>"
-    item = ("struct<" + ",".join(
-        f"{k}:{points}" for k in ("gauge", "sum", "histogram", "exponentialHistogram", "summary")) + ">")
-    return _parsed(envelopes, METRICS, item).select(
-        "batch_id", _json_count(METRICS).alias("item_count"),
-        _json_count(METRICS).alias("estimated_points"), point_count(F.col("doc")).alias("exact_points"))
+    return _parsed(envelopes, METRICS, METRIC_SIZES).select(
+        "batch_id", _json_count(METRICS).alias("item_count"), point_count(F.col("doc")).alias("exact_points")).select(
+        "batch_id", "item_count", F.col("item_count").alias("estimated_points"), "exact_points")
 
 
 def estimate_items(envelopes: DataFrame) -> DataFrame:
@@ -174,8 +167,7 @@ def profile_batches(envelopes: DataFrame, signal: str, strict: bool = False, exa
     payload is parsed once however many of those are wanted. ``exact_proto=False`` keeps the
     size estimate for protobuf batches.
     """
-    j = _profile(_parsed(envelopes, signal), signal, JSON, _json_count(signal),
-                 F.when(_malformed(signal), "estimated").otherwise("exact"), strict)
+    j = profile_json(envelopes, signal, strict)
     decoded = decode_proto(envelopes, signal)
     readable = F.col("doc").isNotNull() & F.lit(exact_proto)
     per = estimated_from_size(F.col("payload_bytes"), signal)
@@ -186,7 +178,8 @@ def profile_batches(envelopes: DataFrame, signal: str, strict: bool = False, exa
 
 def profile_json(envelopes: DataFrame, signal: str, strict: bool = False) -> DataFrame:
     """``profile_batches`` for input known to hold JSON only: no Python worker in the plan."""
-    return _profile(_parsed(envelopes, signal), signal, JSON, _json_count(signal),
+    parsed = _parsed(envelopes, signal, METRIC_SIZES if signal == METRICS else None)
+    return _profile(parsed, signal, JSON, _json_count(signal),
                     F.when(_malformed(signal), "estimated").otherwise("exact"), strict)
 
 

@@ -24,7 +24,8 @@ _STORED: dict[str, str] = {}
 def store(spark: SparkSession, sf_dir: str, path: str) -> str:
     """Write every JSON envelope of a data folder once, for runs that time the operators alone."""
     parts = [build(spark, sf_dir, s) for s in (LOGS, TRACES, METRICS, ANALYTICS, ERRORS)]
-    reduce(DataFrame.unionByName, parts).write.mode("overwrite").partitionBy("signal").parquet(path)
+    rows = reduce(DataFrame.unionByName, parts).repartition(16, "batch_id")
+    rows.write.mode("overwrite").partitionBy("signal").parquet(path)
     _STORED[sf_dir] = path
     return path
 

@@ -248,7 +248,7 @@ def p3(spark: SparkSession, d: str) -> DataFrame:
   stack AS stack_trace, trace_id, span_id, 4 + (k % 10 = 0)::int AS attribute_count, cast(k AS varchar) AS k_text,
   big AS big_text FROM sp WHERE is_error"""))
 def p4(spark: SparkSession, d: str) -> DataFrame:
-    return extract_error_spans(_spans(spark, d)).select(
+    return extract_error_spans(_spans(spark, d), fmt="json").select(
         "batch_id", "span_name", "service_name", "error_message", "exception_type", "exception_message", "stack_trace",
         "trace_id", "span_id", F.size("attributes").alias("attribute_count"), F.col("attributes")["k"].alias("k_text"),
         F.col("attributes")["big"].alias("big_text"))
@@ -258,7 +258,7 @@ def p4(spark: SparkSession, d: str) -> DataFrame:
   ms AS ts_ms, svc AS service_name, trace_id, span_id, exc_type AS exception_type, exc_msg AS exception_message,
   5 + has_exc::int + has_msg::int AS attribute_count, 'last' AS dup FROM log WHERE json_error"""))
 def p5(spark: SparkSession, d: str) -> DataFrame:
-    return extract_error_logs(_logs(spark, d)).select(
+    return extract_error_logs(_logs(spark, d), fmt="json").select(
         "batch_id", "message", "severity_number", "severity_text", ms("ts").alias("ts_ms"), "service_name", "trace_id",
         "span_id", "exception_type", "exception_message", F.size("attributes").alias("attribute_count"),
         F.col("attributes")["dup"].alias("dup"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from beaconry.plans.shipping import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +19,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name`` with its oracle SQL."""
 
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = oracle
         return fn

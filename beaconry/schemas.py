@@ -28,29 +28,27 @@ EXEMPLAR = (
     f"struct<filteredAttributes:{ATTRIBUTES},timeUnixNano:string,asDouble:double,asInt:string,"
     "spanId:string,traceId:string>"
 )
-_POINT = f"attributes:{ATTRIBUTES},startTimeUnixNano:string,timeUnixNano:string"
-NUMBER_POINT = f"struct<{_POINT},asDouble:double,asInt:string,exemplars:array<{EXEMPLAR}>,flags:int>"
-HISTOGRAM_POINT = (
-    f"struct<{_POINT},count:string,sum:double,bucketCounts:array<string>,explicitBounds:array<double>,"
-    f"exemplars:array<{EXEMPLAR}>,flags:int,min:double,max:double>"
-)
 _BUCKETS = "struct<offset:int,bucketCounts:array<string>>"
-EXPONENTIAL_POINT = (
-    f"struct<{_POINT},count:string,sum:double,scale:int,zeroCount:string,positive:{_BUCKETS},"
-    f"negative:{_BUCKETS},flags:int,exemplars:array<{EXEMPLAR}>,min:double,max:double,zeroThreshold:double>"
-)
-SUMMARY_POINT = (
-    f"struct<{_POINT},count:string,sum:double,quantileValues:array<struct<quantile:double,value:double>>,"
-    "flags:int>"
+# One layout for the points of every metric kind: their field names do not clash, so a point is
+# read in its final shape and kinds need no conversion into each other.
+POINT = (
+    f"struct<attributes:{ATTRIBUTES},startTimeUnixNano:string,timeUnixNano:string,asDouble:double,asInt:string,"
+    "count:string,sum:double,min:double,max:double,bucketCounts:array<string>,explicitBounds:array<double>,"
+    f"scale:int,zeroCount:string,positive:{_BUCKETS},negative:{_BUCKETS},zeroThreshold:double,"
+    f"quantileValues:array<struct<quantile:double,value:double>>,exemplars:array<{EXEMPLAR}>,flags:int>"
 )
 METRIC = (
     "struct<name:string,description:string,unit:string,"
-    f"gauge:struct<dataPoints:array<{NUMBER_POINT}>>,"
-    f"sum:struct<dataPoints:array<{NUMBER_POINT}>,aggregationTemporality:int,isMonotonic:boolean>,"
-    f"histogram:struct<dataPoints:array<{HISTOGRAM_POINT}>,aggregationTemporality:int>,"
-    f"exponentialHistogram:struct<dataPoints:array<{EXPONENTIAL_POINT}>,aggregationTemporality:int>,"
-    f"summary:struct<dataPoints:array<{SUMMARY_POINT}>>>"
+    f"gauge:struct<dataPoints:array<{POINT}>>,"
+    f"sum:struct<dataPoints:array<{POINT}>,aggregationTemporality:int,isMonotonic:boolean>,"
+    f"histogram:struct<dataPoints:array<{POINT}>,aggregationTemporality:int>,"
+    f"exponentialHistogram:struct<dataPoints:array<{POINT}>,aggregationTemporality:int>,"
+    f"summary:struct<dataPoints:array<{POINT}>>>"
 )
+METRIC_BODIES = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
+# What counting needs of a metric.
+METRIC_SIZES = "struct<" + ",".join(
+    f"{k}:struct<dataPoints:array<struct<flags:int>>>" for k in METRIC_BODIES) + ">"
 LOG_RECORD = (
     "struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,"
     f"body:{ANY_VALUE},attributes:{ATTRIBUTES},flags:int,traceId:string,spanId:string>"

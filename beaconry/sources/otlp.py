@@ -1,23 +1,32 @@
 """OTLP documents to flat tables.
 
 A payload is parsed once into a ``doc`` column; ``payload`` itself never travels through an
-``explode``. Flattening is a chain of generators, so it needs no shuffle: service name and
-resource attributes are computed once per resource, before the items fan out.
+``explode``. Flattening is a generator, so it needs no shuffle.
 """
 
 from __future__ import annotations
 
+from typing import Callable, Union
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.constants import JSON, LOGS, METRICS, TRACES
+from beaconry.constants import JSON, LOGS, METRICS, PROTOBUF, TRACES
 from beaconry.functions.columns import attrs_map, body_text, nano_ts, service_name
-from beaconry.functions.maps import record
+from beaconry.functions.maps import let, nonempty, record
 from beaconry.schemas import HEADER_COLUMNS, TREE, document
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.proto import decode_documents
 
 
+Format = Union[str, None]
+
+
+def format_of(fmt: Format) -> Column | str:
+    """A format known when the plan is built, else the row's own."""
+    return F.col("source_format") if fmt is None else fmt
+
+
 def parse_json(payload: Column, signal: str, item: str | None = None) -> Column:
     return F.from_json(payload.cast("string"), document(signal, item))
 
@@ -34,28 +43,37 @@ def decode_proto(envelopes: DataFrame, signal: str) -> DataFrame:
     return decode_documents(proto_branch(envelopes, signal), signal)
 
 
-def flatten(decoded: DataFrame, signal: str) -> DataFrame:
-    """One row per item, with its batch, resource, scope and position."""
+def flatten(decoded: DataFrame, signal: str, fmt: Format = None) -> DataFrame:
+    """One row per item, with its batch, resource, scope and position.
+
+    The tree is lined up inside the row and fans out in a single generator, so nested arrays are
+    not copied level by level; names and attributes of a resource are worked out once for it.
+    """
     resources, scopes, items = TREE[signal]
     keep = [c for c in decoded.columns if c != "doc"]
-    fmt = F.col("source_format")
-    r = decoded.select(*keep, F.posexplode(f"doc.{resources}").alias("resource_pos", "r"))
-    s = r.select(
-        *keep, "resource_pos", service_name(F.col("r.resource"), fmt).alias("service_name"),
-        attrs_map(F.col("r.resource.attributes"), fmt).alias("resource_attrs"),
-        F.posexplode(f"r.{scopes}").alias("scope_pos", "s"))
-    return s.select(
-        *keep, "resource_pos", "scope_pos", "service_name", "resource_attrs",
-        F.col("s.scope.name").alias("scope_name"), F.posexplode(f"s.{items}").alias("item_pos", "x"))
+    fmt = format_of(fmt)
+
+    def lined(array: Column, each: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(F.coalesce(array, F.array()), each)
+
+    def of_resource(r: Column, i: Column) -> Column:
+        shared = record(name=service_name(r["resource"], fmt), attrs=attrs_map(r["resource"]["attributes"], fmt))
+        return let(shared, lambda about: F.flatten(lined(r[scopes], lambda s, j: lined(
+            s[items], lambda x, k: record(
+                resource_pos=i, scope_pos=j, item_pos=k, service_name=about["name"], resource_attrs=about["attrs"],
+                scope_name=s["scope"]["name"], x=x)))))
+
+    every = F.flatten(lined(F.col("doc")[resources], of_resource))
+    return decoded.select(*keep, F.explode(every).alias("e")).select(*keep, "e.*")
 
 
 def _common(flat: DataFrame) -> list[str]:
     return [c for c in flat.columns if c != "x"]
 
 
-def flatten_spans(decoded: DataFrame) -> DataFrame:
-    flat, x = flatten(decoded, TRACES), F.col("x")
-    arrival, fmt = F.col("received_at"), F.col("source_format")
+def flatten_spans(decoded: DataFrame, fmt: Format = None) -> DataFrame:
+    flat, x = flatten(decoded, TRACES, fmt), F.col("x")
+    arrival, fmt = F.col("received_at"), format_of(fmt)
     return flat.select(
         *_common(flat), x["traceId"].alias("trace_id"), x["spanId"].alias("span_id"),
         x["parentSpanId"].alias("parent_span_id"), x["name"].alias("name"), x["kind"].alias("kind"),
@@ -65,18 +83,18 @@ def flatten_spans(decoded: DataFrame) -> DataFrame:
         x["attributes"].alias("attributes"), x["events"].alias("events"), x["links"].alias("links"))
 
 
-def flatten_logs(decoded: DataFrame) -> DataFrame:
-    flat, x = flatten(decoded, LOGS), F.col("x")
+def flatten_logs(decoded: DataFrame, fmt: Format = None) -> DataFrame:
+    flat, x = flatten(decoded, LOGS, fmt), F.col("x")
     return flat.select(
         *_common(flat), x["timeUnixNano"].alias("time_unix_nano"),
-        nano_ts(x["timeUnixNano"], F.col("received_at"), F.col("source_format")).alias("ts"),
+        nano_ts(x["timeUnixNano"], F.col("received_at"), format_of(fmt)).alias("ts"),
         F.coalesce(x["severityNumber"], F.lit(0)).alias("severity_number"),
         x["severityText"].alias("severity_text"), body_text(x["body"]).alias("body"),
         x["traceId"].alias("trace_id"), x["spanId"].alias("span_id"), x["attributes"].alias("attributes"))
 
 
-def flatten_metrics(decoded: DataFrame) -> DataFrame:
-    flat, x = flatten(decoded, METRICS), F.col("x")
+def flatten_metrics(decoded: DataFrame, fmt: Format = None) -> DataFrame:
+    flat, x = flatten(decoded, METRICS, fmt), F.col("x")
     kind = F.coalesce(*[F.when(x[f].isNotNull(), k) for f, k in METRIC_KINDS.items()])
     return flat.select(
         *_common(flat), x["name"].alias("name"), x["description"].alias("description"),
@@ -94,81 +112,57 @@ METRIC_KINDS = {
 
 
 def decode_spans(envelopes: DataFrame) -> DataFrame:
-    return flatten_spans(decode_json(envelopes, TRACES))
+    return flatten_spans(decode_json(envelopes, TRACES), JSON)
 
 
 def decode_metrics(envelopes: DataFrame) -> DataFrame:
-    return flatten_metrics(decode_json(envelopes, METRICS))
+    return flatten_metrics(decode_json(envelopes, METRICS), JSON)
 
 
 def decode_logs(envelopes: DataFrame) -> DataFrame:
-    return flatten_logs(decode_json(envelopes, LOGS))
+    return flatten_logs(decode_json(envelopes, LOGS), JSON)
 
 
 def decode_spans_proto(envelopes: DataFrame) -> DataFrame:
-    return flatten_spans(decode_proto(envelopes, TRACES))
+    return flatten_spans(decode_proto(envelopes, TRACES), PROTOBUF)
 
 
 def decode_metrics_proto(envelopes: DataFrame) -> DataFrame:
-    return flatten_metrics(decode_proto(envelopes, METRICS))
+    return flatten_metrics(decode_proto(envelopes, METRICS), PROTOBUF)
 
 
 def decode_logs_proto(envelopes: DataFrame) -> DataFrame:
-    return flatten_logs(decode_proto(envelopes, LOGS))
+    return flatten_logs(decode_proto(envelopes, LOGS), PROTOBUF)
 
 
+# Point column -> (document field, type).
 POINT_COLUMNS = {
-    "as_double": ("asDouble", "double"), "as_int": ("asInt", "bigint"),
-    "count": ("count", "decimal(20,0)"), "sum": ("sum", "double"), "min": ("min", "double"), "max": ("max", "double"),
-    "bucket_counts": ("bucketCounts", "array<decimal(20,0)>"), "explicit_bounds": ("explicitBounds", "array<double>"),
-    "scale": ("scale", "int"), "zero_count": ("zeroCount", "decimal(20,0)"),
-    "zero_threshold": ("zeroThreshold", "double"),
-    "quantile_values": ("quantileValues", "array<struct<quantile:double,value:double>>"),
-    "flags": ("flags", "int"),
+    "start_time_unix_nano": ("startTimeUnixNano", None), "time_unix_nano": ("timeUnixNano", None),
+    "attributes": ("attributes", None), "as_double": ("asDouble", None), "as_int": ("asInt", "bigint"),
+    "count": ("count", "decimal(20,0)"), "sum": ("sum", None), "min": ("min", None), "max": ("max", None),
+    "bucket_counts": ("bucketCounts", "array<decimal(20,0)>"), "explicit_bounds": ("explicitBounds", None),
+    "scale": ("scale", None), "zero_count": ("zeroCount", "decimal(20,0)"), "zero_threshold": ("zeroThreshold", None),
+    "quantile_values": ("quantileValues", None), "exemplars": ("exemplars", None), "flags": ("flags", None),
 }
-_BY_KIND = {
-    "gauge": ("as_double", "as_int", "flags"),
-    "sum": ("as_double", "as_int", "flags"),
-    "histogram": ("count", "sum", "min", "max", "bucket_counts", "explicit_bounds", "flags"),
-    "exponentialHistogram": ("count", "sum", "min", "max", "scale", "zero_count", "zero_threshold", "flags"),
-    "summary": ("count", "sum", "quantile_values", "flags"),
-}
-
-
-_TEMPORAL = ("sum", "histogram", "exponentialHistogram")
-
-
-def _point(field: str, p: Column, metric: Column) -> Column:
-    """One data point of any kind in the common layout; what its kind lacks is null."""
-    cols = {
-        "start_time_unix_nano": p["startTimeUnixNano"], "time_unix_nano": p["timeUnixNano"],
-        "attributes": p["attributes"]}
-    for name, (source, kind) in POINT_COLUMNS.items():
-        cols[name] = p[source].try_cast(kind) if name in _BY_KIND[field] else F.lit(None).cast(kind)
-    for side in ("positive", "negative"):
-        for name, source, kind in (("offset", "offset", "int"), ("counts", "bucketCounts", "array<decimal(20,0)>")):
-            cols[f"{side}_{name}"] = (
-                p[side][source].try_cast(kind) if field == "exponentialHistogram" else F.lit(None).cast(kind))
-    cols["temporality"] = (metric["aggregationTemporality"] if field in _TEMPORAL else F.lit(None).cast("int"))
-    cols["monotonic"] = metric["isMonotonic"] if field == "sum" else F.lit(None).cast("boolean")
-    exemplars = F.size(p["exemplars"]) if field != "summary" else F.lit(0)
-    cols["exemplar_count"] = F.when(exemplars > 0, exemplars).otherwise(0)
-    return record(**cols)
+_BUCKET_COLUMNS = {"offset": ("offset", None), "counts": ("bucketCounts", "array<decimal(20,0)>")}
 
 
 def metric_points(metrics: DataFrame) -> DataFrame:
-    """One row per data point of every kind, in one pass over the metrics."""
+    """One row per data point of every kind, in one pass: the kinds share one point layout."""
     keep = [c for c in metrics.columns if c not in METRIC_KINDS]
-
-    def points(field: str) -> Column:
-        return F.transform(F.col(field)["dataPoints"], lambda p: _point(field, p, F.col(field)))
-
-    per_kind = F.lit(None)
-    for field, label in METRIC_KINDS.items():
-        per_kind = F.when(F.col("kind") == label, points(field)).otherwise(per_kind)
-    exploded = metrics.select(*keep, F.posexplode(per_kind).alias("point_pos", "p"))
+    temporality = F.coalesce(*[F.col(f)["aggregationTemporality"] for f in ("sum", "histogram", "exponentialHistogram")])
+    points = F.coalesce(*[F.col(f)["dataPoints"] for f in METRIC_KINDS])
+    exploded = metrics.select(
+        *keep, temporality.alias("temporality"), F.col("sum")["isMonotonic"].alias("monotonic"),
+        F.posexplode(nonempty(points)).alias("point_pos", "p"))
+    p = F.col("p")
+
+    def value(struct: Column, field: str, kind: str | None) -> Column:
+        return struct[field] if kind is None else struct[field].try_cast(kind)
+
+    columns = [value(p, field, kind).alias(name) for name, (field, kind) in POINT_COLUMNS.items()]
+    columns += [value(p[side], field, kind).alias(f"{side}_{name}")
+                for side in ("positive", "negative") for name, (field, kind) in _BUCKET_COLUMNS.items()]
     return exploded.select(
-        *keep, "point_pos", "p.*",
-        nano_ts(F.col("p.time_unix_nano"), F.col("received_at"), F.col("source_format")).alias("ts"))
-
-
+        *keep, "temporality", "monotonic", "point_pos", *columns,
+        nano_ts(p["timeUnixNano"], F.col("received_at"), F.col("source_format")).alias("ts"))

@@ -116,7 +116,9 @@ def _reader(spark_type: T.DataType, descriptor: Any, field_name: str = "") -> An
     if isinstance(spark_type, T.StructType):
         members = []
         for f in spark_type.fields:
-            d = descriptor.fields_by_name[_snake(f.name)]
+            d = descriptor.fields_by_name.get(_snake(f.name))
+            if d is None:  # a field of another point kind
+                continue
             members.append((f.name, d.name, d.has_presence, _reader(f.dataType, d.message_type, d.name)))
 
         def read(message: Any) -> dict:
@@ -150,8 +152,7 @@ def decode_documents(envelopes: DataFrame, signal: str, carry: Sequence[str] = (
         from pyspark.sql.pandas.types import to_arrow_type
 
         message = message_classes()[root]
-        own = T.StructType([f for f in doc_type.fields if _snake(f.name) in message.DESCRIPTOR.fields_by_name])
-        read, arrow_type = _reader(own, message.DESCRIPTOR), to_arrow_type(doc_type)
+        read, arrow_type = _reader(doc_type, message.DESCRIPTOR), to_arrow_type(doc_type)
 
         def one(payload: bytes | None) -> dict | None:
             if not payload:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beaconry.constants import ANALYTICS, ERRORS, SEVERITY_ERROR, SEVERITY_NAMES, TENANT_ID
-from beaconry.functions.maps import present, upsert
+from beaconry.functions.maps import nonempty, present, upsert
 from beaconry.schemas import ANALYTICS_REQUEST, ERROR_REPORT
 from beaconry.sources.envelopes import header_tenant, is_json_object
 
@@ -60,7 +60,7 @@ def read_analytics(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
         "batch_id", "received_at", "header_tenant",
         F.coalesce("doc.sourceService", "header_source").alias("source_name"),
         F.coalesce("doc.sourceNodeId", "header_node_id").alias("source_node_id"),
-        F.posexplode("doc.events").alias("pos", "e"))
+        F.posexplode(nonempty(F.col("doc.events"))).alias("pos", "e"))
     e = F.col("e")
     missing = F.lit(None).cast("string")
     events = exploded.select(
