@@ -226,7 +226,7 @@ def is_error_log(severity: Column, text: Column, attributes: Column, fmt: Column
 
 def is_safe_tenant(tenant: Column) -> Column:
     """26 Crockford base-32 characters and not the all-zero internal tenant."""
-    pattern = "^[0-9A-HJKMNP-TV-Za-hjkmnp-tv-z]{26}$"
+    pattern = r"\A[0-9A-HJKMNP-TV-Za-hjkmnp-tv-z]{26}\z"
     return F.coalesce(tenant.rlike(pattern) & (tenant != INTERNAL_TENANT), F.lit(False))
 
 

@@ -88,8 +88,6 @@ def job_metrics(jobs: DataFrame, bounds: Sequence[float]) -> tuple[DataFrame, Da
 
 def job_events(jobs: DataFrame, prefix: str) -> DataFrame:
     """One analytics event per completed job."""
-
-
     done = jobs.filter(F.col("status") == "success")
     properties = F.map_from_entries(F.array(
         F.struct(F.lit("job_id").alias("key"), F.col("job_id").cast("variant").alias("value")),

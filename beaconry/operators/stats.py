@@ -142,7 +142,8 @@ def max_severity(envelopes: DataFrame) -> DataFrame:
         "batch_id", max_severity_of(F.col("doc")).alias("max_severity"))
 
 
-def _profile(decoded: DataFrame, signal: str, fmt: str, count: Column, method: Column, strict: bool) -> DataFrame:
+def _profile(decoded: DataFrame, signal: str, fmt: str, count: Column, method: Column, strict: bool,
+             records: bool) -> DataFrame:
     keep = [c for c in HEADER_COLUMNS if c in decoded.columns]
     doc = F.col("doc")
     cols = [
@@ -153,39 +154,37 @@ def _profile(decoded: DataFrame, signal: str, fmt: str, count: Column, method: C
         (max_severity_of(doc) if signal == LOGS else F.lit(0)).alias("max_severity"),
         service_names(doc, fmt).alias("service_names"),
     ]
-    if signal in _ERROR:
-        cols.append(error_records(doc, signal, fmt, F.col("received_at"), strict).alias("errors"))
-    out = decoded.select(*cols)
-    n = F.size("errors").cast("bigint") if signal in _ERROR else _long()
-    return out.withColumn("error_count", n)
+    if signal not in _ERROR or not records:
+        return decoded.select(*cols, error_count(doc, signal, fmt).alias("error_count"))
+    out = decoded.select(*cols, error_records(doc, signal, fmt, F.col("received_at"), strict).alias("errors"))
+    return out.withColumn("error_count", F.coalesce(F.size("errors"), F.lit(0)).cast("bigint"))
 
 
-def profile_batches(envelopes: DataFrame, signal: str, strict: bool = False, exact_proto: bool = True) -> DataFrame:
+def profile_batches(envelopes: DataFrame, signal: str, strict: bool = False, exact_proto: bool = True,
+                    records: bool = True) -> DataFrame:
     """One row per batch with all its statistics and, for traces and logs, its error records.
 
     Everything downstream (routing, audit, counters, error events) reads this narrow table, so a
     payload is parsed once however many of those are wanted. ``exact_proto=False`` keeps the
-    size estimate for protobuf batches.
+    size estimate for protobuf batches; ``records=False`` counts errors without building them.
     """
-    j = profile_json(envelopes, signal, strict)
+    j = profile_json(envelopes, signal, strict, records)
     decoded = decode_proto(envelopes, signal)
     readable = F.col("doc").isNotNull() & F.lit(exact_proto)
     per = estimated_from_size(F.col("payload_bytes"), signal)
     p = _profile(decoded, signal, PROTOBUF, F.when(readable, item_count(F.col("doc"), signal)).otherwise(per),
-                 F.when(readable, "exact").otherwise("estimated"), strict)
+                 F.when(readable, "exact").otherwise("estimated"), strict, records)
     return j.unionByName(p)
 
 
-def profile_json(envelopes: DataFrame, signal: str, strict: bool = False) -> DataFrame:
+def profile_json(envelopes: DataFrame, signal: str, strict: bool = False, records: bool = True) -> DataFrame:
     """``profile_batches`` for input known to hold JSON only: no Python worker in the plan."""
     parsed = _parsed(envelopes, signal, METRIC_SIZES if signal == METRICS else None)
     return _profile(parsed, signal, JSON, _json_count(signal),
-                    F.when(_malformed(signal), "estimated").otherwise("exact"), strict)
+                    F.when(_malformed(signal), "estimated").otherwise("exact"), strict, records)
 
 
 def estimated_from_size(size: Column, signal: str) -> Column:
-
-
     return F.when(F.coalesce(size, F.lit(0)) == 0, _long()).otherwise(
         F.greatest(_long(1), F.floor(size / BYTES_PER_ITEM[signal])))
 

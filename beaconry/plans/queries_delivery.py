@@ -60,8 +60,8 @@ def rsql(body: str) -> str:
 def _stats(spark: SparkSession, d: str) -> DataFrame:
     """Attributed and routed statistics of the three OTLP signals."""
     def one(signal: str) -> DataFrame:
-        stats = attribute_batches(profile_json(fx.envelopes(spark, d, signal), signal))
-        return route(stats.drop("errors"), SINKS)
+        stats = attribute_batches(profile_json(fx.envelopes(spark, d, signal), signal, records=False))
+        return route(stats, SINKS)
 
     return one(LOGS).unionByName(one(TRACES)).unionByName(one(METRICS))
 
@@ -359,7 +359,7 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
   sum(ms) AS sum, min(ms) AS min, max(ms) AS max FROM (
     SELECT hd.*, (hd.batch_no * 37) % 311 AS ms FROM hd) GROUP BY ALL"""))
 def g11(spark: SparkSession, d: str) -> DataFrame:
-    stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS))
+    stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS, records=False))
     n = F.substring("batch_id", 2, 8).cast("bigint")
     return duration_histogram(stats.withColumn("processing_duration_ms", n * 37 % 311), (10, 50, 200))
 

@@ -128,7 +128,7 @@ _META = values(("service.name", "source_name", "true"), (KEY("environment"), "'p
 
 @query("d6_ingestion_metadata", sql(f"SELECT batch_id, m.key, m.value FROM hd, LATERAL {_META} m"))
 def d6(spark: SparkSession, d: str) -> DataFrame:
-    stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS))
+    stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS, records=False))
     even = F.substring("batch_id", 2, 8).cast("int") % 2 == 0
     ctx = Context("corr-ctx", F.when(even, F.col("batch_id")).otherwise(""), F.col("source_node_id"), "")
     return ingestion_metadata(stats, ctx, OPTS).select("batch_id", F.explode("metadata").alias("key", "value"))
@@ -213,7 +213,7 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
   FROM hd, (VALUES ('logs'), ('traces'), ('metrics')) s(signal)"""))
 def d11(spark: SparkSession, d: str) -> DataFrame:
     def one(signal: str) -> DataFrame:
-        return attribute_batches(profile_json(fx.envelopes(spark, d, signal), signal)).select(
+        return attribute_batches(profile_json(fx.envelopes(spark, d, signal), signal, records=False)).select(
             "batch_id", "signal", "source_name", "source_node_id", "batch_tenant")
 
     return one(LOGS).unionByName(one(TRACES)).unionByName(one(METRICS))

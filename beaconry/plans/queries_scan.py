@@ -319,7 +319,7 @@ def g6(spark: SparkSession, d: str) -> DataFrame:
   count(DISTINCT lower(svc)) FROM ev GROUP BY batch_id"""))
 def g7(spark: SparkSession, d: str) -> DataFrame:
     def one(signal: str) -> DataFrame:
-        stats = batch_stats(profile_json(fx.envelopes(spark, d, signal), signal))
+        stats = batch_stats(profile_json(fx.envelopes(spark, d, signal), signal, records=False))
         return stats.select("batch_id", "signal", "item_count", "data_point_count", "error_count", "max_severity",
                             F.size("service_names").alias("service_count"))
 
