@@ -55,23 +55,24 @@ def capture_events(events: DataFrame, opts: CollectorOptions = CollectorOptions(
     return out.withColumn("json", F.to_json(F.struct("event", "distinct_id", "timestamp", "properties"), _JSON_TIME))
 
 
-def to_analytics_request(events: DataFrame, service: str | None) -> DataFrame:
-    """Events back to request documents, one per batch; operation, node name and grid are dropped.
+def to_analytics_request(events: DataFrame, service: str | None, max_events: int = 1000) -> DataFrame:
+    """Events back to request documents; operation, node name and grid are dropped.
 
-    A batch arrived as one request, which bounds the group that is put together again.
+    One request per batch, or several numbered parts of at most ``max_events``: the part follows
+    from the event's position, so no group grows with the batch.
     """
     item = F.struct(
         F.col("event_name").alias("eventName"), F.col("ts").alias("timestamp"),
         F.col("distinct_id").alias("distinctId"), F.col("user_id").alias("userId"),
         F.col("session_id").alias("sessionId"), F.col("correlation_id").alias("correlationId"),
-        F.col("node_id").alias("nodeId"), F.col("tenant_id").alias("tenantId"), "environment",
-        F.to_json("properties").alias("properties"))
-    grouped = events.groupBy("batch_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items"))
-    body = F.transform("items", lambda i: i["item"].withField(
-        "properties", F.from_json(i["item"]["properties"], "map<string,variant>")))
-    return grouped.select("batch_id", F.to_json(F.struct(
-        body.alias("events"), F.lit(service).cast("string").alias("sourceService")), _JSON_TIME).alias("request"))
+        F.col("node_id").alias("nodeId"), F.col("tenant_id").alias("tenantId"), "environment", "properties")
+    texts = events.select(
+        "batch_id", F.floor(F.col("pos") / max_events).alias("part"), "pos", F.to_json(item, _JSON_TIME).alias("item"))
+    grouped = texts.groupBy("batch_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("items"))
+    listed = F.array_join(F.transform("items", lambda i: i["item"]), ",")
+    source = F.to_json(F.struct(F.lit(service).cast("string").alias("sourceService")))
+    tail = F.when(F.length(source) > 2, F.concat(F.lit(","), F.substring(source, F.lit(2), F.length(source)))).otherwise("}")
+    return grouped.select("batch_id", "part", F.concat(F.lit('{"events":['), listed, F.lit("]"), tail).alias("request"))
 
 
 def with_property(df: DataFrame, key: str, value: Column | str | None) -> DataFrame:
@@ -98,7 +99,7 @@ def batch_tenant(events: DataFrame) -> DataFrame:
     return agg.select("batch_id", F.when(F.col("lo") == F.col("hi"), F.col("first")).alias("batch_tenant"))
 
 
-def pack_batches(captured: DataFrame, size: int, mode: str = "cap") -> DataFrame:
+def pack_batches(captured: DataFrame, size: int, mode: str = "cap", limit: int = 10_000) -> DataFrame:
     """Capture documents ``{"batch": [...]}`` with the number of events in each.
 
     ``cap``: at most ``size`` events of one request each. The document number comes from the
@@ -106,8 +107,9 @@ def pack_batches(captured: DataFrame, size: int, mode: str = "cap") -> DataFrame
     exceeds ``size``.
 
     ``threshold``: whole requests pile up and everything pending goes out once ``size`` is met.
-    Each partition keeps its own pile, as each collector process does, so nothing is shuffled and
-    a task holds less than ``size`` events plus one request.
+    Each partition keeps its own pile, as each collector process does, so nothing is shuffled. A
+    request of more than ``limit`` events goes out in several documents, so that a task never
+    holds more than that.
     """
     if mode == "cap":
         grouped = captured.groupBy("batch_id", F.floor(F.col("pos") / size).alias("doc_no")).agg(
@@ -119,10 +121,10 @@ def pack_batches(captured: DataFrame, size: int, mode: str = "cap") -> DataFrame
     if mode != "threshold":
         raise ValueError(f"unknown packing mode: {mode}")
     schema = "batch_id string, doc_no bigint, event_count bigint, document string"
-    return captured.select("batch_id", "json").mapInArrow(_threshold_packer(size), schema)
+    return captured.select("batch_id", "json").mapInArrow(_threshold_packer(size, max(size, limit)), schema)
 
 
-def _threshold_packer(size: int):
+def _threshold_packer(size: int, limit: int):
     def pack(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
@@ -136,7 +138,7 @@ def _threshold_packer(size: int):
 
         for batch in batches:
             for batch_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if batch_id != last and len(pending) >= size:
+                if len(pending) >= limit or batch_id != last and len(pending) >= size:
                     yield document()
                     pending, number = [], number + 1
                 pending.append(text)

@@ -113,12 +113,11 @@ def filter_batches_by_level(envelopes: DataFrame, level: str) -> DataFrame:
     The severity is computed from the row's own payload, so no statistics are joined in and the
     payload is never shuffled.
     """
-    mine = json_branch(envelopes, LOGS)
     doc = parse_json(F.col("payload"), LOGS, "struct<severityNumber:int>")
-    return mine.withColumn("max_severity", max_severity_of(doc)).filter(
-        F.col("max_severity") >= min_severity(level))
-
-
+    mine = json_branch(envelopes, LOGS).withColumn("severity", max_severity_of(doc))
+    # A generator instead of a filter keeps it at one parse: a filter would repeat the column below it.
+    reached = F.when(F.col("severity") >= min_severity(level), F.array("severity"))
+    return mine.select(*envelopes.columns, F.explode(reached).alias("max_severity"))
 
 
 def routed_payloads(envelopes: DataFrame, signal: str, sinks: Sequence[SinkConfig],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import ANALYTICS, ERRORS, KEYS, LOGS, METRICS, TRACES
 from beaconry.context import CollectorOptions, Context, ServiceOptions
-from beaconry.functions.maps import entries, merge_last
+from beaconry.functions.maps import entries, merge_last, nonempty
 from beaconry.operators.enrich import (
     attribute_batches, enrich_errors, enrich_events, enrich_properties, enrich_resource, enrich_span,
     ingestion_metadata, set_span_tags, stamp_resource, with_context)
@@ -43,7 +43,7 @@ def _maps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows(df: DataFrame, column: str = "m") -> DataFrame:
-    return df.select("event_id", F.explode(column).alias("key", "value"))
+    return df.select("event_id", F.explode(nonempty(F.col(column))).alias("key", "value"))
 
 
 def _own(*extra: tuple[str, str, str]) -> str:
@@ -106,7 +106,7 @@ def d4(spark: SparkSession, d: str) -> DataFrame:
     return enrich_errors(reports, F.col("source_name"), CTX, OPTS).select(
         "batch_id", "environment", "correlation_id", "operation_id", "node_id",
         F.try_variant_get(extra[KEYS.ingested_at], "$", "bigint").alias("ingested_at"),
-        F.try_variant_get(extra["cents"], "$", "bigint").alias("cents"), F.explode("tags").alias("key", "value"))
+        F.try_variant_get(extra["cents"], "$", "bigint").alias("cents"), F.explode(nonempty(F.col("tags"))).alias("key", "value"))
 
 
 @query("d5_enrich_events", sql("""SELECT batch_id, pos, an_source AS node_name, coalesce(environment, 'prod') AS environment,
@@ -131,7 +131,7 @@ def d6(spark: SparkSession, d: str) -> DataFrame:
     stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS, records=False))
     even = F.substring("batch_id", 2, 8).cast("int") % 2 == 0
     ctx = Context("corr-ctx", F.when(even, F.col("batch_id")).otherwise(""), F.col("source_node_id"), "")
-    return ingestion_metadata(stats, ctx, OPTS).select("batch_id", F.explode("metadata").alias("key", "value"))
+    return ingestion_metadata(stats, ctx, OPTS).select("batch_id", F.explode(nonempty(F.col("metadata"))).alias("key", "value"))
 
 
 @query("d8_with_context", sql("""SELECT event_id, kind, coalesce(c, 'x-corr') AS correlation_id, o AS operation_id,
@@ -206,7 +206,7 @@ _STAMP = values(("host.name", "'host-' || svc", "true"), ("Service.Name", "svc",
 def d10(spark: SparkSession, d: str) -> DataFrame:
     spans = otlp.decode_spans(fx.envelopes(spark, d, TRACES))
     stamped = stamp_resource(spans, ServiceOptions("collector", "acme", "2.0", "i-1", "prod"))
-    return stamped.select("span_id", F.explode("resource_attrs").alias("key", "value"))
+    return stamped.select("span_id", F.explode(nonempty(F.col("resource_attrs"))).alias("key", "value"))
 
 
 @query("d11_attribute_batches", sql("""SELECT batch_id, signal, source_name, header_node_id AS source_node_id, batch_tenant
@@ -238,7 +238,7 @@ def r1(spark: SparkSession, d: str) -> DataFrame:
     return span_errors_to_events(explode_errors(stats), CTX, OPTS).select(
         "batch_id", "source_name", "message", "severity", "correlation_id", "operation_id", "node_id", "environment",
         text(extra["exception.type"]).alias("exception_type"), text(extra["exception.stacktrace"]).alias("stack"),
-        F.try_variant_get(extra[KEYS.ingested_at], "$", "bigint").alias("ingested_at"), F.explode("tags").alias("key", "value"))
+        F.try_variant_get(extra[KEYS.ingested_at], "$", "bigint").alias("ingested_at"), F.explode(nonempty(F.col("tags"))).alias("key", "value"))
 
 
 _LOG_TAGS = values(
@@ -261,4 +261,4 @@ def r2(spark: SparkSession, d: str) -> DataFrame:
     return log_errors_to_events(explode_errors(stats), CTX, OPTS).select(
         "batch_id", "source_name", "message", "severity", F.unix_millis("ts").alias("ts_ms"), "correlation_id",
         "operation_id", "node_id", "environment", text(extra["exception.type"]).alias("exception_type"),
-        text(extra["exception.message"]).alias("exception_message"), F.explode("tags").alias("key", "value"))
+        text(extra["exception.message"]).alias("exception_message"), F.explode(nonempty(F.col("tags"))).alias("key", "value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from beaconry.constants import ANALYTICS, ERRORS, LOGS, METRICS, TRACES
 from beaconry.functions.columns import (
     exception_fields, is_error_log, is_error_span, payload_format, service_name)
+from beaconry.functions.maps import nonempty
 from beaconry.operators.extract import extract_error_logs, extract_error_spans
 from beaconry.operators.stats import (
     batch_service_names, batch_stats, count_logs, count_metrics, count_spans, estimate_items, max_severity,
@@ -211,7 +212,7 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
 @query("c6_service_name", sql("SELECT DISTINCT batch_id, svc AS service_name FROM ev"))
 def c6(spark: SparkSession, d: str) -> DataFrame:
     decoded = otlp.decode_json(fx.envelopes(spark, d, LOGS), LOGS)
-    return decoded.select("batch_id", F.explode("doc.resourceLogs").alias("r")).select(
+    return decoded.select("batch_id", F.explode(nonempty(F.col("doc.resourceLogs"))).alias("r")).select(
         "batch_id", service_name(F.col("r.resource"), "json").alias("service_name"))
 
 

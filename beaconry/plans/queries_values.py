@@ -10,6 +10,7 @@ from beaconry.context import CollectorOptions
 from beaconry.functions.columns import (
     any_value_text, attrs_map, backend_level, event_name, hex_id, is_deliverable, is_safe_tenant, meter_name,
     min_severity, nano_ts, severity_level, severity_name, source_name, tag_key, valid_resource)
+from beaconry.functions.maps import nonempty
 from beaconry.operators.analytics import (
     batch_tenant, capture_events, capture_properties, event_distinct_id, filter_properties, pack_batches, tag_map,
     to_analytics_request, with_field, with_property)
@@ -137,7 +138,7 @@ def c11(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _map_rows(df: DataFrame, m: Column) -> DataFrame:
-    return df.select("batch_id", F.col("pos").cast("bigint").alias("pos"), F.explode(m).alias("key", "v")).select(
+    return df.select("batch_id", F.col("pos").cast("bigint").alias("pos"), F.explode(nonempty(m)).alias("key", "v")).select(
         "batch_id", "pos", "key", text(F.col("v")).alias("value"))
 
 
@@ -220,7 +221,7 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tag_rows(df: DataFrame) -> DataFrame:
-    return df.select("batch_id", F.explode("tags").alias("key", "value"))
+    return df.select("batch_id", F.explode(nonempty(F.col("tags"))).alias("key", "value"))
 
 
 @query("c17_with_tag", sql(f"""SELECT report_id AS batch_id, m.key, m.value FROM er, LATERAL {values(
@@ -245,7 +246,7 @@ def c18(spark: SparkSession, d: str) -> DataFrame:
 def c19(spark: SparkSession, d: str) -> DataFrame:
     return error_delivery(_reports(spark, d)).select(
         "batch_id", "user", F.try_variant_get(F.col("extra")["cents"], "$", "bigint").alias("cents"), "level",
-        F.explode("tags").alias("key", "value"))
+        F.explode(nonempty(F.col("tags"))).alias("key", "value"))
 
 
 @query("p7_filter_properties", sql(f"""SELECT batch_id, pos, m.key, m.value FROM an, LATERAL {values(*_OWN[1:2], *_OWN[3:])} m"""))

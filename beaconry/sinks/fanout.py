@@ -19,40 +19,45 @@ FAILED_BATCHES = "epoch bigint, sink string, batch_id string, error string"
 
 
 class Ledger:
-    """Append-only record of (epoch, sink) outcomes, and of single batches that failed.
+    """Record of (epoch, sink) outcomes, and of single batches that failed.
 
-    It grows by one row per sink and micro-batch; a rerun of an epoch skips what was delivered.
+    Both tables are partitioned by epoch and sink: recording again replaces, a rerun of an epoch
+    skips what was delivered, and looking up an epoch reads that epoch alone, however old the
+    stream is.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, table: str, schema: str, epoch: int) -> DataFrame:
+        root = f"{self.path}/{table}"
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(schema).option("basePath", root).parquet(f"{root}/epoch={epoch}")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def outcomes(self) -> DataFrame:
-        return self._read("outcomes", LEDGER)
+    def _write(self, table: str, epoch: int, sink: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/epoch={epoch}/sink={sink}")
 
-    def failed_batches(self) -> DataFrame:
-        return self._read("failed_batches", FAILED_BATCHES)
+    def outcomes(self, epoch: int) -> DataFrame:
+        return self._read("outcomes", LEDGER, epoch)
+
+    def failed_batches(self, epoch: int) -> DataFrame:
+        return self._read("failed_batches", FAILED_BATCHES, epoch)
 
     def delivered(self, epoch: int) -> set[str]:
         """Sinks already served in an epoch: at most one row per sink."""
-        done = self.outcomes().filter((F.col("epoch") == epoch) & F.col("ok")).select("sink").distinct()
-        return {r["sink"] for r in done.collect()}
+        return {r["sink"] for r in self.outcomes(epoch).filter("ok").select("sink").collect()}
 
     def record(self, epoch: int, sink: str, outcome: Attempted) -> None:
-        row = [(epoch, sink, outcome.ok, outcome.attempts, outcome.error)]
-        self.spark.createDataFrame(row, LEDGER).coalesce(1).write.mode("append").parquet(f"{self.path}/outcomes")
+        row = [(outcome.ok, outcome.attempts, outcome.error)]
+        self._write("outcomes", epoch, sink,
+                    self.spark.createDataFrame(row, "ok boolean, attempts int, error string").coalesce(1))
 
     def record_batches(self, epoch: int, sink: str, failed: DataFrame) -> None:
-        failed.select(F.lit(epoch).cast("bigint").alias("epoch"), F.lit(sink).alias("sink"), "batch_id", "error").write.mode(
-            "append").parquet(f"{self.path}/failed_batches")
+        self._write("failed_batches", epoch, sink, failed.select("batch_id", "error"))
 
 
 def fan_out(views: Mapping[str, Callable[[str], DataFrame]], sinks: Iterable[Sink], epoch: int,
@@ -88,9 +93,8 @@ def sink_delivery(decisions: DataFrame, ledger: Ledger, epoch: int) -> DataFrame
     are joined by key.
     """
     mine = decisions.filter(F.col("decision") == DELIVERED).select("batch_id", "signal", "sink")
-    whole = ledger.outcomes().filter(F.col("epoch") == epoch).drop("epoch").dropDuplicates(["sink"])
-    single = ledger.failed_batches().filter(F.col("epoch") == epoch).select(
-        "sink", "batch_id", F.col("error").alias("batch_error"))
+    whole = ledger.outcomes(epoch).drop("epoch")
+    single = ledger.failed_batches(epoch).select("sink", "batch_id", F.col("error").alias("batch_error"))
     return (mine.join(F.broadcast(whole), "sink").join(single, ["sink", "batch_id"], "left").select(
         "batch_id", "signal", "sink", (F.col("ok") & F.col("batch_error").isNull()).alias("ok"), "attempts",
         F.coalesce("batch_error", "error").alias("error")))
