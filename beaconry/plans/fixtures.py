@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconry.constants import ANALYTICS, ERRORS, INTERNAL_TENANT, LOGS, METRICS, TRACES
+from beaconry.sources.envelopes import read_envelopes, store_envelopes
 from beaconry.sources.proto import ROOT, message_classes
 
 BATCH_SIZE = 4
@@ -25,7 +26,7 @@ def store(spark: SparkSession, sf_dir: str, path: str) -> str:
     """Write every JSON envelope of a data folder once, for runs that time the operators alone."""
     parts = [build(spark, sf_dir, s) for s in (LOGS, TRACES, METRICS, ANALYTICS, ERRORS)]
     rows = reduce(DataFrame.unionByName, parts).repartition(16, "batch_id")
-    rows.write.mode("overwrite").partitionBy("signal").parquet(path)
+    store_envelopes(rows, path, "overwrite")
     _STORED[sf_dir] = path
     return path
 
@@ -369,9 +370,7 @@ def build(spark: SparkSession, sf_dir: str, signal: str, broken: bool = False) -
 def envelopes(spark: SparkSession, sf_dir: str, signal: str, broken: bool = False) -> DataFrame:
     """JSON envelopes of one signal: built, or read back where ``store`` wrote them."""
     if sf_dir in _STORED and not broken:
-        from beaconry.sources.envelopes import read_envelopes
-
-        return read_envelopes(spark, _STORED[sf_dir]).filter(F.col("signal") == signal)
+        return read_envelopes(spark, _STORED[sf_dir], partitioned=True).filter(F.col("signal") == signal)
     return build(spark, sf_dir, signal, broken)
 
 

@@ -24,6 +24,7 @@ from beaconry.plans.sql import safe, sql
 from beaconry.sinks.base import callable_sink, table_sink
 from beaconry.sinks.fanout import Ledger, fan_out, publish_audit, sink_delivery, write_payloads
 from beaconry.sinks.retry import Rejected, analytics_policy
+from beaconry.sources.envelopes import stream_envelopes
 from beaconry.streaming.intake import flush_stream, process_stream, run_batch, sink_views
 
 CTX = Context("corr-ctx", "op-ctx", "node-ctx", "tenant-ctx", "grid-env")
@@ -225,12 +226,10 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(failure)
 
 
-@query("r12_flush_stream", sql("SELECT event_type AS event, count(*) AS events, sum(k) AS k_sum FROM an GROUP BY event_type"))
+@query("r12_flush_stream", sql("SELECT event_type AS event, count(*) AS events, cast(sum(k) AS bigint) AS k_sum FROM an GROUP BY event_type"))
 def r12(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark)
     fx.envelopes(spark, d, ANALYTICS).write.parquet(f"{path}/in")
-    from beaconry.sources.envelopes import stream_envelopes
-
     run = flush_stream(stream_envelopes(spark, f"{path}/in", 2), table_sink("product_analytics", f"{path}/out", "documents"),
                        f"{path}/ledger", f"{path}/checkpoint", size=100, interval=None)
     run.awaitTermination()
@@ -275,8 +274,6 @@ def r14_logs(spark: SparkSession, d: str) -> DataFrame:
 @query("r14_process_logs_stream", _audit_sql("logs", "sig.n", "0", "sig JOIN hd USING (batch_id) WHERE signal = 'logs'"))
 def r14_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same processing as a stream of several micro-batches, audit events read back from their topic."""
-    from beaconry.sources.envelopes import stream_envelopes
-
     path = shared_folder(spark)
     fx.envelopes(spark, d, LOGS).repartition(4).write.parquet(f"{path}/in")
     run = process_stream(
@@ -305,7 +302,7 @@ def r14_errors(spark: SparkSession, d: str) -> DataFrame:
                                     tags["tenant_id"].alias("tenant_tag"), "environment")
 
 
-@query("r15_custom_sink", rsql("""SELECT batch_id, sum(n) AS items, sum(errors) AS errors FROM sig
+@query("r15_custom_sink", rsql("""SELECT batch_id, cast(sum(n) AS bigint) AS items, cast(sum(errors) AS bigint) AS errors FROM sig
   WHERE signal = 'logs' GROUP BY batch_id"""))
 def r15(spark: SparkSession, d: str) -> DataFrame:
     """A user's own sink: any callable that takes a DataFrame."""
@@ -324,10 +321,10 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
 _SAFE = safe("batch_tenant")
 
 
-@query("g8_ingest_counters", rsql(f"""SELECT signal || '_ingested' AS metric, source_name, {_SAFE} AS tenant_id, sum(sig.n) AS value
+@query("g8_ingest_counters", rsql(f"""SELECT signal || '_ingested' AS metric, source_name, {_SAFE} AS tenant_id, cast(sum(sig.n) AS bigint) AS value
   FROM sig JOIN hd USING (batch_id) GROUP BY ALL UNION ALL
   SELECT 'analytics_events_ingested', coalesce(CASE WHEN batch_no % 3 = 0 THEN 'app-' || (batch_no % 5) END, header_source),
-  {safe('t')} AS tenant_id, sum(n) FROM (SELECT hd.batch_no, any_value(header_source) AS header_source, any_value(n) AS n,
+  {safe('t')} AS tenant_id, cast(sum(n) AS bigint) FROM (SELECT hd.batch_no, any_value(header_source) AS header_source, any_value(n) AS n,
     coalesce(any_value(batch_tenant), CASE WHEN count(DISTINCT lower(tenant)) = 1 THEN min(tenant) END) AS t
     FROM hd JOIN ev USING (batch_id) GROUP BY hd.batch_no) GROUP BY ALL"""))
 def g8(spark: SparkSession, d: str) -> DataFrame:
@@ -356,7 +353,7 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g11_duration_histogram", rsql(f"""SELECT source_name, {_SAFE} AS tenant_id,
   CASE WHEN ms <= 10 THEN 0 WHEN ms <= 50 THEN 1 WHEN ms <= 200 THEN 2 ELSE 3 END AS bucket, count(*) AS value,
-  sum(ms) AS sum, min(ms) AS min, max(ms) AS max FROM (
+  cast(sum(ms) AS bigint) AS sum, min(ms) AS min, max(ms) AS max FROM (
     SELECT hd.*, (hd.batch_no * 37) % 311 AS ms FROM hd) GROUP BY ALL"""))
 def g11(spark: SparkSession, d: str) -> DataFrame:
     stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS, records=False))
@@ -373,7 +370,7 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r16_job_metrics", sql(f"""SELECT status, CASE WHEN ms <= 100 THEN 0 WHEN ms <= 250 THEN 1 ELSE 2 END AS bucket,
-  count(*) AS value, sum(ms) AS sum, min(ms) AS min, max(ms) AS max FROM {_JOBS} GROUP BY ALL UNION ALL
+  count(*) AS value, cast(sum(ms) AS bigint) AS sum, min(ms) AS min, max(ms) AS max FROM {_JOBS} GROUP BY ALL UNION ALL
   SELECT status, NULL, count(*), NULL, NULL, NULL FROM {_JOBS} GROUP BY status"""))
 def r16(spark: SparkSession, d: str) -> DataFrame:
     processed, durations = job_metrics(_jobs(spark, d), (100, 250))

@@ -89,9 +89,9 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
 
 _POINTS = sql("""SELECT batch_id, svc AS service_name, m.name, arg_max(ms, event_id) AS point_ms,
   CASE WHEN m.name = 'events.total' THEN count(*) END AS as_int,
-  CASE WHEN m.name = 'value.last' THEN round(arg_max(value, event_id), 2) END AS as_double,
+  CASE WHEN m.name = 'value.last' THEN arg_max(value, event_id) END AS as_double,
   CASE WHEN m.name = 'value.dist' THEN count(*) END AS point_count,
-  CASE WHEN m.name = 'value.dist' THEN round(sum(value), 2) END AS point_sum,
+  CASE WHEN m.name = 'value.dist' THEN cast(round(sum(value) * 100) AS bigint) END AS point_sum_cents,
   CASE WHEN m.name = 'value.dist' THEN min(value) END AS point_min,
   CASE WHEN m.name = 'value.dist' THEN max(value) END AS point_max,
   CASE WHEN m.name = 'value.dist' THEN count_if(value <= 50) END AS b0,
@@ -106,8 +106,8 @@ _POINTS = sql("""SELECT batch_id, svc AS service_name, m.name, arg_max(ms, event
 def _point_rows(points: DataFrame) -> DataFrame:
     return points.select(
         "batch_id", "service_name", "name", ms("ts").alias("point_ms"), "as_int",
-        F.round("as_double", 2).alias("as_double"), F.col("count").cast("bigint").alias("point_count"),
-        F.round("sum", 2).alias("point_sum"), F.col("min").alias("point_min"), F.col("max").alias("point_max"),
+        "as_double", F.col("count").cast("bigint").alias("point_count"),
+        F.round(F.col("sum") * 100).cast("bigint").alias("point_sum_cents"), F.col("min").alias("point_min"), F.col("max").alias("point_max"),
         *[F.get("bucket_counts", F.lit(i)).cast("bigint").alias(f"b{i}") for i in range(4)], "temporality", "monotonic")
 
 

@@ -299,7 +299,7 @@ def d7(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r13_pack_batches", sql("""SELECT batch_id, pos // 3 AS doc_no, count(*) AS event_count,
-  string_agg(event_type, ',' ORDER BY pos) AS events, sum(k) AS k_sum FROM an GROUP BY batch_id, pos // 3"""))
+  string_agg(event_type, ',' ORDER BY pos) AS events, cast(sum(k) AS bigint) AS k_sum FROM an GROUP BY batch_id, pos // 3"""))
 def r13(spark: SparkSession, d: str) -> DataFrame:
     packed = pack_batches(capture_events(_events(spark, d)), 3)
     parsed = F.from_json("document", "struct<batch:array<struct<event:string,properties:struct<k:int>>>>")["batch"]
@@ -308,7 +308,7 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
         F.aggregate("b.properties.k", F.lit(0), lambda a, v: a + v).alias("k_sum"))
 
 
-@query("r13_pack_batches_threshold", sql("SELECT batch_id, count(*) AS events, sum(k) AS k_sum FROM an GROUP BY batch_id"))
+@query("r13_pack_batches_threshold", sql("SELECT batch_id, count(*) AS events, cast(sum(k) AS bigint) AS k_sum FROM an GROUP BY batch_id"))
 def r13_threshold(spark: SparkSession, d: str) -> DataFrame:
     """Which document a request lands in depends on the partitioning; that each is whole does not."""
     captured = capture_events(with_property(_events(spark, d), "batch", F.col("batch_id")))

@@ -1,6 +1,7 @@
 """Registered queries against their SQL. A quick selection by default, all with ``ALL_QUERIES=1``."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -61,3 +62,23 @@ def test_parse_happens_once_and_nothing_shuffles(spark, tmp_path):
             assert plan.count("from_json(StructField") == 1
             assert "Exchange" not in plan and "Arrow" not in plan
             assert "PushedFilters: [IsNotNull(signal), EqualTo(signal," in plan
+
+
+def test_formats_are_pruned_at_the_scan(spark, tmp_path, capsys):
+    """Stored by format, neither decoder reads the other's payloads."""
+    from beaconry.constants import LOGS
+    from beaconry.operators.stats import profile_batches
+    from beaconry.plans import fixtures as fx
+    from beaconry.sources.envelopes import read_envelopes, store_envelopes
+
+    path = str(tmp_path / "env")
+    both = fx.build(spark, SF, LOGS).unionByName(fx.proto_envelopes(spark, SF, LOGS))
+    store_envelopes(both, path)
+    stats = profile_batches(read_envelopes(spark, path, partitioned=True), LOGS)
+    stats.explain("formatted")
+    plan = capsys.readouterr().out
+    for fmt in ("json", "protobuf"):
+        assert re.search(rf"PartitionFilters: \[.*source_format#\d+ = {fmt}\)", plan)
+    assert "Exchange" not in plan
+    rows = stats.groupBy("source_format").agg({"item_count": "sum", "max_severity": "max"}).collect()
+    assert len(rows) == 2 and rows[0][1:] == rows[1][1:]
