@@ -51,7 +51,7 @@ STATUS_SUCCESS, STATUS_PARTIAL, STATUS_FAILED, STATUS_SKIPPED = (
     "Success", "PartialSuccess", "Failed", "Skipped")
 CONTRACT_VERSION = 1
 
-# Counter names and processing error types.
+# Processing error types; metric names below the collector's prefix.
 PROCESSING_ERROR_TYPES = {
     TRACES: "trace_processing",
     METRICS: "metric_processing",
@@ -61,11 +61,14 @@ PROCESSING_ERROR_TYPES = {
 }
 TRANSPORT_PUBLISH = "transport_publish"
 INGEST_METRICS = {
-    TRACES: "traces_ingested",
-    METRICS: "metrics_ingested",
-    LOGS: "logs_ingested",
-    ANALYTICS: "analytics_events_ingested",
+    TRACES: "traces.ingested",
+    METRICS: "metrics.ingested",
+    LOGS: "logs.ingested",
+    ANALYTICS: "analytics_events.ingested",
 }
+ERRORS_METRIC = "errors"
+FORWARDED_METRIC = "errors.forwarded"
+DURATION_METRIC = "processing.duration"
 
 
 @dataclass(frozen=True)
@@ -79,6 +82,9 @@ class TagKeys:
         """``tenant_id`` is written bare; every other id carries the namespace."""
         return TENANT_ID if name == TENANT_ID else f"{self.namespace}.{name}"
 
+    def metric(self, name: str) -> str:
+        return f"{self.collector}.{name}"
+
     @property
     def ingested_at(self) -> str:
         return f"{self.collector}.ingested_at"

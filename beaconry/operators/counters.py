@@ -11,14 +11,15 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.constants import INGEST_METRICS, PROCESSING_ERROR_TYPES
+from beaconry.constants import (
+    ERRORS_METRIC, FORWARDED_METRIC, INGEST_METRICS, KEYS, PROCESSING_ERROR_TYPES, TagKeys)
 from beaconry.functions.columns import event_name, safe_tenant
 
 
-def metric_name(signal: Column) -> Column:
+def metric_name(signal: Column, keys: TagKeys = KEYS) -> Column:
     out = F.lit(None).cast("string")
     for name, metric in INGEST_METRICS.items():
-        out = F.when(signal == name, F.lit(metric)).otherwise(out)
+        out = F.when(signal == name, F.lit(keys.metric(metric))).otherwise(out)
     return out
 
 
@@ -34,9 +35,9 @@ def _tags(source: str | None, tenant: str) -> list[Column]:
     return tags + [safe_tenant(F.col(tenant)).alias("tenant_id")]
 
 
-def ingest_counters(stats: DataFrame) -> DataFrame:
+def ingest_counters(stats: DataFrame, keys: TagKeys = KEYS) -> DataFrame:
     """Items ingested per signal, source and safe tenant."""
-    named = stats.select(metric_name(F.col("signal")).alias("metric"), *_tags("source_name", "batch_tenant"), "item_count")
+    named = stats.select(metric_name(F.col("signal"), keys).alias("metric"), *_tags("source_name", "batch_tenant"), "item_count")
     return named.filter(F.col("metric").isNotNull()).groupBy("metric", "source_name", "tenant_id").agg(
         F.sum("item_count").alias("value"))
 
@@ -53,6 +54,18 @@ def forwarded_counters(events: DataFrame, tenant: str = "batch_tenant") -> DataF
         F.count("*").alias("value"))
 
 
+def collector_metrics(ingested: DataFrame, errors: DataFrame, forwarded: DataFrame,
+                      keys: TagKeys = KEYS) -> DataFrame:
+    """The counters in one long table (``metric, source_name, tenant_id, error_type, value``)."""
+    named = [ingested,
+             errors.withColumn("metric", F.lit(keys.metric(ERRORS_METRIC))),
+             forwarded.withColumn("metric", F.lit(keys.metric(FORWARDED_METRIC)))]
+    union = named[0]
+    for df in named[1:]:
+        union = union.unionByName(df, allowMissingColumns=True)
+    return union.select("metric", "source_name", "tenant_id", "error_type", "value")
+
+
 def bucket(value: Column, bounds: Sequence[float]) -> Column:
     """Index of the first bound that is not below the value; one more than the last for the rest."""
     out = F.lit(len(bounds))

@@ -9,6 +9,7 @@ from beaconry.constants import EXCEPTION_MESSAGE, EXCEPTION_STACKTRACE, EXCEPTIO
 from beaconry.functions.columns import (
     attrs_map, body_text, exception_fields, is_error_log, is_error_span, last_attribute, nano_ts)
 from beaconry.functions.maps import let, present, record
+from beaconry.functions.reuse import reused
 from beaconry.sources.otlp import format_of
 
 ERROR_SPAN_FIELDS = (
@@ -84,25 +85,34 @@ def _carried(df: DataFrame) -> list[str]:
             if c in df.columns]
 
 
+@reused
+def _span_error(fmt: str | None, strict: bool) -> Column:
+    c = F.col
+    return error_span(c("service_name"), c("name"), c("status_message"), c("events"), c("attributes"),
+                      c("trace_id"), c("span_id"), format_of(fmt), strict)
+
+
+@reused
+def _log_error(fmt: str | None) -> Column:
+    c = F.col
+    return error_log(c("service_name"), c("severity_number"), c("severity_text"), c("body"), c("ts"),
+                     c("attributes"), c("trace_id"), c("span_id"), format_of(fmt))
+
+
 def extract_error_spans(spans: DataFrame, strict: bool = False, fmt: str | None = None) -> DataFrame:
     """Error spans of a flat span table: a filter and a projection.
 
     ``fmt`` names the payload format where all rows share it; otherwise each row says its own.
     """
-    c, fmt = F.col, format_of(fmt)
-    hit = spans.filter(is_error_span(c("status_code"), c("events")))
-    error = error_span(c("service_name"), c("name"), c("status_message"), c("events"), c("attributes"),
-                        c("trace_id"), c("span_id"), fmt, strict)
-    return hit.select(*_carried(spans), error.alias("e")).select(*_carried(spans), "e.*")
+    hit = spans.filter(is_error_span(F.col("status_code"), F.col("events")))
+    return hit.select(*_carried(spans), _span_error(fmt, strict).alias("e")).select(*_carried(spans), "e.*")
 
 
 def extract_error_logs(logs: DataFrame, fmt: str | None = None) -> DataFrame:
     """Error logs of a flat log table: a filter and a projection."""
-    c, fmt = F.col, format_of(fmt)
-    hit = logs.filter(is_error_log(c("severity_number"), c("severity_text"), c("attributes"), fmt))
-    error = error_log(c("service_name"), c("severity_number"), c("severity_text"), c("body"), c("ts"),
-                       c("attributes"), c("trace_id"), c("span_id"), fmt)
-    return hit.select(*_carried(logs), error.alias("e")).select(*_carried(logs), "e.*")
+    hit = logs.filter(is_error_log(
+        F.col("severity_number"), F.col("severity_text"), F.col("attributes"), format_of(fmt)))
+    return hit.select(*_carried(logs), _log_error(fmt).alias("e")).select(*_carried(logs), "e.*")
 
 
 def span_errors_in(span: Column, fmt: Column | str) -> Column:

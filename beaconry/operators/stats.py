@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import BYTES_PER_ITEM, JSON, LOGS, METRICS, PROTOBUF, TRACES
 from beaconry.functions.columns import service_name, service_names
+from beaconry.functions.reuse import reused
 from beaconry.operators.extract import log_errors_in, log_record, span_errors_in, span_record
 from beaconry.schemas import HEADER_COLUMNS, METRIC_BODIES, METRIC_SIZES, TREE
 from beaconry.sources.envelopes import estimated_items, is_json_object, json_branch
@@ -88,6 +89,7 @@ def _parsed(envelopes: DataFrame, signal: str, item: str | None = None) -> DataF
         F.col("payload"), parse_json(F.col("payload"), signal, item).alias("doc"))
 
 
+@reused
 def _malformed(signal: str) -> Column:
     """Not a JSON object, or its resource array is not an array. Parsed again only if suspicious."""
     resources = TREE[signal][0]
@@ -97,6 +99,7 @@ def _malformed(signal: str) -> Column:
         ~is_json_object(text) | F.get_json_object(text, f"$.{resources}").isNotNull()).otherwise(False)
 
 
+@reused
 def _json_count(signal: str) -> Column:
     """Exact count, at least one; the size estimate for malformed text; none for an empty body."""
     exact = F.greatest(_long(1), item_count(F.col("doc"), signal))
@@ -142,6 +145,21 @@ def max_severity(envelopes: DataFrame) -> DataFrame:
         "batch_id", max_severity_of(F.col("doc")).alias("max_severity"))
 
 
+@reused
+def _names(fmt: str) -> Column:
+    return service_names(F.col("doc"), fmt)
+
+
+@reused
+def _records(signal: str, fmt: str, strict: bool) -> Column:
+    return error_records(F.col("doc"), signal, fmt, F.col("received_at"), strict)
+
+
+@reused
+def _errors(signal: str, fmt: str) -> Column:
+    return error_count(F.col("doc"), signal, fmt)
+
+
 def _profile(decoded: DataFrame, signal: str, fmt: str, count: Column, method: Column, strict: bool,
              records: bool) -> DataFrame:
     keep = [c for c in HEADER_COLUMNS if c in decoded.columns]
@@ -152,11 +170,11 @@ def _profile(decoded: DataFrame, signal: str, fmt: str, count: Column, method: C
         (count if signal == METRICS else _long()).alias("data_point_count"),
         (point_count(doc) if signal == METRICS else _long()).alias("exact_points"),
         (max_severity_of(doc) if signal == LOGS else F.lit(0)).alias("max_severity"),
-        service_names(doc, fmt).alias("service_names"),
+        _names(fmt).alias("service_names"),
     ]
     if signal not in _ERROR or not records:
-        return decoded.select(*cols, error_count(doc, signal, fmt).alias("error_count"))
-    out = decoded.select(*cols, error_records(doc, signal, fmt, F.col("received_at"), strict).alias("errors"))
+        return decoded.select(*cols, _errors(signal, fmt).alias("error_count"))
+    out = decoded.select(*cols, _records(signal, fmt, strict).alias("errors"))
     return out.withColumn("error_count", F.coalesce(F.size("errors"), F.lit(0)).cast("bigint"))
 
 

@@ -38,7 +38,7 @@ class Processed:
     opts: CollectorOptions = CollectorOptions()
 
     def counters(self) -> DataFrame:
-        return ingest_counters(self.stats)
+        return ingest_counters(self.stats, self.opts.keys)
 
     def forwarded(self) -> DataFrame | None:
         """Errors forwarded: counted from the batches for spans and logs."""

@@ -9,7 +9,7 @@ from beaconry.constants import ANALYTICS, ERRORS, KEYS, LOGS, METRICS, TRACES
 from beaconry.context import CollectorOptions, Context
 from beaconry.operators.audit import batch_status, ingestion_audit, publishable, with_failures
 from beaconry.operators.counters import (
-    duration_histogram, error_counters, forwarded_counters, ingest_counters, job_events, job_metrics)
+    collector_metrics, duration_histogram, error_counters, forwarded_counters, ingest_counters, job_events, job_metrics)
 from beaconry.operators.enrich import attribute_batches
 from beaconry.operators.routing import (
     ALL_SIGNALS, AUDIT_TOPIC, ERROR_TRACKER, LOG_STORE, METRIC_STORE, TRACE_STORE, SinkConfig, all_signal_sink,
@@ -19,7 +19,7 @@ from beaconry.plans import fixtures as fx
 from beaconry.plans.process import (
     process_analytics, process_errors, process_logs, process_metrics, process_traces, processing_failures)
 from beaconry.plans.registry import query
-from beaconry.plans.scratch import shared_folder
+from beaconry.plans.scratch import shared_folder, written
 from beaconry.plans.sql import safe, sql
 from beaconry.sinks.base import callable_sink, table_sink
 from beaconry.sinks.fanout import Ledger, fan_out, publish_audit, sink_delivery, write_payloads
@@ -67,9 +67,9 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
     return one(LOGS).unionByName(one(TRACES)).unionByName(one(METRICS))
 
 
-def _delivery(spark: SparkSession, d: str) -> DataFrame:
+def _delivery(stats: DataFrame) -> DataFrame:
     """Delivery table of a run in which sinks fail for some batches."""
-    decided = route_decisions(_stats(spark, d)).filter(F.col("decision") == "delivered")
+    decided = route_decisions(stats).filter(F.col("decision") == "delivered")
     ordinal = F.lit(-1)
     for sink, n in ORDINAL.items():
         ordinal = F.when(F.col("sink") == sink, n).otherwise(ordinal)
@@ -183,7 +183,7 @@ def r8(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN count_if(NOT ok) > 0 THEN count_if(NOT ok) || ' sink(s) failed to export' END AS error_message
   FROM dl GROUP BY signal, batch_id"""))
 def r9(spark: SparkSession, d: str) -> DataFrame:
-    return batch_status(_delivery(spark, d))
+    return batch_status(_delivery(_stats(spark, d)))
 
 
 _AUDIT_META = f"""CASE WHEN failures > 0 THEN cast(failures AS varchar) END AS failures_meta, source_name AS service_meta,
@@ -201,8 +201,9 @@ _AUDIT_META = f"""CASE WHEN failures > 0 THEN cast(failures AS varchar) END AS f
         SELECT signal, batch_id, count(*) AS failures FROM dl WHERE NOT ok GROUP BY signal, batch_id) f
         ON f.signal = sig.signal AND f.batch_id = sig.batch_id)"""))
 def r10(spark: SparkSession, d: str) -> DataFrame:
-    stats = _stats(spark, d).withColumn("batch_id", F.concat_ws("/", "signal", "batch_id"))
-    audit = ingestion_audit(with_failures(stats, _delivery(spark, d)), Context(), OPTS, F.col("item_count") * 3)
+    parsed = written(_stats(spark, d))
+    stats = parsed.withColumn("batch_id", F.concat_ws("/", "signal", "batch_id"))
+    audit = ingestion_audit(with_failures(stats, _delivery(parsed)), Context(), OPTS, F.col("item_count") * 3)
     m = F.col("metadata")
     return audit.select(
         "version", F.unix_millis("ingestion_timestamp").alias("ingestion_ms"), "audit_id", "batch_id", "source_node_name",
@@ -321,9 +322,9 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
 _SAFE = safe("batch_tenant")
 
 
-@query("g8_ingest_counters", rsql(f"""SELECT signal || '_ingested' AS metric, source_name, {_SAFE} AS tenant_id, cast(sum(sig.n) AS bigint) AS value
+@query("g8_ingest_counters", rsql(f"""SELECT 'collector.' || signal || '.ingested' AS metric, source_name, {_SAFE} AS tenant_id, cast(sum(sig.n) AS bigint) AS value
   FROM sig JOIN hd USING (batch_id) GROUP BY ALL UNION ALL
-  SELECT 'analytics_events_ingested', coalesce(CASE WHEN batch_no % 3 = 0 THEN 'app-' || (batch_no % 5) END, header_source),
+  SELECT 'collector.analytics_events.ingested', coalesce(CASE WHEN batch_no % 3 = 0 THEN 'app-' || (batch_no % 5) END, header_source),
   {safe('t')} AS tenant_id, cast(sum(n) AS bigint) FROM (SELECT hd.batch_no, any_value(header_source) AS header_source, any_value(n) AS n,
     coalesce(any_value(batch_tenant), CASE WHEN count(DISTINCT lower(tenant)) = 1 THEN min(tenant) END) AS t
     FROM hd JOIN ev USING (batch_id) GROUP BY hd.batch_no) GROUP BY ALL"""))
@@ -351,6 +352,18 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
     return forwarded_counters(logs.select(*columns).unionByName(spans.select(*columns)), "forward_tenant")
 
 
+@query("g9_collector_metrics", rsql(f"""SELECT 'collector.' || signal || '.ingested' AS metric, source_name,
+  {_SAFE} AS tenant_id, NULL AS error_type, cast(sum(sig.n) AS bigint) AS value FROM sig JOIN hd USING (batch_id)
+  WHERE signal = 'logs' GROUP BY ALL UNION ALL
+  SELECT 'collector.errors', NULL, {_SAFE} AS t, 'log_processing', count(*) FROM hd WHERE batch_no % 7 = 3 GROUP BY ALL
+  UNION ALL SELECT 'collector.errors.forwarded', source_name, {_SAFE} AS t, NULL, count(*)
+  FROM log JOIN hd USING (batch_id) WHERE json_error GROUP BY ALL"""))
+def g9_all(spark: SparkSession, d: str) -> DataFrame:
+    done = process_logs(fx.envelopes(spark, d, LOGS), Context(), OPTS, table=shared_folder(spark), json_only=True)
+    broke = F.substring("batch_id", 2, 8).cast("int") % 7 == 3
+    return collector_metrics(done.counters(), error_counters(processing_failures(done.stats, broke)), done.forwarded())
+
+
 @query("g11_duration_histogram", rsql(f"""SELECT source_name, {_SAFE} AS tenant_id,
   CASE WHEN ms <= 10 THEN 0 WHEN ms <= 50 THEN 1 WHEN ms <= 200 THEN 2 ELSE 3 END AS bucket, count(*) AS value,
   cast(sum(ms) AS bigint) AS sum, min(ms) AS min, max(ms) AS max FROM (

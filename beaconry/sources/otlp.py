@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from beaconry.constants import JSON, LOGS, METRICS, PROTOBUF, TRACES
 from beaconry.functions.columns import attrs_map, body_text, nano_ts, service_name
 from beaconry.functions.maps import let, nonempty, record
+from beaconry.functions.reuse import reused
 from beaconry.schemas import HEADER_COLUMNS, TREE, document
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.proto import decode_documents
@@ -43,14 +44,10 @@ def decode_proto(envelopes: DataFrame, signal: str) -> DataFrame:
     return decode_documents(proto_branch(envelopes, signal), signal)
 
 
-def flatten(decoded: DataFrame, signal: str, fmt: Format = None) -> DataFrame:
-    """One row per item, with its batch, resource, scope and position.
-
-    The tree is lined up inside the row and fans out in a single generator, so nested arrays are
-    not copied level by level; names and attributes of a resource are worked out once for it.
-    """
+@reused
+def _items(signal: str, fmt: Format) -> Column:
+    """All items of ``doc`` in one array, each with its resource, scope and position."""
     resources, scopes, items = TREE[signal]
-    keep = [c for c in decoded.columns if c != "doc"]
     fmt = format_of(fmt)
 
     def lined(array: Column, each: Callable[[Column, Column], Column]) -> Column:
@@ -63,8 +60,17 @@ def flatten(decoded: DataFrame, signal: str, fmt: Format = None) -> DataFrame:
                 resource_pos=i, scope_pos=j, item_pos=k, service_name=about["name"], resource_attrs=about["attrs"],
                 scope_name=s["scope"]["name"], x=x)))))
 
-    every = F.flatten(lined(F.col("doc")[resources], of_resource))
-    return decoded.select(*keep, F.explode(every).alias("e")).select(*keep, "e.*")
+    return F.flatten(lined(F.col("doc")[resources], of_resource))
+
+
+def flatten(decoded: DataFrame, signal: str, fmt: Format = None) -> DataFrame:
+    """One row per item, with its batch, resource, scope and position.
+
+    The tree is lined up inside the row and fans out in a single generator, so nested arrays are
+    not copied level by level; names and attributes of a resource are worked out once for it.
+    """
+    keep = [c for c in decoded.columns if c != "doc"]
+    return decoded.select(*keep, F.explode(_items(signal, fmt)).alias("e")).select(*keep, "e.*")
 
 
 def _common(flat: DataFrame) -> list[str]:
