@@ -20,6 +20,7 @@ from beaconry.sources.proto import ROOT, message_classes
 BATCH_SIZE = 4
 LONG_KEY = "attribute.key.of.exactly.forty.characters"[:40]
 _STORED: dict[str, str] = {}
+_PLANS: dict[tuple, DataFrame] = {}
 
 
 def store(spark: SparkSession, sf_dir: str, path: str) -> str:
@@ -358,7 +359,14 @@ def _error_reports(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
 
 
 def build(spark: SparkSession, sf_dir: str, signal: str, broken: bool = False) -> DataFrame:
-    """JSON envelopes of one signal."""
+    """JSON envelopes of one signal. The plan is kept per session: planning it takes longer than small runs."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, signal, broken)
+    if key not in _PLANS:
+        _PLANS[key] = _build(spark, sf_dir, signal, broken)
+    return _PLANS[key]
+
+
+def _build(spark: SparkSession, sf_dir: str, signal: str, broken: bool) -> DataFrame:
     if signal == ANALYTICS:
         return _analytics(spark, sf_dir, broken)
     if signal == ERRORS:
