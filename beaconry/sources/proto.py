@@ -114,17 +114,25 @@ def _reader(spark_type: T.DataType, descriptor: Any, field_name: str = "") -> An
         inner = _reader(spark_type.elementType, descriptor, field_name)
         return lambda values: [inner(v) for v in values]
     if isinstance(spark_type, T.StructType):
-        members = []
+        unset, members = {}, {}
         for f in spark_type.fields:
             d = descriptor.fields_by_name.get(_snake(f.name))
             if d is None:  # a field of another point kind
                 continue
-            members.append((f.name, d.name, d.has_presence, _reader(f.dataType, d.message_type, d.name)))
+            read_one = _reader(f.dataType, d.message_type, d.name)
+            members[d.number] = (f.name, read_one)
+            if isinstance(f.dataType, T.ArrayType):
+                unset[f.name] = []
+            elif not d.has_presence:
+                unset[f.name] = read_one(d.default_value)
 
         def read(message: Any) -> dict:
-            return {out: read_one(getattr(message, name))
-                    for out, name, presence, read_one in members
-                    if not presence or message.HasField(name)}
+            out = unset.copy()
+            for d, value in message.ListFields():
+                member = members.get(d.number)
+                if member is not None:
+                    out[member[0]] = member[1](value)
+            return out
 
         return read
     if field_name.endswith(("trace_id", "span_id")):
