@@ -12,6 +12,7 @@ from beaconry.constants import (
 from beaconry.context import CollectorOptions, Context
 from beaconry.functions.columns import backend_level, is_deliverable, sampled, severity_level, tag_key
 from beaconry.functions.maps import entries, entries_of, entry, merge_last, nonempty, upsert
+from beaconry.functions.reuse import reused
 from beaconry.operators.enrich import enrich_errors
 
 EVENT_COLUMNS = (
@@ -23,7 +24,27 @@ def _attribute_tags(attributes: Column) -> Column:
     return F.transform(entries_of(attributes), lambda e: entry(tag_key(e["key"]), e["value"]))
 
 
-def _extra(record: Column) -> Column:
+@reused
+def _span_tags() -> Column:
+    e = F.col("e")
+    return merge_last(
+        F.array(entry("span.name", e["span_name"])),
+        entries([(TENANT_ID, F.col("batch_tenant")), ("trace.id", e["trace_id"]), ("span.id", e["span_id"])]),
+        _attribute_tags(e["attributes"]))
+
+
+@reused
+def _log_tags() -> Column:
+    e = F.col("e")
+    return merge_last(
+        entries([(TENANT_ID, F.col("batch_tenant")), ("trace.id", e["trace_id"]), ("span.id", e["span_id"]),
+                 ("severity.text", e["severity_text"]), ("severity.number", e["severity_number"].cast("string"))]),
+        _attribute_tags(e["attributes"]))
+
+
+@reused
+def _extra() -> Column:
+    record = F.col("e")
     es = entries([(EXCEPTION_TYPE, record["exception_type"]), (EXCEPTION_MESSAGE, record["exception_message"]),
                   (EXCEPTION_STACKTRACE, record["stack_trace"])])
     return F.map_from_entries(F.transform(es, lambda e: entry(e["key"], e["value"].cast("variant"))))
@@ -44,17 +65,13 @@ def span_errors_to_events(
 ) -> DataFrame:
     """Error spans (``batch_id, received_at, batch_tenant, pos, e``) as enriched error events."""
     e = F.col("e")
-    tags = merge_last(
-        F.array(entry("span.name", e["span_name"])),
-        entries([(TENANT_ID, F.col("batch_tenant")), ("trace.id", e["trace_id"]), ("span.id", e["span_id"])]),
-        _attribute_tags(e["attributes"]))
     events = errors.select(
         "batch_id", "pos", e["service_name"].alias("source_name"), "received_at", F.col("received_at").alias("ts"),
         F.coalesce(e["error_message"], e["exception_message"],
                    F.concat(F.lit("Error in span: "), e["span_name"])).alias("message"),
         F.lit(SEVERITY_ERROR).alias("severity"), e["trace_id"].alias("correlation_id"),
         e["span_id"].alias("operation_id"), _none().alias("node_id"), _none().alias("user_id"),
-        _none().alias("environment"), tags.alias("tags"), _extra(e).alias("extra"))
+        _none().alias("environment"), _span_tags().alias("tags"), _extra().alias("extra"))
     return enrich_errors(events, F.col("source_name"), ctx, opts)
 
 
@@ -63,17 +80,13 @@ def log_errors_to_events(
 ) -> DataFrame:
     """Error logs (with ``source_name`` of the batch) as enriched error events."""
     e = F.col("e")
-    tags = merge_last(
-        entries([(TENANT_ID, F.col("batch_tenant")), ("trace.id", e["trace_id"]), ("span.id", e["span_id"]),
-                 ("severity.text", e["severity_text"]), ("severity.number", e["severity_number"].cast("string"))]),
-        _attribute_tags(e["attributes"]))
     events = errors.select(
         "batch_id", "pos", F.coalesce(F.col("source_name"), e["service_name"]).alias("source_name"),
         "received_at", e["ts"].alias("ts"), F.coalesce(e["message"], F.lit("Error log")).alias("message"),
         severity_level(e["severity_number"]).alias("severity"),
         F.nullif(e["trace_id"], F.lit("")).alias("correlation_id"),
         F.nullif(e["span_id"], F.lit("")).alias("operation_id"), _none().alias("node_id"),
-        _none().alias("user_id"), _none().alias("environment"), tags.alias("tags"), _extra(e).alias("extra"))
+        _none().alias("user_id"), _none().alias("environment"), _log_tags().alias("tags"), _extra().alias("extra"))
     return enrich_errors(events, F.col("source_name"), ctx, opts)
 
 

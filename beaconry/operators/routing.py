@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from beaconry.constants import ANALYTICS, ERRORS, LOGS, METRICS, TRACES
 from beaconry.functions.columns import min_severity
 from beaconry.functions.maps import let, nonempty, record
+from beaconry.functions.reuse import reused
 from beaconry.operators.stats import max_severity_of
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.otlp import parse_json
@@ -91,10 +92,15 @@ def decisions(sinks: Sequence[SinkConfig], signal: Column, has_payload: Column,
     return F.filter(F.array(*[one(c) for c in sinks]), lambda r: r.isNotNull())
 
 
+@reused
+def _routes(sinks: tuple[SinkConfig, ...]) -> Column:
+    return decisions(
+        sinks, F.col("signal"), F.col("payload_bytes").isNotNull(), F.col("max_severity"), F.col("error_count"))
+
+
 def route(stats: DataFrame, sinks: Sequence[SinkConfig]) -> DataFrame:
     """Add the ``routes`` array to batch statistics."""
-    return stats.withColumn("routes", decisions(
-        sinks, F.col("signal"), F.col("payload_bytes").isNotNull(), F.col("max_severity"), F.col("error_count")))
+    return stats.withColumn("routes", _routes(tuple(sinks)))
 
 
 def route_decisions(routed: DataFrame) -> DataFrame:

@@ -155,6 +155,16 @@ def _records(signal: str, fmt: str, strict: bool) -> Column:
     return error_records(F.col("doc"), signal, fmt, F.col("received_at"), strict)
 
 
+@reused
+def _points() -> Column:
+    return point_count(F.col("doc"))
+
+
+@reused
+def _severity() -> Column:
+    return max_severity_of(F.col("doc"))
+
+
 @reused
 def _errors(signal: str, fmt: str) -> Column:
     return error_count(F.col("doc"), signal, fmt)
@@ -163,13 +173,12 @@ def _errors(signal: str, fmt: str) -> Column:
 def _profile(decoded: DataFrame, signal: str, fmt: str, count: Column, method: Column, strict: bool,
              records: bool) -> DataFrame:
     keep = [c for c in HEADER_COLUMNS if c in decoded.columns]
-    doc = F.col("doc")
     cols = [
         *keep, F.lit(signal).alias("signal"), "source_format", "payload_bytes",
         count.alias("item_count"), method.alias("count_method"),
         (count if signal == METRICS else _long()).alias("data_point_count"),
-        (point_count(doc) if signal == METRICS else _long()).alias("exact_points"),
-        (max_severity_of(doc) if signal == LOGS else F.lit(0)).alias("max_severity"),
+        (_points() if signal == METRICS else _long()).alias("exact_points"),
+        (_severity() if signal == LOGS else F.lit(0)).alias("max_severity"),
         _names(fmt).alias("service_names"),
     ]
     if signal not in _ERROR or not records:
