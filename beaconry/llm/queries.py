@@ -7,7 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import language, mixing, ngram_join, packing, token_files, topk, toxicity, vector_dedup, warc
+from beaconry.llm import language, mixing, ngram_join, packing, token_files, topk, toxicity, vector_dedup, warc, wrappers
 from beaconry.plans.shipping import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ def _shipped(fn: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (
-    token_files.op1_token_files, ngram_join.op2_ngram_join, vector_dedup.op3_vector_dedup, mixing.op4_mix_sources, packing.op5_best_fit_packing, topk.op6_top_products, language.op7_language_id, toxicity.op9_toxicity, warc.op10_warc,
+    token_files.op1_token_files, ngram_join.op2_ngram_join, vector_dedup.op3_vector_dedup, mixing.op4_mix_sources, packing.op5_best_fit_packing, topk.op6_top_products, language.op7_language_id, wrappers.op8_main_text, toxicity.op9_toxicity, warc.op10_warc,
 )}
 
 ORACLE: dict[str, str] = {}
