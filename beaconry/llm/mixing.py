@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beaconry.llm.common import cut, table
+from beaconry.llm.graph import hinted
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -147,5 +148,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                       (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as often as the mix takes it.
+
+    A row's copies are those of its ``doc_id``; rows that share an id (or have none) take the largest number of theirs.
+    """
+    copies = cut(mix(docs, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("mix_copies"))
+                 .filter("mix_copies > 0").withColumnRenamed("doc_id", "mix_doc_id"))
+    rows = docs.join(hinted(copies), F.col("doc_id").cast("long").eqNullSafe(F.col("mix_doc_id")))
+    return rows.withColumn("mix_nth", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(docs.columns)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
