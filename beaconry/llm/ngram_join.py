@@ -1,9 +1,10 @@
 """Similarity join of documents by the Jaccard similarity of their word n-grams, complete and by signature trees.
 
-1. A document's set is its distinct n-gram hashes. Sets are dealt into sub-signatures: for sizes that may link, two
-   sets differ in at most d elements, so of d + 1 buckets of the hash space at least one has equal contents in both.
-   Equal sub-signatures meet in one place; each task first joins its own documents and sends one per sub-signature.
-2. Documents that share a sub-signature, directly or in turn, form a coarse group: no link leaves one.
+1. A document's set is its distinct n-gram hashes. A task counts which of its documents' n-grams another document has,
+   and sends each n-gram once to the place where equal ones meet. A document with fewer shared n-grams than a link
+   needs has no link; most documents end here.
+2. Of the others, n-grams are ordered from the rarest; two sets that link share one of their first n-grams, so many
+   as they may lose and one more. Documents that share one, directly or in turn, form a coarse group: no link leaves it.
 3. In each coarse group signature trees (OR- and AND-combined bitmaps, size ranges) are traversed in pairs, node pairs
    that can't overlap enough are pruned, and what remains is verified on the sets. Large groups are cut into blocks
    of bounded size whose pairs are tasks of their own.
@@ -24,8 +25,8 @@ from beaconry.llm.common import batches, cut, parts, table
 from beaconry.llm.graph import components, hinted
 
 WORDS, SIMILARITY = 5, 80
-#: Sub-signatures a reducer gets, shingles of a block, and sub-signatures a task holds before it combines them.
-PER_REDUCER, BLOCK, HELD = 1_000_000, 1_000_000, 2_000_000
+#: N-grams a reducer gets, n-grams of a block, and n-grams a task holds before it combines them.
+PER_REDUCER, BLOCK, HELD = 2_000_000, 1_000_000, 2_000_000
 BITMAP_WORDS = 32
 LEAF, FAN = 16, 8
 
@@ -35,6 +36,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
 _P = _U(0x9E3779B97F4A7C15)
+_SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -121,134 +123,158 @@ class Bands:
         self._reach(int(sizes.max(initial=1)))
         return np.searchsorted(self.least, sizes, side="right") - 1
 
-    def buckets(self, band: np.ndarray) -> np.ndarray:
-        """Buckets for pairs whose larger set lies in ``band``: one more than they may differ in."""
-        most = self.least[band + 1] - 1
-        return 2 * most * (100 - self.similarity) // (100 + self.similarity) + 1
-
-
-def sub_signatures(x: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set): for each set, those of its own band and of the next, where the larger partner may be."""
-    sizes = np.diff(offsets)
-    sets = np.flatnonzero(sizes)
-    if not len(sets):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    own = bands.of(sizes[sets])
-    sigs, owners = [], []
-    spread = mix64(x ^ _U(0x5851F42D4C957F2D))
-    for step in (0, 1):
-        k = bands.buckets(own + step)
-        base = np.cumsum(k) - k
-        element_k = np.repeat(k.astype(np.uint64), sizes[sets])
-        bucket = np.repeat(base, sizes[sets]) + (((x >> _U(32)) * element_k) >> _U(32)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        sums = np.zeros(int(k.sum()), dtype=np.uint64)
-        sums[bucket[starts]] = np.add.reduceat(spread, starts)
-        within = np.arange(len(sums)) - np.repeat(base, k)
-        salt = mix64(within.astype(np.uint64) * _U(0x2545F4914F6CDD1D) + np.repeat((own + step).astype(np.uint64), k) * _P + _U(1))
-        sigs.append(mix64(sums + salt))
-        owners.append(np.repeat(sets, k))
-    return np.concatenate(sigs), np.concatenate(owners)
-
-
-def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one index per signature, that of its smallest node; edges from the other nodes to it, each once)."""
-    order = np.lexsort((node, sig))
-    s, v = sig[order], node[order]
-    first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, dtype=bool)
-    head = v[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))] if len(s) else v
-    other = v != head
-    edges = np.unique(np.stack([v[other], head[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
-    return order[first], edges[:, 0], edges[:, 1]
-
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def set_table(rows: DataFrame, n: int, similarity: int) -> DataFrame:
-    """(doc_id, n, h1, h2, band, sigs): size and 128-bit hash of every set, and how many sub-signatures it has."""
+    """(doc_id, n, h1, h2, band): size, 128-bit hash and size band of every set."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(similarity)
         for b in batches(source, "text", rows=4096):
             x, off = shingle_sets(b.column("text"), n)
             size = np.diff(off)
-            band = bands.of(np.maximum(size, 1))
-            k = np.where(size > 0, bands.buckets(band) + bands.buckets(band + 1), 0)
-            h = [set_sums(mix64(x ^ _U(c)), off).view(np.int64) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+            h = [set_sums(mix64(x ^ _U(c)), off).view(np.int64) for c in _SEEDS]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size), pa.array(h[0]), pa.array(h[1]), pa.array(band.astype(np.int32)), pa.array(k)],
-                names=["doc_id", "n", "h1", "h2", "band", "sigs"])
+                [b.column("doc_id"), pa.array(size), pa.array(h[0]), pa.array(h[1]), pa.array(bands.of(np.maximum(size, 1)).astype(np.int32))],
+                names=["doc_id", "n", "h1", "h2", "band"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, band int, sigs long")
+    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, band int")
 
 
-_LONGS = pa.list_(pa.int64())
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
 
 
-def _rows(part: list[int], sigs: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(sigs, _LONGS), pa.array(nodes, _LONGS)],
-                                      names=["part", "sigs", "nodes"])
+def _message(part: int, docs: np.ndarray, counts: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+    raw = [pa.array([x.tobytes()], pa.binary()) for x in (docs.astype(np.int64), counts.astype(np.int32), keys.astype(np.uint32), marks.astype(np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *raw], names=["part", "docs", "counts", "keys", "marks"])
 
 
-def coarse_edges(rows: DataFrame, n: int, similarity: int, reducers: int) -> DataFrame:
-    """Edges (a, b) whose components hold every pair of documents with a common sub-signature.
+def shared_counts(rows: DataFrame, n: int, reducers: int) -> DataFrame:
+    """(doc_id, shared): how many of a document's n-grams some other document has; at least that many.
 
-    A task sends each of its sub-signatures once, with its smallest document, and the edges to it itself; so a
-    sub-signature that a third of all documents share costs a reducer one entry per task, not one per document.
+    A task's n-grams that several of its documents have are counted there and sent once, so an n-gram of a third of
+    all documents costs a reducer one entry per task. Reducers compare 32 bits of the hashes of their share; equal bits
+    of different n-grams only raise a count.
     """
     def send(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, sigs, nodes, held = Bands(similarity), [], [], 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            keep, a, b = _stars(sig, node)
-            if len(a):
-                yield _rows([-1], [a], [b])
-            sig, node = sig[keep], node[keep]
-            part = (sig % _U(reducers)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            groups = np.split(order, cuts)
-            for i in range(0, len(groups), 64):
-                some = [g for g in groups[i:i + 64] if len(g)]
-                if some:
-                    yield _rows([int(part[g[0]]) for g in some], [sig[g].view(np.int64) for g in some], [node[g] for g in some])
+            ids = np.concatenate([h[1] for h in held])
+            x = np.concatenate([h[0] for h in held])
+            owner = np.repeat(np.arange(len(ids)), np.concatenate([h[2] for h in held]))
+            order = np.argsort(x, kind="stable")
+            starts = _runs(x[order])
+            several = np.diff(np.concatenate([starts, [len(x)]])) > 1
+            both = np.zeros(len(x), dtype=bool)
+            both[order] = np.repeat(several, np.diff(np.concatenate([starts, [len(x)]])))
+            local = np.bincount(owner[both], minlength=len(ids))
+            some = np.flatnonzero(local)
+            yield _message(int(ids[0] % reducers), ids[some], -local[some], np.zeros(0), np.zeros(0))
+            marks = x[order[starts[several]]]
+            alone = np.flatnonzero(~both)
+            part = lambda v: (((v >> _U(32)) * _U(reducers)) >> _U(32)).astype(np.int64)
+            parts_x, parts_m = part(x[alone]), part(marks)
+            order = np.argsort(parts_x, kind="stable")  # documents stay together within a part
+            cut_x = np.searchsorted(parts_x[order], np.arange(reducers + 1))
+            cut_m = np.searchsorted(parts_m, np.arange(reducers + 1))  # ascending as the hashes are
+            for p in range(reducers):
+                e = alone[order[cut_x[p]:cut_x[p + 1]]]
+                m = marks[cut_m[p]:cut_m[p + 1]]
+                if len(e) or len(m):
+                    first = _runs(owner[e])
+                    yield _message(p, ids[owner[e[first]]], np.diff(np.concatenate([first, [len(e)]])), x[e] & _U(0xFFFFFFFF), m & _U(0xFFFFFFFF))
 
         for b in batches(source, "text", rows=4096):
             b = b.filter(pc.is_valid(b.column("doc_id")))
-            if not b.num_rows:
-                continue
             x, off = shingle_sets(b.column("text"), n)
-            s, owner = sub_signatures(x, off, bands)
-            sigs.append(s)
-            nodes.append(b.column("doc_id").to_numpy()[owner])
-            held += len(s)
-            if held >= HELD:
+            if len(x):
+                full = np.flatnonzero(np.diff(off))
+                held.append((x, b.column("doc_id").to_numpy()[full], np.diff(off)[full]))
+                size += len(x)
+            if size >= HELD:
                 yield from flush()
-                sigs, nodes, held = [], [], 0
+                held, size = [], 0
         if held:
             yield from flush()
 
+    def spread(docs: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        to = docs % reducers
+        order = np.argsort(to, kind="stable")
+        ends = np.concatenate([_runs(to[order]), [len(to)]])
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            e = order[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[e[0]])], pa.int32()), pa.array([docs[e].tobytes()], pa.binary()),
+                                              pa.array([counts[e].astype(np.int32).tobytes()], pa.binary())], names=["part", "docs", "counts"])
+
     def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes = [], []
+        by: dict[int, list] = {}
         for b in source:
-            for part, s, v in zip(b.column("part").to_pylist(), b.column("sigs"), b.column("nodes")):
-                s, v = s.values.to_numpy(), v.values.to_numpy()
-                if part < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(v)], names=["a", "b"])
+            for part, *raw in zip(*(b.column(c).to_pylist() for c in ("part", "docs", "counts", "keys", "marks"))):
+                docs, counts, keys, marks = (np.frombuffer(r, dtype=t) for r, t in zip(raw, ("<i8", "<i4", "<u4", "<u4")))
+                if len(counts) and counts[0] < 0:
+                    yield from spread(docs, -counts)
                 else:
-                    sigs.append(s)
-                    nodes.append(v)
-        if sigs:
-            _, a, b = _stars(np.concatenate(sigs), np.concatenate(nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    by.setdefault(part, []).append((docs, counts, keys, marks))
+        while by:
+            docs, counts, keys, marks = (np.concatenate(c) for c in zip(*by.popitem()[1]))
+            every = np.sort(np.concatenate([keys, marks]))
+            twice = np.unique(every[1:][every[1:] == every[:-1]])
+            if len(keys) and len(twice):
+                at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
+                sums = np.add.reduceat((twice[at] == keys).astype(np.int64), np.cumsum(counts) - counts)
+                some = np.flatnonzero(sums)
+                if len(some):
+                    yield from spread(docs[some], sums[some])
+
+    def total(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, counts = [], []
+        for b in source:
+            for d, c in zip(b.column("docs").to_pylist(), b.column("counts").to_pylist()):
+                docs.append(np.frombuffer(d, dtype="<i8"))
+                counts.append(np.frombuffer(c, dtype="<i4"))
+        if docs:
+            ids, at = np.unique(np.concatenate(docs), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], names=["doc_id", "shared"])
+
+    sent = rows.mapInArrow(send, "part int, docs binary, counts binary, keys binary, marks binary").repartition(reducers, "part")
+    met = sent.mapInArrow(meet, "part int, docs binary, counts binary").repartition(reducers, "part")
+    return met.mapInArrow(total, "doc_id long, shared long")
 
-    # local edges are spread by their own hash, so no reducer gets them all
-    sent = rows.mapInArrow(send, "part int, sigs array<long>, nodes array<long>")
-    spread = sent.withColumn("to", F.when(F.col("part") < 0, F.xxhash64("sigs")).otherwise(F.col("part").cast("long")))
-    met = spread.repartition(reducers, "to").drop("to").mapInArrow(meet, "a long, b long")
-    return met.distinct()
+
+def shingle_table(rows: DataFrame, n: int) -> DataFrame:
+    """(doc_id, h1, shingles): the sets themselves."""
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(source, "text", rows=4096):
+            x, off = shingle_sets(b.column("text"), n)
+            found = pa.LargeListArray.from_arrays(pa.array(off.astype(np.int64)), pa.array(x.view(np.int64)))
+            h1 = set_sums(mix64(x ^ _U(_SEEDS[0])), off).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h1), found.cast(pa.list_(pa.int64()))], names=["doc_id", "h1", "shingles"])
+
+    return rows.mapInArrow(run, "doc_id long, h1 long, shingles array<long>")
+
+
+def coarse_edges(sets: DataFrame, similarity: int) -> DataFrame:
+    """Edges (a, b) of documents that share one of their rarest n-grams, from (doc_id, h1, shingles).
+
+    The order is by how many of these documents have an n-gram, then by its hash; n-grams of one document come first
+    and meet nothing. Documents join the smallest one of each n-gram, so a hot n-gram gives one edge per document.
+    """
+    each = sets.select("doc_id", "h1", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    often = cut(each.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
+    shared = each.join(often, "key").groupBy("doc_id", "h1", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("s"))
+    # n - ceil(n * similarity / 100) + 1 first n-grams, of which n - size(s) have no partner
+    first = F.size("s") + 1 - F.ceil(F.col("n") * similarity / 100)
+    firsts = shared.withColumn("first", first.cast("int")).filter("first > 0")
+    firsts = cut(firsts.select("doc_id", F.explode(F.slice("s", F.lit(1), F.col("first"))).alias("s")).select("doc_id", "s.key"))
+    heads = cut(firsts.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("df")).filter("df > 1").select("key", "head"))
+    return firsts.join(heads, "key").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
 
 
 class Links:
@@ -372,14 +398,14 @@ class SignatureTree:
         return edges
 
 
-def link_edges(rows: DataFrame, classes: DataFrame, n: int, similarity: int) -> DataFrame:
+def link_edges(sets: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """Edges (a, b) between class representatives whose components are those of all links.
 
-    ``classes``: (rep, coarse, n, band). Small coarse groups share tasks by a hash; a group of over BLOCK shingles is
+    ``sets``: (doc_id, shingles); ``classes``: (rep, coarse, n, band). Small coarse groups share tasks by a hash; a group of over BLOCK shingles is
     cut by size band and hash into blocks of about half of that, and its pairs of blocks within a band and between
     neighbouring bands, which hold all possible links, are tasks of their own.
     """
-    spark = rows.sparkSession
+    spark = sets.sparkSession
     size = classes.groupBy("coarse").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter("members > 1")
     work = cut(classes.join(size, "coarse"))
     total = work.filter(F.col("total") <= BLOCK).agg(F.sum("n")).first()[0] or 0
@@ -399,16 +425,7 @@ def link_edges(rows: DataFrame, classes: DataFrame, n: int, similarity: int) ->
     large = near.select(F.col("rep").alias("doc_id"), "coarse", F.explode(pairs).alias("p")).select(
         "doc_id", "p.unit", "coarse", "p.side")
     wanted = cut(small.unionByName(large))
-    reps = cut(wanted.select("doc_id").distinct())
-
-    def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(source, "text", rows=4096):
-            x, off = shingle_sets(b.column("text"), n)
-            found = pa.LargeListArray.from_arrays(pa.array(off.astype(np.int64)), pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), found.cast(_LONGS)], names=["doc_id", "shingles"])
-
-    found = rows.join(hinted(reps), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>")
-    units = found.join(hinted(wanted), "doc_id").select("unit", "coarse", "side", "doc_id", "shingles")
+    units = sets.join(hinted(wanted), "doc_id").select("unit", "coarse", "side", "doc_id", "shingles")
 
     def solve(key: tuple, t: pa.Table) -> pa.Table:
         order = np.lexsort((t.column("side").to_numpy(), t.column("coarse").to_numpy()))
@@ -442,14 +459,17 @@ def similar_groups(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY
     """
     rows = _documents(docs, id_col, text_col)
     sets = cut(set_table(rows, n, similarity))
-    expected = sets.agg(F.sum("sigs")).first()[0] or 0
-    reducers = math.ceil(expected / PER_REDUCER) + parts(docs.sparkSession)
-    coarse = components(cut(coarse_edges(rows, n, similarity, reducers)))
-    members = sets.filter("n > 0").join(coarse.select(F.col("node").alias("doc_id"), F.col("component").alias("coarse")), "doc_id")
-    classes = cut(members.groupBy("h1", "h2", "n", "band", "coarse").agg(F.min("doc_id").alias("rep")))
-    links = components(cut(link_edges(rows, classes.select("rep", "coarse", "n", "band"), n, similarity)))
-    named = cut(classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").groupBy("h1", "h2", "n").agg(
-        F.min(F.coalesce("component", "rep")).alias("component")))
+    classes = cut(sets.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n", "band").agg(F.min("doc_id").alias("rep")))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    shared = shared_counts(rows, n, math.ceil(total / PER_REDUCER) + parts(docs.sparkSession))
+    # a link needs 100 * common >= similarity * n, so fewer shared n-grams leave a document without any
+    open_ = cut(classes.join(shared.withColumnRenamed("doc_id", "rep"), "rep").filter(100 * F.col("shared") >= similarity * F.col("n")).drop("shared"))
+    some = cut(shingle_table(rows.join(hinted(open_.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), n))
+    coarse = components(coarse_edges(some, similarity))
+    grouped = open_.join(coarse.select(F.col("node").alias("rep"), F.col("component").alias("coarse")), "rep")
+    links = components(link_edges(some.select("doc_id", "shingles"), grouped.select("rep", "coarse", "n", "band"), similarity))
+    named = cut(classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "h1", "h2", "n", F.coalesce("component", "rep").alias("component")))
     out = sets.join(named, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
