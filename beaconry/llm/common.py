@@ -33,7 +33,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def batches(source: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Smaller batches: at most ``rows`` rows, and few long texts together, so memory follows the longest text."""
     for batch in source:
         at, n = 0, batch.num_rows

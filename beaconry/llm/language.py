@@ -282,7 +282,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Identifier(shared.value)
-        for b in batches(source, "text", rows=4096, size=8 << 20):
+        for b in batches(source, "text", rows=4096, size=3 << 20):
             lang, score = by.predict(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)],
                                              names=["doc_id", "lang_pred", "score"])
@@ -297,7 +297,7 @@ def drop_unidentified(docs: DataFrame, least_score: float = LEAST_SCORE) -> Data
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Identifier(shared.value)
-        for b in batches(source, "text", rows=4096, size=8 << 20):
+        for b in batches(source, "text", rows=4096, size=3 << 20):
             lang, score = by.predict(b.column("text"))
             yield b.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(lang, score)], pa.bool_()))
 

@@ -26,7 +26,7 @@ from beaconry.llm.graph import components, hinted
 
 WORDS, SIMILARITY = 5, 80
 #: N-grams a reducer gets, n-grams of a block, and n-grams a task holds before it combines them.
-PER_REDUCER, BLOCK, HELD = 2_000_000, 1_000_000, 2_000_000
+PER_REDUCER, BLOCK, HELD = 1_000_000, 1_000_000, 1_000_000
 BITMAP_WORDS = 32
 LEAF, FAN = 16, 8
 
@@ -132,7 +132,7 @@ def set_table(rows: DataFrame, n: int, similarity: int) -> DataFrame:
     """(doc_id, n, h1, h2, band): size, 128-bit hash and size band of every set."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(similarity)
-        for b in batches(source, "text", rows=4096):
+        for b in batches(source, "text", rows=4096, size=1 << 20):
             x, off = shingle_sets(b.column("text"), n)
             size = np.diff(off)
             h = [set_sums(mix64(x ^ _U(c)), off).view(np.int64) for c in _SEEDS]
@@ -190,7 +190,7 @@ def shared_counts(rows: DataFrame, n: int, reducers: int) -> DataFrame:
                     first = _runs(owner[e])
                     yield _message(p, ids[owner[e[first]]], np.diff(np.concatenate([first, [len(e)]])), x[e] & _U(0xFFFFFFFF), m & _U(0xFFFFFFFF))
 
-        for b in batches(source, "text", rows=4096):
+        for b in batches(source, "text", rows=4096, size=1 << 20):
             b = b.filter(pc.is_valid(b.column("doc_id")))
             x, off = shingle_sets(b.column("text"), n)
             if len(x):
@@ -251,7 +251,7 @@ def shared_counts(rows: DataFrame, n: int, reducers: int) -> DataFrame:
 def shingle_table(rows: DataFrame, n: int) -> DataFrame:
     """(doc_id, h1, shingles): the sets themselves."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(source, "text", rows=4096):
+        for b in batches(source, "text", rows=4096, size=1 << 20):
             x, off = shingle_sets(b.column("text"), n)
             found = pa.LargeListArray.from_arrays(pa.array(off.astype(np.int64)), pa.array(x.view(np.int64)))
             h1 = set_sums(mix64(x ^ _U(_SEEDS[0])), off).view(np.int64)

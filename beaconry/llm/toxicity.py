@@ -120,7 +120,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_sample: int = SAMP
 def feature_counts(sample: DataFrame) -> DataFrame:
     """(feature, toxic, clean): weighted numbers of documents that hold a feature."""
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(source, "text", rows=4096, size=16 << 20):
+        for b in batches(source, "text", rows=4096, size=2 << 20):
             sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
             for text, y, w in zip(texts_of(b.column("text")), b.column("label").to_pylist(), b.column("weight").to_pylist()):
                 for f in {f for x in set(WORDS.findall(text.lower())) for f in features(x)}:
