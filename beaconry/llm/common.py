@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beaconry.plans.scratch import shared_folder, written
 
-__all__ = ["batches", "cut", "parts", "shared_folder", "table", "texts_of"]
+__all__ = ["batches", "cut", "parts", "release", "shared_folder", "table", "texts_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,13 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def release() -> None:
+    """Give what a worker has freed back to the system: workers stay for the tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(source: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Smaller batches: at most ``rows`` rows, and few long texts together, so memory follows the longest text."""
     for batch in source:
@@ -47,3 +56,4 @@ def batches(source: Iterator[pa.RecordBatch], column: str, rows: int = 512, size
             stop = min(n, at + rows, max(stop, at + 1))
             yield batch.slice(at, stop - at)
             at = stop
+    release()
