@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from typing import Any, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -55,11 +56,11 @@ def capture_events(events: DataFrame, opts: CollectorOptions = CollectorOptions(
     return out.withColumn("json", F.to_json(F.struct("event", "distinct_id", "timestamp", "properties"), _JSON_TIME))
 
 
-def to_analytics_request(events: DataFrame, service: str | None, max_events: int = 1000) -> DataFrame:
+def to_analytics_request(events: DataFrame, service: str | None, max_events: int | None = None) -> DataFrame:
     """Events back to request documents; operation, node name and grid are dropped.
 
-    One request per batch, or several numbered parts of at most ``max_events``: the part follows
-    from the event's position, so no group grows with the batch.
+    One request per batch. A caller who has to bound documents gives ``max_events``: numbered parts
+    by the event's position, so no group grows with the batch.
     """
     item = F.struct(
         F.col("event_name").alias("eventName"), F.col("ts").alias("timestamp"),
@@ -67,7 +68,7 @@ def to_analytics_request(events: DataFrame, service: str | None, max_events: int
         F.col("session_id").alias("sessionId"), F.col("correlation_id").alias("correlationId"),
         F.col("node_id").alias("nodeId"), F.col("tenant_id").alias("tenantId"), "environment", "properties")
     texts = events.select(
-        "batch_id", F.floor(F.col("pos") / max_events).alias("part"), "pos", F.to_json(item, _JSON_TIME).alias("item"))
+        "batch_id", (F.floor(F.col("pos") / max_events) if max_events else F.lit(0).cast("bigint")).alias("part"), "pos", F.to_json(item, _JSON_TIME).alias("item"))
     grouped = texts.groupBy("batch_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("items"))
     listed = F.array_join(F.transform("items", lambda i: i["item"]), ",")
     source = F.to_json(F.struct(F.lit(service).cast("string").alias("sourceService")))
@@ -99,7 +100,7 @@ def batch_tenant(events: DataFrame) -> DataFrame:
     return agg.select("batch_id", F.when(F.col("lo") == F.col("hi"), F.col("first")).alias("batch_tenant"))
 
 
-def pack_batches(captured: DataFrame, size: int, mode: str = "cap", limit: int = 10_000) -> DataFrame:
+def pack_batches(captured: DataFrame, size: int, mode: str = "cap", limit: int | None = None) -> DataFrame:
     """Capture documents ``{"batch": [...]}`` with the number of events in each.
 
     ``cap``: at most ``size`` events of one request each. The document number comes from the
@@ -108,8 +109,7 @@ def pack_batches(captured: DataFrame, size: int, mode: str = "cap", limit: int =
 
     ``threshold``: whole requests pile up and everything pending goes out once ``size`` is met.
     Each partition keeps its own pile, as each collector process does, so nothing is shuffled. A
-    request of more than ``limit`` events goes out in several documents, so that a task never
-    holds more than that.
+    request goes out whole unless the caller gives a ``limit`` for its events.
     """
     if mode == "cap":
         grouped = captured.groupBy("batch_id", F.floor(F.col("pos") / size).alias("doc_no")).agg(
@@ -121,7 +121,7 @@ def pack_batches(captured: DataFrame, size: int, mode: str = "cap", limit: int =
     if mode != "threshold":
         raise ValueError(f"unknown packing mode: {mode}")
     schema = "batch_id string, doc_no bigint, event_count bigint, document string"
-    return captured.select("batch_id", "json").mapInArrow(_threshold_packer(size, max(size, limit)), schema)
+    return captured.select("batch_id", "json").mapInArrow(_threshold_packer(size, max(size, limit or sys.maxsize)), schema)
 
 
 def _threshold_packer(size: int, limit: int):

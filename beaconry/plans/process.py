@@ -51,11 +51,21 @@ class Processed:
         tagged = error_delivery(deliverable(self.error_events), self.opts.keys)
         return apply_default_tags(tagged, self.opts.default_tags)
 
-    def audit(self, failed: Iterable[str] = (), duration_ms: Column | None = None) -> DataFrame | None:
-        """Audit events after a fan-out; error reports have none."""
+    def audit(self, failed: Iterable[str] = (), duration_ms: Column | None = None,
+              single: DataFrame | None = None) -> DataFrame | None:
+        """Audit events after a fan-out; error reports have none.
+
+        ``failed``: sinks that took nothing; ``single``: (sink, batch_id) that a sink refused alone.
+        """
         if self.signal == ERRORS or not self.opts.publish_audit:
             return None
+        failed = list(failed)
         counted = self.stats.withColumn("sink_failures", failures_in(F.col("routes"), failed))
+        if single is not None:
+            alone = single.filter(~F.col("sink").isin(*failed)) if failed else single
+            alone = alone.groupBy("batch_id").agg(F.count_distinct("sink").alias("alone"))
+            counted = counted.join(alone, "batch_id", "left").withColumn(
+                "sink_failures", (F.col("sink_failures") + F.coalesce("alone", F.lit(0))).cast("int")).drop("alone")
         return ingestion_audit(counted, self.ctx, self.opts, duration_ms)
 
 

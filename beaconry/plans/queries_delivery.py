@@ -120,6 +120,54 @@ def r6(spark: SparkSession, d: str) -> DataFrame:
         "batch_id", "sink", (F.col("got") == F.col("want")).alias("intact"))
 
 
+@query("r6_write_twice", sql("""SELECT signal, count(*) AS payloads FROM (
+  SELECT 'logs' AS signal FROM bt UNION ALL SELECT 'traces' FROM bt) GROUP BY signal"""))
+def r6_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Two signals written one after the other, one of them twice: both are there, once."""
+    path = shared_folder(spark)
+    for signal in (LOGS, TRACES, LOGS):
+        write_payloads(routed_payloads(fx.envelopes(spark, d, signal), signal, SINKS), path, [ALL_SIGNALS])
+    return spark.read.parquet(path).groupBy("signal").agg(F.count("*").alias("payloads"))
+
+
+@query("r7_two_signals_one_ledger", sql("""SELECT signal, count(*) AS batches FROM (
+  SELECT 'logs' AS signal FROM bt UNION ALL SELECT 'traces' FROM bt) GROUP BY signal"""))
+def r7_two_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Logs, then traces, then logs again with one ledger and one epoch number: both arrive, once."""
+    path, ledger = shared_folder(spark), Ledger(spark, shared_folder(spark))
+    for signal in (LOGS, TRACES, LOGS):
+        run_batch(fx.envelopes(spark, d, signal), signal, [table_sink(ALL_SIGNALS, path)], ledger, 1, CTX, OPTS, SINKS)
+    return spark.read.parquet(path).groupBy("signal").agg(F.count("*").alias("batches"))
+
+
+@query("r14_audit_after_partial_failure", sql("""SELECT CASE WHEN batch_no % 4 = 1 THEN 'PartialSuccess' ELSE 'Success' END AS status,
+  count(*) AS batches FROM bt GROUP BY 1"""))
+def r14_partial(spark: SparkSession, d: str) -> DataFrame:
+    """A sink refuses some batches alone: their audit events, and no others, say so."""
+    path, env = shared_folder(spark), fx.envelopes(spark, d, LOGS)
+    refused = F.regexp_extract("batch_id", r"(\d+)$", 1).cast("int") % 4 == 1
+
+    def some(df: DataFrame, epoch: int) -> DataFrame:
+        return df.filter(refused).select("batch_id", F.lit("refused").alias("error"))
+
+    run_batch(env, LOGS, [callable_sink(ALL_SIGNALS, some)], Ledger(spark, shared_folder(spark)), 1, CTX, OPTS, SINKS,
+              audit_sink=table_sink(AUDIT_TOPIC, path, "audit"))
+    return spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("batches"))
+
+
+@query("r14_disabled_sinks", sql("SELECT 'error_tracker' AS sink, 0 AS events, count(*) AS batches FROM bt"))
+def r14_disabled(spark: SparkSession, d: str) -> DataFrame:
+    """A disabled error tracker gets no error event, whatever the logs hold; the payload sink gets every batch."""
+    path = shared_folder(spark)
+    configs = [SinkConfig(LOGS, ALL_SIGNALS), SinkConfig(LOGS, ERROR_TRACKER, enabled=False)]
+    run_batch(fx.envelopes(spark, d, LOGS), LOGS, [
+        table_sink(ERROR_TRACKER, f"{path}/errors", "error_events"), table_sink(ALL_SIGNALS, f"{path}/all")],
+        Ledger(spark, shared_folder(spark)), 1, CTX, OPTS, configs)
+    errors = spark.read.parquet(f"{path}/errors").agg(F.count("*").alias("events"))
+    batches = spark.read.parquet(f"{path}/all").agg(F.count("*").alias("batches"))
+    return errors.crossJoin(batches).select(F.lit(ERROR_TRACKER).alias("sink"), "events", "batches")
+
+
 def _failing(ordinal: int):
     """A sink that takes the rows it is given but reports some batches as failed."""
 
@@ -221,7 +269,7 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     ledger, path = Ledger(spark, shared_folder(spark)), shared_folder(spark)
     good = publish_audit(audit, table_sink(AUDIT_TOPIC, path, "audit"), 1, ledger)
     bad = publish_audit(audit, callable_sink("audit_mirror", _down, policy=analytics_policy(0)), 1, ledger)
-    rows = spark.read.parquet(f"{path}/epoch=1").select("batch_id", "correlation_id", F.lit(good or "ok").alias("topic"))
+    rows = spark.read.parquet(path).select("batch_id", "correlation_id", F.lit(good or "ok").alias("topic"))
     failure = spark.range(1).select(F.lit(None).cast("string").alias("batch_id"), F.lit(None).cast("string").alias("correlation_id"),
                                     F.lit(bad).alias("topic"))
     return rows.unionByName(failure)

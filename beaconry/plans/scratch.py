@@ -14,10 +14,13 @@ _LOCAL: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    Only where the cluster names none (local runs, tests) is a temporary folder used.
+    Where none is named, a local run uses a temporary folder; a cluster, whose machines don't share
+    such folders, is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="beaconry-")

@@ -28,15 +28,20 @@ class Sink:
     write: SinkWriter
     takes: str = "payload"
     policy: RetryPolicy = field(default_factory=otlp_policy)
+    #: for sinks that keep runs and signals apart: the writer for a scope ``sink_run=.../sink_signal=...``
+    scoped: Callable[[str], SinkWriter] | None = None
 
 
-def table_sink(name: str, path: str, takes: str = "payload", fmt: str = "parquet") -> Sink:
-    """Write to ``path/epoch=N``; replacing that folder makes a repeated epoch harmless."""
+def table_sink(name: str, path: str, takes: str = "payload", fmt: str = "parquet", policy: RetryPolicy | None = None) -> Sink:
+    """Write to ``path/sink_run=R/sink_signal=S/epoch=N``; replacing that folder makes a repeated epoch harmless."""
 
-    def write(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").format(fmt).save(f"{path}/epoch={epoch}")
+    def scoped(scope: str) -> SinkWriter:
+        def write(df: DataFrame, epoch: int) -> None:
+            df.write.mode("overwrite").format(fmt).save(f"{path}/{scope}/epoch={epoch}")
 
-    return Sink(name, write, takes)
+        return write
+
+    return Sink(name, scoped("sink_run=main/sink_signal=any"), takes, policy or otlp_policy(), scoped)
 
 
 def callable_sink(name: str, write: Callable[[DataFrame, int], DataFrame | None], takes: str = "payload",

@@ -19,18 +19,25 @@ FAILED_BATCHES = "epoch bigint, sink string, batch_id string, error string"
 
 
 class Ledger:
-    """Record of (epoch, sink) outcomes, and of single batches that failed.
+    """Record of outcomes by run, signal, epoch and sink, and of single batches that failed.
 
-    Both tables are partitioned by epoch and sink: recording again replaces, a rerun of an epoch
-    skips what was delivered, and looking up an epoch reads that epoch alone, however old the
-    stream is.
+    Both tables are partitioned by those four: recording again replaces, a rerun of an epoch skips
+    what was delivered, and looking up an epoch reads that epoch alone, however old the stream is.
+    Two signals, or two streams, may share one ledger; ``scoped`` tells them apart.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, run: str = "main", signal: str = "any"):
+        self.spark, self.path, self.run, self.signal = spark, path, run, signal
+
+    def scoped(self, run: str | None = None, signal: str | None = None) -> "Ledger":
+        return Ledger(self.spark, self.path, run or self.run, signal or self.signal)
+
+    @property
+    def scope(self) -> str:
+        return f"sink_run={self.run}/sink_signal={self.signal}"
 
     def _read(self, table: str, schema: str, epoch: int) -> DataFrame:
-        root = f"{self.path}/{table}"
+        root = f"{self.path}/{table}/{self.scope}"
         try:
             return self.spark.read.schema(schema).option("basePath", root).parquet(f"{root}/epoch={epoch}")
         except AnalysisException as missing:
@@ -39,7 +46,7 @@ class Ledger:
             return self.spark.createDataFrame([], schema)
 
     def _write(self, table: str, epoch: int, sink: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/epoch={epoch}/sink={sink}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/{self.scope}/epoch={epoch}/sink={sink}")
 
     def outcomes(self, epoch: int) -> DataFrame:
         return self._read("outcomes", LEDGER, epoch)
@@ -73,7 +80,8 @@ def fan_out(views: Mapping[str, Callable[[str], DataFrame]], sinks: Iterable[Sin
         if sink.name in done:
             outcomes[sink.name] = Attempted(True, 0)
             continue
-        outcome = with_retry(lambda s=sink: s.write(views[s.takes](s.name), epoch), sink.policy)
+        writer = sink.write if sink.scoped is None else sink.scoped(ledger.scope)
+        outcome = with_retry(lambda s=sink, w=writer: w(views[s.takes](s.name), epoch), sink.policy)
         if outcome.ok and isinstance(outcome.result, DataFrame):
             outcome = with_retry(
                 lambda s=sink, o=outcome: ledger.record_batches(epoch, s.name, o.result), sink.policy)
@@ -106,11 +114,15 @@ def publish_audit(audit: DataFrame, sink: Sink, epoch: int, ledger: Ledger) -> s
     return None if outcome.ok else TRANSPORT_PUBLISH
 
 
-def write_payloads(routed: DataFrame, path: str, sinks: Iterable[str]) -> None:
-    """Pass-through payloads to one table partitioned by sink and signal, in one job."""
+def write_payloads(routed: DataFrame, path: str, sinks: Iterable[str], epoch: int = 0, run: str = "main") -> None:
+    """Pass-through payloads to one table partitioned by sink, signal, run and epoch, in one job.
+
+    Writing an epoch again replaces its own partitions; what other signals, runs and epochs wrote stays.
+    """
     names = list(sinks)
     kept = routed.select(
         "batch_id", "received_at", "signal", "content_type", "payload",
         F.explode(F.filter("routes", lambda r: (r["decision"] == DELIVERED) & r["sink"].isin(*names))).alias("r"))
-    kept.select("*", F.col("r.sink").alias("sink")).drop("r").write.mode("overwrite").partitionBy(
-        "sink", "signal").parquet(path)
+    keyed = kept.select("*", F.col("r.sink").alias("sink"), F.lit(run).alias("run"), F.lit(epoch).alias("epoch")).drop("r")
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "sink", "signal", "run", "epoch").parquet(path)

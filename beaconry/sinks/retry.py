@@ -71,4 +71,4 @@ def with_retry(write: Callable[[], Any], policy: RetryPolicy,
             pause = policy.delay_ms(n, exc)
             if n + 1 < policy.attempts and pause > 0:
                 sleep(pause / 1000)
-    return Attempted(False, policy.attempts, f"{type(error).__name__}: {error}"[:500])
+    return Attempted(False, policy.attempts, f"{type(error).__name__}: {error}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Any, Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -29,10 +30,15 @@ def sink_views(envelopes: DataFrame, done: Processed, configs: Sequence[SinkConf
     def payload(sink: str) -> DataFrame:
         return delivered_to(routed_payloads(envelopes, done.signal, configs, json_only), sink).drop("routes")
 
+    def unless_disabled(sink: str, rows: DataFrame) -> DataFrame:
+        """Nothing for a sink that the configuration names but has disabled for this signal."""
+        named = [c.enabled for c in configs if c.sink == sink and c.signal == done.signal]
+        return rows if not named or any(named) else rows.limit(0)
+
     return {
         "payload": payload,
-        "error_events": lambda _sink: done.deliveries(),
-        "documents": lambda _sink: pack_batches(done.captured, done.opts.pack_size, "threshold"),
+        "error_events": lambda sink: unless_disabled(sink, done.deliveries()),
+        "documents": lambda sink: pack_batches(unless_disabled(sink, done.captured), done.opts.pack_size, "threshold"),
         "batches": lambda sink: delivered_to(done.stats, sink),
     }
 
@@ -45,15 +51,22 @@ def run_batch(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], ledger:
     configs = default_sinks(opts.min_level) if configs is None else configs
     if signal in (TRACES, METRICS, LOGS):
         kwargs = {"table": table, **kwargs}
+    ledger = ledger.scoped(signal=signal)
     done = PROCESS[signal](envelopes, ctx, opts, configs, **kwargs)
     outcomes = fan_out(
         sink_views(envelopes, done, configs, kwargs.get("json_only", False)), sinks, epoch, ledger)
-    audit = done.audit(failed_sinks(outcomes))
+    single = ledger.failed_batches(epoch)
+    audit = done.audit(failed_sinks(outcomes), single=None if single.isEmpty() else single)
     if audit is not None and audit_sink is not None:
         publish_audit(audit, audit_sink, epoch, ledger)
     return done
 
 
+def run_of(checkpoint: str) -> str:
+    """A stream's name in ledgers and sink folders: another checkpoint is another run."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+
 def process_stream(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], ledger_path: str, checkpoint: str,
                    ctx: Context = Context(), opts: CollectorOptions = CollectorOptions(),
                    configs: Sequence[SinkConfig] | None = None, audit_sink: Sink | None = None,
@@ -67,7 +80,7 @@ def process_stream(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], led
     spark = envelopes.sparkSession
 
     def each(batch: DataFrame, epoch: int) -> None:
-        ledger = Ledger(spark, ledger_path)
+        ledger = Ledger(spark, ledger_path, run_of(checkpoint))
         table = f"{table_root}/epoch={epoch}" if table_root else None
         run_batch(batch, signal, sinks, ledger, epoch, ctx, opts, configs, audit_sink, table, **kwargs)
 
@@ -94,7 +107,7 @@ def flush_stream(envelopes: DataFrame, sink: Sink, ledger_path: str, checkpoint:
     def each(batch: DataFrame, epoch: int) -> None:
         done = process_analytics(batch, ctx, opts)
         documents = pack_batches(done.captured, size, "threshold")
-        outcome = fan_out({sink.takes: lambda _n: documents}, [sink], epoch, Ledger(spark, ledger_path))[sink.name]
+        outcome = fan_out({sink.takes: lambda _n: documents}, [sink], epoch, Ledger(spark, ledger_path, run_of(checkpoint), ANALYTICS))[sink.name]
         if not outcome.ok:
             raise FlushFailed(outcome.error)
 
