@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from beaconry.plans import registry
 from check_oracle import TABLES, compare
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def names():
-    all_names = list(entry.queries())
+    all_names = list(registry.load()[0])
     return all_names if os.environ.get("ALL_QUERIES") else [
         n for n in all_names if n in QUICK or n.split("_")[0] in QUICK]
 
@@ -38,7 +39,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    queries, oracle = registry.load()
+    assert set(queries) == set(oracle)
 
 
 def test_entry_has_rows(spark):
