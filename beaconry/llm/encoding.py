@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; beyond it the store starts anew, results stay the same.
-KEPT_WORDS = 300_000
-#: Longer words are encoded each time they come.
+#: Pieces whose ids a worker keeps; beyond it the store starts anew, results stay the same.
+KEPT_PIECES = 400_000
+#: Longer pieces are encoded each time they come.
 LONGEST_KEPT = 64
+#: Pieces that go through the library in one text.
+TOGETHER = 512
+#: Texts with other characters, or with the start of a special token, are cut at white space only.
+ODD = re.compile("[^\t-\r -~¡-¬®-įı-ž]|<\\|")
 #: White space for ``str.split`` but not for the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: The cut of the vocabulary, fixed by its file, and the same cut for lower-case texts that are not odd.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_CUT = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ž²³¹¼-¾]+")
+WORD_END = "</w>"
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -29,11 +40,22 @@ def encoder(path: str | None = None) -> "WordEncoder":
     return _ENCODERS[path]
 
 
+def _cuts_plainly(path: str) -> bool:
+    """Whether a vocabulary lower-cases, cuts by ``CUT`` and marks the last token of a piece."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return kinds == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [CUT] and (
+        spec["model"].get("end_of_word_suffix") == WORD_END)
+
+
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    For a vocabulary whose tokens never span white space: a text's ids are those of its words in turn, so each
-    distinct word goes through the library once while it is kept. A text with control separators goes whole.
+    For a vocabulary whose tokens never span white space: a text's ids are those of its pieces in turn, so each
+    distinct piece goes through the library once while it is kept. Pieces are the tokenizer's own where the text
+    holds plain letters only, else words; a text with control separators goes whole.
     """
 
     def __init__(self, path: str):
@@ -42,25 +64,52 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.plain = _cuts_plainly(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> Iterable[bytes]:
+        """Many pieces as one text, cut again behind each token that ends a piece."""
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at:at + TOGETHER]
+            raw = self._encode([" ".join(some)])[0]
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1)).tolist()
+            if len(stops) == len(some):
+                yield from (raw[i:j] for i, j in zip([0, *stops], stops))
+            else:
+                yield from self._encode(some)
+
+    def _split(self, text: str) -> tuple[list[str] | None, bool]:
+        if self.plain and not ODD.search(text):
+            return PLAIN_CUT.findall(text.lower()), True
+        return (None if SEPARATORS.search(text) else text.split()), False
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if SEPARATORS.search(t) else t.split() for t in texts]
+        split = [self._split(t) for t in texts]
+        pieces: set[str] = set()
         words: set[str] = set()
-        for w in split:
-            if w:
-                words.update(w)
-        missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > KEPT_WORDS:
-            self.known, missing = {}, list(words)
-        self.known.update(zip(missing, self._encode(missing)))
-        whole = iter(self._encode([t for t, w in zip(texts, split) if w is None]))
+        for some, plain in split:
+            if some:
+                (pieces if plain else words).update(some)
+        # a plain piece on its own is also a word, with the same ids
+        words -= pieces
+        if len(self.known) + len(pieces) + len(words) > KEPT_PIECES:
+            new = sum(w not in self.known for w in pieces) + sum(w not in self.known for w in words)
+            if len(self.known) + new > KEPT_PIECES:
+                self.known = {}
+        missing = [w for w in pieces if w not in self.known]
+        self.known.update(zip(missing, self._encode_pieces(missing)))
+        others = [w for w in words if w not in self.known]
+        self.known.update(zip(others, self._encode(others)))
+        whole = iter(self._encode([t for t, (some, _) in zip(texts, split) if some is None]))
         get = self.known.__getitem__
-        out = [next(whole) if w is None else b"".join(map(get, w)) for w in split]
-        for w in missing:
+        out = [next(whole) if some is None else b"".join(map(get, some)) for some, _ in split]
+        for w in (*missing, *others):
             if len(w) > LONGEST_KEPT:
                 del self.known[w]
         return out
