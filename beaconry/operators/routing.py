@@ -17,6 +17,7 @@ from beaconry.functions.columns import min_severity
 from beaconry.functions.maps import let, nonempty, record
 from beaconry.functions.reuse import reused
 from beaconry.operators.stats import max_severity_of
+from beaconry.schemas import HEADER_COLUMNS
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.otlp import parse_json
 from beaconry.sources.proto import decode_documents
@@ -119,11 +120,18 @@ def filter_batches_by_level(envelopes: DataFrame, level: str) -> DataFrame:
     The severity is computed from the row's own payload, so no statistics are joined in and the
     payload is never shuffled.
     """
-    doc = parse_json(F.col("payload"), LOGS, "struct<severityNumber:int>")
-    mine = json_branch(envelopes, LOGS).withColumn("severity", max_severity_of(doc))
-    # A generator instead of a filter keeps it at one parse: a filter would repeat the column below it.
-    reached = F.when(F.col("severity") >= min_severity(level), F.array("severity"))
-    return mine.select(*envelopes.columns, F.explode(reached).alias("max_severity"))
+    text = json_branch(envelopes, LOGS).withColumn(
+        "doc", parse_json(F.col("payload"), LOGS, "struct<severityNumber:int>"))
+    binary = decode_documents(
+        proto_branch(envelopes, LOGS), LOGS, [c for c in envelopes.columns if c not in HEADER_COLUMNS])
+
+    def reaching(documents: DataFrame) -> DataFrame:
+        rated = documents.withColumn("severity", max_severity_of(F.col("doc")))
+        # A generator instead of a filter keeps it at one parse: a filter would repeat the column below it.
+        reached = F.when(F.col("severity") >= min_severity(level), F.array("severity"))
+        return rated.select(*envelopes.columns, F.explode(reached).alias("max_severity"))
+
+    return reaching(text).unionByName(reaching(binary))
 
 
 def routed_payloads(envelopes: DataFrame, signal: str, sinks: Sequence[SinkConfig],

@@ -107,10 +107,18 @@ def _json_count(signal: str) -> Column:
             .when(_malformed(signal), estimated_items(F.col("payload"), signal)).otherwise(exact))
 
 
+@reused
+def _proto_count(signal: str) -> Column:
+    """Exact count of a document that decodes, else the size estimate; none for an empty body."""
+    return F.when(F.col("doc").isNotNull(), item_count(F.col("doc"), signal)).otherwise(
+        estimated_from_size(F.col("payload_bytes"), signal))
+
+
 def count_items(envelopes: DataFrame, signal: str) -> DataFrame:
-    """Items per batch from a parse that skips everything but the array lengths."""
+    """Items per batch, JSON or protobuf, from a JSON parse that skips everything but the array lengths."""
     parsed = _parsed(envelopes, signal, "struct<name:string>")
-    return parsed.select("batch_id", _json_count(signal).alias("item_count"))
+    return parsed.select("batch_id", _json_count(signal).alias("item_count")).unionByName(
+        decode_proto(envelopes, signal).select("batch_id", _proto_count(signal).alias("item_count")))
 
 
 def count_spans(envelopes: DataFrame) -> DataFrame:
@@ -123,9 +131,12 @@ def count_logs(envelopes: DataFrame) -> DataFrame:
 
 def count_metrics(envelopes: DataFrame) -> DataFrame:
     """Metrics per batch, the 1:1 point estimate and the exact number of points."""
-    return _parsed(envelopes, METRICS, METRIC_SIZES).select(
-        "batch_id", _json_count(METRICS).alias("item_count"), point_count(F.col("doc")).alias("exact_points")).select(
-        "batch_id", "item_count", F.col("item_count").alias("estimated_points"), "exact_points")
+    def counted(documents: DataFrame, count: Column) -> DataFrame:
+        return documents.select("batch_id", count.alias("item_count"), point_count(F.col("doc")).alias("exact_points"))
+
+    both = counted(_parsed(envelopes, METRICS, METRIC_SIZES), _json_count(METRICS)).unionByName(
+        counted(decode_proto(envelopes, METRICS), _proto_count(METRICS)))
+    return both.select("batch_id", "item_count", F.col("item_count").alias("estimated_points"), "exact_points")
 
 
 def estimate_items(envelopes: DataFrame) -> DataFrame:
@@ -136,13 +147,18 @@ def estimate_items(envelopes: DataFrame) -> DataFrame:
 
 def batch_service_names(envelopes: DataFrame, signal: str) -> DataFrame:
     """Distinct service names per batch: any case, first spelling, first-seen order."""
-    return _parsed(envelopes, signal, "struct<name:string>").select(
-        "batch_id", service_names(F.col("doc"), JSON).alias("service_names"))
+    def named(documents: DataFrame, fmt: str) -> DataFrame:
+        return documents.select("batch_id", service_names(F.col("doc"), fmt).alias("service_names"))
+
+    return named(_parsed(envelopes, signal, "struct<name:string>"), JSON).unionByName(
+        named(decode_proto(envelopes, signal), PROTOBUF))
 
 
 def max_severity(envelopes: DataFrame) -> DataFrame:
-    return _parsed(envelopes, LOGS, "struct<severityNumber:int>").select(
-        "batch_id", max_severity_of(F.col("doc")).alias("max_severity"))
+    """Largest severity number per batch of logs, 0 if there is none or the payload can't be read."""
+    documents = _parsed(envelopes, LOGS, "struct<severityNumber:int>"), decode_proto(envelopes, LOGS)
+    one, other = (d.select("batch_id", max_severity_of(F.col("doc")).alias("max_severity")) for d in documents)
+    return one.unionByName(other)
 
 
 @reused

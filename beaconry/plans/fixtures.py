@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import ANALYTICS, ERRORS, INTERNAL_TENANT, LOGS, METRICS, TRACES
 from beaconry.sources.envelopes import read_envelopes, store_envelopes
-from beaconry.sources.proto import ROOT, message_classes
+from beaconry.sources.proto import ROOT, message_classes, protobuf_available
 
 BATCH_SIZE = 4
 LONG_KEY = "attribute.key.of.exactly.forty.characters"[:40]
@@ -460,3 +460,23 @@ def proto_envelopes(spark: SparkSession, sf_dir: str, signal: str, broken: bool
         else F.col("payload")
     kind = F.when(n % 2 == 0, "application/x-protobuf")
     return encoded.withColumns({"payload": payload, "content_type": kind})
+
+
+def mixed(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
+    """Every other batch as protobuf, the others as JSON; where the package is missing, all as JSON."""
+    text = envelopes(spark, sf_dir, signal)
+    if not protobuf_available():
+        return text
+    even = F.substring("batch_id", 2, 8).cast("int") % 2 == 0
+    return text.filter(~even).unionByName(proto_envelopes(spark, sf_dir, signal).filter(even))
+
+
+def spaced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analytics requests with white space around them, and four forms of each without usable events."""
+    good = envelopes(spark, sf_dir, ANALYTICS)
+    text = F.array(F.concat(F.lit("\n\t"), F.col("payload").cast("string"), F.lit("\r\n")), F.lit("null\r\n"),
+                   F.lit('\n{"events":[]}'), F.lit('\t{"events":null}\n'), F.lit('{"events":5}'))
+    formed = good.select(*good.columns, F.posexplode(text).alias("form", "text"))
+    return formed.select(*[
+        F.concat_ws("-", "batch_id", F.col("form") + 1).alias(c) if c == "batch_id"
+        else F.col("text").cast("binary").alias(c) if c == "payload" else F.col(c) for c in good.columns])

@@ -79,7 +79,7 @@ def _delivery(stats: DataFrame) -> DataFrame:
 
 @query("p6_filter_batches_by_level", sql("SELECT batch_id, max_sev AS max_severity FROM bt WHERE max_sev >= 13"))
 def p6(spark: SparkSession, d: str) -> DataFrame:
-    return filter_batches_by_level(fx.envelopes(spark, d, LOGS), "Warning").select("batch_id", "max_severity")
+    return filter_batches_by_level(fx.mixed(spark, d, LOGS), "Warning").select("batch_id", "max_severity")
 
 
 @query("r3_route", rsql("SELECT batch_id, signal, sink FROM rt WHERE reason = 'delivered'"))
@@ -310,7 +310,7 @@ def r14_traces(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r14_process_metrics", _audit_sql("metrics", "sig.n", "0", "sig JOIN hd USING (batch_id) WHERE signal = 'metrics'"))
 def r14_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _audit_rows(process_metrics(fx.envelopes(spark, d, METRICS), CTX, OPTS, json_only=True).audit())
+    return _audit_rows(process_metrics(fx.mixed(spark, d, METRICS), CTX, OPTS).audit())
 
 
 @query("r14_process_logs", _audit_sql("logs", "sig.n", "(sig.max_sev >= 13)::int",

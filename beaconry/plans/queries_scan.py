@@ -202,10 +202,13 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
 @query("a13_classify_rejects", sql("""SELECT batch_id, 'analytics' AS signal,
   CASE WHEN batch_no % 10 = 8 THEN 'Invalid JSON format' ELSE 'No events provided' END AS reason
   FROM bt WHERE batch_no % 10 >= 6
+  UNION ALL SELECT batch_id || '-' || form, 'analytics', CASE form WHEN 5 THEN 'Invalid JSON format'
+    ELSE 'No events provided' END FROM bt, range(2, 6) t(form)
   UNION ALL SELECT report_id, 'errors', CASE WHEN k % 10 = 6 THEN 'Invalid request' ELSE 'Invalid JSON format' END
   FROM er WHERE k % 10 IN (6, 7)"""))
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    both = fx.envelopes(spark, d, ANALYTICS, broken=True).unionByName(fx.envelopes(spark, d, ERRORS, broken=True))
+    both = fx.envelopes(spark, d, ANALYTICS, broken=True).unionByName(fx.envelopes(spark, d, ERRORS, broken=True)).unionByName(
+        fx.spaced_requests(spark, d))
     return classify_rejects(both).select("batch_id", "signal", "reason")
 
 
@@ -266,8 +269,9 @@ def p5(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COUNT = """SELECT batch_id, CASE WHEN batch_no % 8 = 0 THEN {good} WHEN batch_no % 8 = 1 THEN 0
-  WHEN batch_no % 8 = 4 THEN greatest(1, 19 * (batch_no % 97 + 1) // {per}) ELSE 1 END AS item_count{more}
-  FROM {source} WHERE batch_no % 8 < 5"""
+  WHEN batch_no % 8 = 4 THEN greatest(1, 19 * (batch_no % 97 + 1) // {per}) WHEN batch_no % 8 = 7 THEN 0
+  WHEN batch_no % 8 < 5 THEN 1 WHEN batch_no % 997 = 0 THEN 0 ELSE greatest(1, batch_no % 997 // {per}) END AS item_count{more}
+  FROM {source}"""
 
 
 @query("g1_count_spans", sql(_COUNT.format(good="n", per=300, more="", source="bt")))
@@ -303,13 +307,13 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
   SELECT batch_id, arg_min(svc, event_id) AS svc, min(event_id) AS p FROM ev GROUP BY batch_id, lower(svc))
   GROUP BY batch_id"""))
 def g5(spark: SparkSession, d: str) -> DataFrame:
-    return batch_service_names(fx.envelopes(spark, d, LOGS), LOGS).select(
+    return batch_service_names(fx.mixed(spark, d, LOGS), LOGS).select(
         "batch_id", F.array_join("service_names", "|").alias("service_names"))
 
 
 @query("g6_max_severity", sql("SELECT batch_id, max_sev AS max_severity FROM bt"))
 def g6(spark: SparkSession, d: str) -> DataFrame:
-    return max_severity(fx.envelopes(spark, d, LOGS))
+    return max_severity(fx.mixed(spark, d, LOGS))
 
 
 @query("g7_batch_stats", sql("""SELECT batch_id, 'logs' AS signal, count(*) AS item_count, 0 AS data_point_count,

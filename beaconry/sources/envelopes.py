@@ -78,9 +78,13 @@ def estimated_items(payload: Column, signal: Column | str) -> Column:
         F.greatest(F.lit(1), F.floor(size / per))).cast("bigint")
 
 
+#: White space of JSON.
+JSON_SPACE = " \t\r\n"
+
+
 def is_json_object(text: Column) -> Column:
     """The text parses as JSON and its root is an object."""
-    return F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{")
+    return F.try_parse_json(text).isNotNull() & F.ltrim(text, F.lit(JSON_SPACE)).startswith("{")
 
 
 def _format(envelopes: DataFrame) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from beaconry.constants import ANALYTICS, ERRORS, SEVERITY_ERROR, SEVERITY_NAMES, TENANT_ID
 from beaconry.functions.maps import nonempty, present, upsert
 from beaconry.schemas import ANALYTICS_REQUEST, ERROR_REPORT
-from beaconry.sources.envelopes import header_tenant, is_json_object
+from beaconry.sources.envelopes import JSON_SPACE, header_tenant, is_json_object
 
 NO_EVENTS, INVALID_JSON, INVALID_REQUEST = "No events provided", "Invalid JSON format", "Invalid request"
 EMPTY_TEXT_MAP = "map<string,string>"
@@ -31,9 +31,12 @@ def reject_reason(signal: Column, text: Column, item_count: Column) -> Column:
     ``item_count`` is the number of parsed events. Only requests without any are parsed a
     second time, to tell bad JSON from an empty list.
     """
-    literal_null = F.trim(text) == "null"
+    literal_null = F.trim(text, F.lit(JSON_SPACE)) == "null"
+    events = F.try_variant_get(F.try_parse_json(text), "$.events", "variant")
+    not_a_list = ~F.is_variant_null(events) & ~F.schema_of_variant(events).startswith("ARRAY")
     analytics = F.when(F.coalesce(item_count, F.lit(0)) <= 0,
-                       F.when(literal_null | is_json_object(text), NO_EVENTS).otherwise(INVALID_JSON))
+                       F.when(F.coalesce(not_a_list, F.lit(False)), INVALID_JSON)
+                       .when(literal_null | is_json_object(text), NO_EVENTS).otherwise(INVALID_JSON))
     errors = F.when(literal_null, INVALID_REQUEST).when(~is_json_object(text), INVALID_JSON)
     return F.when(signal == ANALYTICS, analytics).when(signal == ERRORS, errors)
 
