@@ -53,7 +53,7 @@ def ingestion_audit(stats: DataFrame, ctx: Context = Context(), opts: CollectorO
                     duration_ms: Column | None = None) -> DataFrame:
     """One audit event per batch from attributed statistics with ``sink_failures``.
 
-    The audit id is a hash of batch and signal, so a rerun writes the same event.
+    The audit id is a hash of batch and signal, so a rerun writes the same event. A duration that nobody measured is null.
     """
     n = F.col("sink_failures")
 
@@ -70,7 +70,7 @@ def ingestion_audit(stats: DataFrame, ctx: Context = Context(), opts: CollectorO
         count(TRACES).alias("trace_count"), count(METRICS).alias("metric_count"), count(LOGS).alias("log_count"),
         count(ANALYTICS).alias("analytics_event_count"), status_of(n).alias("status"),
         failure_message(n).alias("error_message"),
-        (F.lit(0) if duration_ms is None else duration_ms).cast("bigint").alias("processing_duration_ms"),
+        (F.lit(None) if duration_ms is None else duration_ms).cast("bigint").alias("processing_duration_ms"),
         F.map_from_entries(meta).alias("metadata"))
 
 

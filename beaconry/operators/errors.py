@@ -71,7 +71,7 @@ def span_errors_to_events(
                    F.concat(F.lit("Error in span: "), e["span_name"])).alias("message"),
         F.lit(SEVERITY_ERROR).alias("severity"), e["trace_id"].alias("correlation_id"),
         e["span_id"].alias("operation_id"), _none().alias("node_id"), _none().alias("user_id"),
-        _none().alias("environment"), _span_tags().alias("tags"), _extra().alias("extra"))
+        _none().alias("environment"), _span_tags().alias("tags"), _extra().alias("extra"), "batch_tenant")
     return enrich_errors(events, F.col("source_name"), ctx, opts)
 
 
@@ -86,7 +86,8 @@ def log_errors_to_events(
         severity_level(e["severity_number"]).alias("severity"),
         F.nullif(e["trace_id"], F.lit("")).alias("correlation_id"),
         F.nullif(e["span_id"], F.lit("")).alias("operation_id"), _none().alias("node_id"),
-        _none().alias("user_id"), _none().alias("environment"), _log_tags().alias("tags"), _extra().alias("extra"))
+        _none().alias("user_id"), _none().alias("environment"), _log_tags().alias("tags"), _extra().alias("extra"),
+        "batch_tenant")
     return enrich_errors(events, F.col("source_name"), ctx, opts)
 
 

@@ -41,8 +41,10 @@ class Processed:
         return ingest_counters(self.stats, self.opts.keys)
 
     def forwarded(self) -> DataFrame | None:
-        """Errors forwarded: counted from the batches for spans and logs."""
-        return None if self.error_events is None else forwarded_counters(self.error_events, "forward_tenant")
+        """Deliverable errors of spans and logs by the tenant of their batch; reports are not counted."""
+        if self.error_events is None or self.signal == ERRORS:
+            return None
+        return forwarded_counters(deliverable(self.error_events), "batch_tenant")
 
     def deliveries(self) -> DataFrame | None:
         """Error events as the error backend gets them."""
@@ -80,11 +82,7 @@ def _otlp(envelopes: DataFrame, signal: str, ctx: Context, opts: CollectorOption
         return Processed(signal, stats, ctx=ctx, opts=opts)
     build = span_errors_to_events if signal == TRACES else log_errors_to_events
     events = build(explode_errors(stats), ctx, opts)
-    return Processed(signal, stats, _with_forward_tenant(events), ctx=ctx, opts=opts)
-
-
-def _with_forward_tenant(events: DataFrame) -> DataFrame:
-    return events.withColumn("forward_tenant", F.col("tags")["tenant_id"])
+    return Processed(signal, stats, events, ctx=ctx, opts=opts)
 
 
 def process_traces(envelopes: DataFrame, ctx: Context = Context(), opts: CollectorOptions = CollectorOptions(),
@@ -147,11 +145,11 @@ def process_errors(envelopes: DataFrame, ctx: Context = Context(), opts: Collect
                    sinks: Sequence[SinkConfig] | None = None) -> Processed:
     """Error reports: accepted ones enriched for the error backend; no audit event."""
     reports, rejects = read_error_reports(envelopes)
-    events = _with_forward_tenant(enrich_errors(reports, F.col("source_name"), ctx, opts))
+    events = enrich_errors(reports, F.col("source_name"), ctx, opts)
     configs = default_sinks(opts.min_level) if sinks is None else sinks
     stats = events.select(
         "batch_id", "received_at", F.lit(ERRORS).alias("signal"), "source_name",
-        F.col("forward_tenant").alias("batch_tenant"), F.lit(1).cast("bigint").alias("item_count")).withColumn(
+        F.col("tags")["tenant_id"].alias("batch_tenant"), F.lit(1).cast("bigint").alias("item_count")).withColumn(
         "routes", decisions(configs, F.col("signal"), F.lit(True), F.lit(0), F.lit(1)))
     return Processed(ERRORS, stats, events, rejects=rejects, ctx=ctx, opts=opts)
 

@@ -394,10 +394,10 @@ def g9(spark: SparkSession, d: str) -> DataFrame:
   SELECT log.svc, hd.source_name, hd.batch_tenant FROM log JOIN hd USING (batch_id) WHERE json_error UNION ALL
   SELECT sp.svc, sp.svc, hd.batch_tenant FROM sp JOIN hd USING (batch_id) WHERE is_error) GROUP BY ALL"""))
 def g10(spark: SparkSession, d: str) -> DataFrame:
-    logs = process_logs(fx.envelopes(spark, d, LOGS), Context(), OPTS, json_only=True).error_events
-    spans = process_traces(fx.envelopes(spark, d, TRACES), Context(), OPTS, json_only=True).error_events
-    columns = ["source_name", "forward_tenant"]
-    return forwarded_counters(logs.select(*columns).unionByName(spans.select(*columns)), "forward_tenant")
+    logs = process_logs(fx.envelopes(spark, d, LOGS), CTX, OPTS, json_only=True).error_events
+    spans = process_traces(fx.envelopes(spark, d, TRACES), CTX, OPTS, json_only=True).error_events
+    columns = ["source_name", "batch_tenant"]
+    return forwarded_counters(logs.select(*columns).unionByName(spans.select(*columns)))
 
 
 @query("g9_collector_metrics", rsql(f"""SELECT 'collector.' || signal || '.ingested' AS metric, source_name,

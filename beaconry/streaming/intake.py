@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from typing import Any, Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from beaconry.constants import ANALYTICS, ERRORS, LOGS, METRICS, TRACES
@@ -47,7 +49,8 @@ def run_batch(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], ledger:
               ctx: Context = Context(), opts: CollectorOptions = CollectorOptions(),
               configs: Sequence[SinkConfig] | None = None, audit_sink: Sink | None = None,
               table: str | None = None, **kwargs: Any) -> Processed:
-    """Process one batch of envelopes, deliver it, then publish its audit events."""
+    """Process one batch of envelopes, deliver it, then publish its audit events with the time that took."""
+    began = time.monotonic()
     configs = default_sinks(opts.min_level) if configs is None else configs
     if signal in (TRACES, METRICS, LOGS):
         kwargs = {"table": table, **kwargs}
@@ -56,7 +59,8 @@ def run_batch(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], ledger:
     outcomes = fan_out(
         sink_views(envelopes, done, configs, kwargs.get("json_only", False)), sinks, epoch, ledger)
     single = ledger.failed_batches(epoch)
-    audit = done.audit(failed_sinks(outcomes), single=None if single.isEmpty() else single)
+    took = F.lit(int(1000 * (time.monotonic() - began)))
+    audit = done.audit(failed_sinks(outcomes), took, None if single.isEmpty() else single)
     if audit is not None and audit_sink is not None:
         publish_audit(audit, audit_sink, epoch, ledger)
     return done
