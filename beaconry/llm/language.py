@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beaconry.llm.common import batches, cut, table
+from beaconry.llm.graph import hinted
 
 VOCABULARY = "piece_bpe_32k.model"
 UNDETERMINED = "und"
@@ -196,15 +197,20 @@ def held_out(column) -> F.Column:
 def training_words(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """(lang, word, n) of at most ``per_language`` documents of each language that are not held out.
 
-    The sample's ids are found on ids alone; how many documents of a hot language there are doesn't matter to a task,
-    since each keeps its best ``per_language`` before they meet.
+    The sample's ids are found on ids alone. Counts first tell the range of hashes that holds a language's sample, so a
+    task ranks little more than ``per_language`` ids however many documents a hot language or a repeated id has.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").cast("string").alias("text"))
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     keyed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("pick"))
+    # a quarter more than wanted and a fixed margin, for the count is approximate and hashes are not quite even
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("pick").alias("size"))
+    reach = cut(sizes.select("lang", (F.lit(1.25 * per_language + 200) / F.col("size") * 2.0**64 - 2.0**63).alias("reach")))
+    near = keyed.join(hinted(reach), "lang").filter(F.col("pick").cast("double") <= F.col("reach"))
+    near = near.select("doc_id", "lang", "pick").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "doc_id"))
-    ids = cut(keyed.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id", "lang").distinct())
+    ids = cut(near.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id", "lang"))
     # at most per_language rows a language
     text = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.lower("text").alias("text"))
     words = text.select("lang", F.explode(F.split("text", r"[^\p{L}\p{M}]+")).alias("word")).filter("word <> ''")
