@@ -12,8 +12,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from beaconry.plans.scratch import shared_folder, written
+from beaconry.plans.shipping import ship_package
 
-__all__ = ["batches", "cut", "parts", "release", "shared_folder", "table", "texts_of"]
+__all__ = ["KEPT", "batches", "cut", "parts", "prepare", "release", "shared_folder", "table", "texts_of"]
+
+#: What a worker keeps for later tasks of the same kind; tasks of another kind drop it.
+KEPT: dict[str, object] = {}
+#: Bytes of one Arrow batch on its way to a worker; one longer row still goes whole.
+BATCH_BYTES = 6 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and keep Arrow batches small, so memory in JVM and worker follows the longest text."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +54,15 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def batches(source: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Smaller batches: at most ``rows`` rows, and few long texts together, so memory follows the longest text."""
+def batches(source: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 2 << 20,
+            keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: at most ``rows`` rows, and few long texts together, so memory follows the longest text.
+
+    ``keep``: the task uses what its worker has kept.
+    """
+    if not keep and KEPT:
+        KEPT.clear()
+        release()
     for batch in source:
         at, n = 0, batch.num_rows
         if not n:

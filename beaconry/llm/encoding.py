@@ -9,6 +9,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from beaconry.llm.common import KEPT
+
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces whose ids a worker keeps; beyond it the store starts anew, results stay the same.
 KEPT_PIECES = 400_000
@@ -26,8 +28,6 @@ PLAIN_CUT = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ž²³¹¼-¾]+")
 WORD_END = "</w>"
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
-
 
 def encoder(path: str | None = None) -> "WordEncoder":
     """One encoder per worker and vocabulary. ``path`` None: the public word vocabulary."""
@@ -35,9 +35,9 @@ def encoder(path: str | None = None) -> "WordEncoder":
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if path not in KEPT:
+        KEPT[path] = WordEncoder(path)
+    return KEPT[path]
 
 
 def _cuts_plainly(path: str) -> bool:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import batches, cut, table
+from beaconry.llm.common import batches, cut, release, table
 from beaconry.llm.graph import hinted
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -237,6 +237,8 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, roun
             counts = sum((_expected(pieces, c, w, prob) for c, w in blocks), np.zeros(pieces.size + 1))
             prob = counts / max(counts[:-1].sum(), 1e-9) * (1 - FLOOR * pieces.size) + FLOOR
             prob[-1] = UNKNOWN
+        del blocks
+        release()
         return pd.DataFrame({"lang": p["lang"].iloc[0], "piece": np.arange(pieces.size + 1), "p": prob})
 
     rows = training_words(docs, per_language).groupBy("lang").applyInPandas(fitted, "lang string, piece int, p double")

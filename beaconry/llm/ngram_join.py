@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import batches, cut, parts, table
+from beaconry.llm.common import batches, cut, parts, release, table
 from beaconry.llm.graph import components, hinted
 
 WORDS, SIMILARITY = 5, 80
@@ -231,6 +231,7 @@ def shared_counts(rows: DataFrame, n: int, reducers: int) -> DataFrame:
                 some = np.flatnonzero(sums)
                 if len(some):
                     yield from spread(docs[some], sums[some])
+        release()
 
     def total(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, counts = [], []
@@ -242,6 +243,8 @@ def shared_counts(rows: DataFrame, n: int, reducers: int) -> DataFrame:
             ids, at = np.unique(np.concatenate(docs), return_inverse=True)
             sums = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], names=["doc_id", "shared"])
+            del docs, counts, ids, at, sums
+        release()
 
     sent = rows.mapInArrow(send, "part int, docs binary, counts binary, keys binary, marks binary").repartition(reducers, "part")
     met = sent.mapInArrow(meet, "part int, docs binary, counts binary").repartition(reducers, "part")

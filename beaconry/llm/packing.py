@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         enc, end, shard = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         step = 4 * capacity
-        for b in batches(source, "text"):
+        for b in batches(source, "text", keep=True):
             rows: list[tuple] = []
             for doc, x in zip(b.column("doc_id").to_pylist(), enc.encode(texts_of(b.column("text")))):
                 x += end

@@ -44,7 +44,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, at = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes(), 0
         shard = TaskContext.get().partitionId()
-        for b in batches(source, "text"):
+        for b in batches(source, "text", keep=True):
             ids = [x + end for x in enc.encode(texts_of(b.column("text")))]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             ends = np.cumsum(n)

@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from beaconry.llm import language, mixing, ngram_join, packing, toxicity
-from beaconry.llm.common import cut, table
-from beaconry.plans.shipping import ship_package
+from beaconry.llm.common import cut, prepare, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score as toxic; the labels of ``sf_dir`` teach the score."""
-    ship_package(spark)
+    prepare(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose language can't be told."""
-    ship_package(spark)
+    prepare(spark)
     return language.drop_unidentified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word n-grams at 80 per cent Jaccard."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of 4096."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
