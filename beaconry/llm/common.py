@@ -23,7 +23,8 @@ BATCH_BYTES = 6 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package and keep Arrow batches small, so memory in JVM and worker follows the longest text."""
+    """Ship the package and, for stages that follow each other in one application, keep Arrow batches small, so memory
+    in JVM and worker follows the longest text."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

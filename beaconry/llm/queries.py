@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from beaconry.llm import language, mixing, ngram_join, packing, token_files, topk, toxicity, vector_dedup, warc, wrappers
-from beaconry.llm.common import prepare
+from beaconry.plans.shipping import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _shipped(fn: Query) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        prepare(spark)
+        ship_package(spark)
         return fn(spark, sf_dir)
 
     return run
