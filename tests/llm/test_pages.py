@@ -75,5 +75,12 @@ def test_templates_are_told_from_text_where_no_article_is_marked(spark):
     assert texts(spark, pages) == {i: f"Story {i}\n\nStory {i} text" for i in range(5)}
 
 
+def test_pages_without_a_mark_on_a_host_with_marked_ones(spark):
+    plain = "<body><div><a href=1>One</a></div><div>All rights kept</div><div><h2>{0}</h2><p>{0} text</p></div></body>"
+    story = "<body><div><a href=1>One</a></div><div>All rights kept</div><article><h2>{0}</h2><p>{0} text</p></article></body>"
+    pages = [(i, u, (story if i % 4 == 0 else plain).format(f"Story {i}")) for i in range(8) for u in [f"http://m.example/{i}" if i < 4 else None]]
+    assert texts(spark, pages) == {i: f"Story {i}\n\nStory {i} text" for i in range(8)}
+
+
 def test_no_pages(spark):
     assert texts(spark, []) == {}
