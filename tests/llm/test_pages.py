@@ -82,5 +82,15 @@ def test_pages_without_a_mark_on_a_host_with_marked_ones(spark):
     assert texts(spark, pages) == {i: f"Story {i}\n\nStory {i} text" for i in range(8)}
 
 
+def test_names_do_not_empty_an_article(spark):
+    a = "<article class='post comments-open'><p>a{0}</p><div class='social-science'><p>b{0}</p></div><div class='no-sidebar'>c{0}</div><div class='notice'>d{0}</div>{1}</article>"
+    b = "<div class='sidebar-wrapper'><h1>a{0}</h1><p>b{0} and a long text of the page</p></div><div class='site-banner'>Join us</div><div class='comments'><p>me too</p></div>"
+    c = "<form id='f'><main class='widget'><p>a{0} b{0}</p></main></form><div class='related'><article><p>more</p></article></div>"
+    d = "<article><p>a{0}</p><div class='share'>Tell others</div><div class='comments-list'>x{0}</div><div class='ad'>y{0}</div></article>"
+    pages = [(10 * k + i, f"http://{k}.example/{i}", f"<body class='has-sidebar'>{x.format(i, '')}</body>") for k, x in enumerate((a, b, c, d)) for i in range(3)]
+    want = ["a{0}\n\nb{0}\n\nc{0}\n\nd{0}", "a{0}\n\nb{0} and a long text of the page", "a{0} b{0}", "a{0}"]
+    assert texts(spark, pages) == {10 * k + i: x.format(i) for k, x in enumerate(want) for i in range(3)}
+
+
 def test_no_pages(spark):
     assert texts(spark, []) == {}
