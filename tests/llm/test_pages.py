@@ -92,5 +92,15 @@ def test_names_do_not_empty_an_article(spark):
     assert texts(spark, pages) == {10 * k + i: x.format(i) for k, x in enumerate(want) for i in range(3)}
 
 
+def test_copies_with_a_shape_of_their_own_keep_their_texts(spark):
+    page = "<body><div>All rights kept</div><div><h2>{0}</h2><p>{0} text</p></div></body>"
+    own = "<body><div>All rights kept</div><div><h2>Own</h2><blockquote>Said</blockquote><table><tr><td>cell</td></tr></table><p>twice</p><hr><p>twice</p></div></body>"
+    pages = [(i, f"http://c.example/{i}", own if i > 5 else page.format(f"Story {i}")) for i in range(8)]
+    two = [(i, f"http://d.example/{i}", own) for i in (10, 11)]
+    want = {i: "Own\n\nSaid\n\ncell\n\ntwice\n\ntwice" for i in (6, 7)} | {i: f"Story {i}\n\nStory {i} text" for i in range(6)}
+    alone = "All rights kept\n\nOwn\n\nSaid\n\ncell\n\ntwice\n\ntwice"
+    assert texts(spark, pages + two) == want | {10: alone, 11: alone}
+
+
 def test_no_pages(spark):
     assert texts(spark, []) == {}
