@@ -43,6 +43,21 @@ def test_every_query_has_an_oracle():
     assert set(queries) == set(oracle)
 
 
+def test_every_batch_has_an_estimate(spark):
+    """The SQL of g4 leaves good documents out, whose size is the encoder's: held against the payloads instead."""
+    from beaconry.constants import LOGS, METRICS, TRACES
+    from beaconry.plans import fixtures as fx
+
+    want, good = [], 0
+    for signal, per in ((TRACES, 300), (METRICS, 100), (LOGS, 150)):
+        for r in fx.malformed(spark, SF, signal).select("batch_id", "payload").collect():
+            size = len(r.payload or b"")
+            want.append((r.batch_id, signal, size and max(1, size // per)))
+            good += int(r.batch_id[1:9]) % 8 == 0
+    got = [(r.batch_id, r.signal, r.estimated_items) for r in entry.queries()["g4_estimate_items"](spark, SF).collect()]
+    assert good > 0 and sorted(got) == sorted(want)
+
+
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.columns == ["service_name", "severity_number", "errors", "with_exception"] and df.count() > 0
