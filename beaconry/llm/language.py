@@ -30,8 +30,6 @@ SAMPLE_PER_LANGUAGE = 2_000
 ROUNDS = 3
 #: The share of a piece's probability that all languages have in common, and what an unknown character costs.
 FLOOR, UNKNOWN = 1e-6, 1e-7
-#: Least score of a document that is kept in a pipeline.
-LEAST_SCORE = 0.5
 NOT_LETTERS = r"[^\pL\pM]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -299,15 +297,15 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def drop_unidentified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is told with at least ``least_score``."""
+def drop_unidentified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language can be told: those with letters, however few."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_languages(docs))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Identifier(shared.value)
         for b in batches(source, "text", rows=4096, size=3 << 20):
-            lang, score = by.predict(b.column("text"))
-            yield b.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(lang, score)], pa.bool_()))
+            lang, _ = by.predict(b.column("text"))
+            yield b.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -154,6 +154,13 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language.identify(nothing, language.fit_languages(nothing)).collect()} == {"und"}
 
 
+def test_short_documents_of_many_languages_stay(spark):
+    rows = [(10 * i + k, f"gut {w} {w}", y, "s", 1, 2, 3) for i in range(20) for k, (y, w) in enumerate([("aa", "haus"), ("bb", "wald"), ("cc", "mond")])]
+    docs = spark.createDataFrame(rows + [(900, "gut", "aa", "s", 1, 2, 3), (901, "12", "aa", "s", 1, 2, 3)], SCHEMA)
+    assert {r.doc_id: r.score for r in language.identify(docs, language.fit_languages(docs)).collect()}[900] < 0.5
+    assert {r.doc_id for r in language.drop_unidentified(docs).collect()} == {r[0] for r in rows} | {900}
+
+
 def segmentations(word, pieces):
     if not word:
         return 1.0
