@@ -23,8 +23,6 @@ from beaconry.llm.graph import hinted
 VOCABULARY = "piece_bpe_32k.model"
 UNDETERMINED = "und"
 START = "▁"
-#: Longer pieces of the vocabulary are left out.
-LONGEST_PIECE = 8
 #: Documents learned from, of each language at most: those with the smallest hashes of their id.
 SAMPLE_PER_LANGUAGE = 2_000
 ROUNDS = 3
@@ -34,8 +32,11 @@ NOT_LETTERS = r"[^\pL\pM]+"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary_pieces(path: str | None = None, longest: int = LONGEST_PIECE) -> list[str]:
-    """Lower-case letter pieces of the public vocabulary; a leading mark stands for the start of a word."""
+def vocabulary_pieces(path: str | None = None) -> list[str]:
+    """Lower-case pieces of letters and combining marks of the public vocabulary, of any length; a leading mark stands
+    for the start of a word."""
+    import unicodedata
+
     import sentencepiece
 
     if path is None:
@@ -46,7 +47,7 @@ def vocabulary_pieces(path: str | None = None, longest: int = LONGEST_PIECE) ->
     found = dict.fromkeys([START])
     for i in range(model.get_piece_size()):
         body = (piece := model.id_to_piece(i).lower()).removeprefix(START)
-        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and body.isalpha() and len(piece) <= longest:
+        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and body and all(unicodedata.category(c)[0] in "LM" for c in body):
             found[piece] = None
     return list(found)
 

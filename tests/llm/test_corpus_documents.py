@@ -1,5 +1,6 @@
 """Token files, packing, mixing, language, toxicity and the pipeline on odd documents."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -161,6 +162,12 @@ def test_short_documents_of_many_languages_stay(spark):
     assert {r.doc_id for r in language.drop_unidentified(docs).collect()} == {r[0] for r in rows} | {900}
 
 
+def test_pieces_of_any_length_and_with_marks():
+    pieces = language.vocabulary_pieces()
+    assert max(map(len, pieces)) > 8 and any(unicodedata.category(c)[0] == "M" for p in pieces for c in p)
+    assert all(unicodedata.category(c)[0] in "LM" for p in pieces for c in p.removeprefix(language.START))
+
+
 def segmentations(word, pieces):
     if not word:
         return 1.0
