@@ -378,7 +378,8 @@ class SignatureTree:
                     edges.append((i, j))
 
     def join(self, left: list[int], right: list[int] | None = None) -> list[tuple[int, int]]:
-        """Links that connect what is similar within ``left``, or between ``left`` and ``right``: a spanning forest."""
+        """Links that connect what is similar within ``left``, or between ``left`` and ``right``: a spanning forest.
+        A pair that is connected already is not verified, so these are not all links."""
         if not left or right is not None and not right:
             return []
         a = self.tree(left)
