@@ -3,7 +3,8 @@
 For an interval (a, b) the projector onto the eigenvectors whose eigenvalues lie in it is the contour integral of the
 resolvent (zI - V)^-1 around it. A Gauss-Legendre rule on the upper half of a circle turns it into complex shifted solves,
 conjugate points coming for free. Each round applies that rational filter to a block of vectors and extracts eigenpairs
-by Rayleigh-Ritz; the number expected inside is known before, from the inertia of V - aI and V - bI.
+by Rayleigh-Ritz. Inertia counts tell how many eigenvalues an interval holds, cut the wanted range into intervals whose
+neighbourhood is clear of other eigenvalues, and verify that none is missed.
 """
 
 from __future__ import annotations
@@ -11,36 +12,44 @@ from __future__ import annotations
 import numpy as np
 
 POINTS, ROUNDS = 8, 30
-#: Bunch's constant, which bounds the growth of the factors
-PIVOT = (1 + 17 ** 0.5) / 8
-
-
-def inertia(a: np.ndarray) -> tuple[int, int, int]:
-    """(positive, negative, zero) eigenvalues of a symmetric matrix, by the signs of the pivots of a Bunch-Parlett LDL'."""
-    a = np.array(a, dtype=np.float64)
-    floor = np.finfo(float).eps * np.abs(a).max(initial=0.0) * max(len(a), 1)
-    plus = minus = 0
-    while len(a):
-        n, diag = len(a), np.abs(np.diag(a))
-        off = np.abs(a - np.diag(np.diag(a)))
-        r, (i, j) = int(diag.argmax()), np.unravel_index(int(off.argmax()), off.shape)
-        if max(diag[r], off[i, j]) <= floor:
-            break
-        if diag[r] >= PIVOT * off[i, j]:
-            plus, minus = plus + (a[r, r] > 0), minus + (a[r, r] < 0)
-            rest = np.delete(np.arange(n), r)
-            a = a[np.ix_(rest, rest)] - np.outer(a[rest, r], a[r, rest]) / a[r, r]
-        else:  # a two by two block with a negative determinant: one eigenvalue of either sign
-            plus, minus = plus + 1, minus + 1
-            rest = np.delete(np.arange(n), [i, j])
-            block = a[np.ix_([i, j], [i, j])]
-            a = a[np.ix_(rest, rest)] - a[np.ix_(rest, [i, j])] @ np.linalg.solve(block, a[np.ix_([i, j], rest)])
-    return int(plus), int(minus), len(a)
+#: Where an interval is cut; the next one is tried if an eigenvalue lies on a cut.
+CUTS = (0.5123, 0.4871, 0.5391)
+
 
+class Inertia:
+    """Counts of eigenvalues beyond a shift, by the signs of the pivots of LDL'.
+
+    The matrix is reduced to three diagonals once, which keeps its inertia at every shift; a count is then one sweep.
+    """
 
-def above(v: np.ndarray, a: float) -> int:
-    """How many eigenvalues of ``v`` exceed ``a``; those within rounding of it don't count."""
-    return inertia(v - a * np.eye(len(v)))[0]
+    def __init__(self, v: np.ndarray):
+        a = np.array(v, dtype=np.float64)
+        d = len(a)
+        for k in range(d - 2):
+            u = a[k + 1:, k].copy()
+            length = np.linalg.norm(u)
+            if length == 0:
+                continue
+            u[0] += np.copysign(length, u[0])
+            u /= np.linalg.norm(u)
+            rest = a[k + 1:, k + 1:]
+            p = rest @ u
+            q = p - (u @ p) * u
+            rest -= 2 * (np.outer(u, q) + np.outer(q, u))
+            a[k + 1:, k] -= 2 * u * (u @ a[k + 1:, k])
+        self.main = np.diag(a).tolist()
+        self.side = np.diag(a, -1).tolist()
+        self.tiny = np.finfo(float).tiny ** 0.5
+
+    def above(self, shift: float) -> int:
+        """Eigenvalues greater than ``shift``."""
+        count, pivot = 0, 1.0
+        for i, m in enumerate(self.main):
+            pivot = m - shift - (self.side[i - 1] ** 2 / pivot if i else 0.0)
+            if abs(pivot) < self.tiny:
+                pivot = -self.tiny
+            count += pivot > 0
+        return count
 
 
 def contour(a: float, b: float, points: int) -> list[tuple[complex, complex]]:
@@ -51,13 +60,13 @@ def contour(a: float, b: float, points: int) -> list[tuple[complex, complex]]:
     return [((a + b) / 2 + t, wt * t / 2) for t, wt in zip(turn, w)]
 
 
-def inside(v: np.ndarray, a: float, b: float, count: int, points: int = POINTS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """The ``count`` eigenpairs of ``v`` in (a, b), ascending; ``count`` is their number by inertia.
+def inside(v: np.ndarray, a: float, b: float, count: int, around: int, points: int = POINTS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The ``count`` eigenpairs of ``v`` in (a, b), ascending; by inertia there are that many, and ``around`` near the interval.
 
     Raises ArithmeticError if no round finds that many with small residuals.
     """
     d = len(v)
-    size = min(d, max(count + 4, 3 * count // 2))
+    size = min(d, max(around, 3 * count // 2) + 4)
     y = np.random.default_rng(seed).standard_normal((d, size))
     scale, eye = np.abs(v).sum(axis=1).max(), np.eye(d)
     rule = contour(a, b, points)
@@ -83,37 +92,57 @@ def inside(v: np.ndarray, a: float, b: float, count: int, points: int = POINTS,
     return best[1], best[2]
 
 
+def slices(count: Inertia, a: float, b: float, least: float, cut: float) -> list[tuple[float, float, int, int]]:
+    """(a, b, eigenvalues inside, eigenvalues inside or near) of intervals that cover (a, b) and have clear surroundings."""
+    low, high = count.above(a), count.above(b)
+    if low == high:
+        return []
+    margin = (b - a) / 4
+    near = count.above(a - margin) - count.above(b + margin)
+    if near == low - high or b - a <= least:
+        return [(a, b, low - high, near)]
+    middle = a + (b - a) * cut
+    return slices(count, a, middle, least, cut) + slices(count, middle, b, least, cut)
+
+
 def leading(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, unit eigenvectors as columns) of the ``k`` largest eigenvalues of a covariance, falling.
 
-    Eigenvalues that are zero within rounding are left out, so there may be fewer. The interval's lower end is bisected by
-    inertia until at least ``k`` and few more eigenvalues lie above it, in the widest gap that the bisection meets.
+    Eigenvalues that are zero within rounding are left out, so there may be fewer. The lower end is bisected by inertia until
+    few more than ``k`` eigenvalues lie above it, then moved into the gap below them.
     """
     d = len(v)
     top = float(np.abs(v).sum(axis=1).max()) if d else 0.0
     if not top:
         return np.zeros(0), np.zeros((d, 0))
-    floor = top * d * 16 * np.finfo(float).eps
-    k = min(k, above(v, floor))
-    low, high, count = floor, top, above(v, floor)
-    for _ in range(60):
-        if count <= k or high - low <= 1e-9 * top:
-            break
+    count = Inertia(v)
+    low, high = top * d * 16 * np.finfo(float).eps, top
+    held = count.above(low)
+    k = min(k, held)
+    while held > k and high - low > 1e-9 * top:
         middle = (low + high) / 2
-        n = above(v, middle)
+        n = count.above(middle)
         if n >= k:
-            low, count = middle, n
+            low, held = middle, n
         else:
             high = middle
-    # The contour's end moves away from the nearest eigenvalue below: halfway down while nothing more comes inside.
     step = (top - low) / 4
     while step > 1e-12 * top:
-        if low - step > 0 and above(v, low - step) == count:
+        if low > step and count.above(low - step) == held:
             low -= step / 2
             break
         step /= 2
-    if above(v, top * (1 + 1e-6)):
-        raise ArithmeticError("eigenvalues above the bound of the row sums")
-    e, w = inside(v, low, top * 1.01, count)
-    order = np.argsort(-e, kind="stable")[:k]
-    return e[order], w[:, order] / np.linalg.norm(w[:, order], axis=0)
+    for last, cut in zip((False, False, True), CUTS):
+        try:
+            found = [inside(v, a, b, n, near) for a, b, n, near in slices(count, low, top * 1.01, 1e-9 * top, cut)]
+            break
+        except ArithmeticError:
+            if last:
+                raise
+    if sum(len(e) for e, _ in found) != held:
+        raise ArithmeticError(f"{held} eigenvalues above {low} by inertia, others found")
+    q, _ = np.linalg.qr(np.hstack([w for _, w in found]))
+    small = q.T @ v @ q
+    e, s = np.linalg.eigh((small + small.T) / 2)
+    w = q @ s[:, ::-1][:, :k]
+    return e[::-1][:k], w / np.linalg.norm(w, axis=0)

@@ -11,18 +11,20 @@ ODD = (None, "clash", 9, 8, None)
 
 def test_inertia():
     rng = np.random.default_rng(1)
-    for d in (1, 2, 7, 20):
+    for d in (1, 2, 3, 7, 20):
         a = rng.normal(size=(d, d))
         a += a.T
-        e = np.linalg.eigvalsh(a)
-        assert feast.inertia(a) == ((e > 0).sum(), (e < 0).sum(), 0)
-    assert feast.inertia(np.array([[0.0, 1.0], [1.0, 0.0]])) == (1, 1, 0)
-    assert feast.inertia(np.zeros((3, 3))) == (0, 0, 3)
+        e, count = np.linalg.eigvalsh(a), feast.Inertia(a)
+        for shift in (-1.5, 0.0, 0.3, 2.0):
+            assert count.above(shift) == (e > shift).sum()
+    assert feast.Inertia(np.array([[0.0, 1.0], [1.0, 0.0]])).above(0) == 1
+    assert feast.Inertia(np.zeros((3, 3))).above(0) == 0
+    assert feast.Inertia(np.diag([5.0, 5, 5, 1])).above(1) == 3
 
 
 @pytest.mark.parametrize("e", [
     [9, 8, 7, 6, 5, 4], [9, 9, 9, 9, 9, 9], [9, 9, 1, 1, 1, 0], [5, 0, 0, 0], [1e6, 1, 1e-3, 1e-6, 0], [3.0], [7, 7 * (1 - 1e-12), 3, 3, 3, 3, 2],
-    list(np.linspace(1, 1.001, 40)),
+    list(np.linspace(1, 1.001, 40)), [6475, 2138, 1099.7, 1097.2, 1067.8, 1063.6, *np.linspace(1056, 764, 58)], [5, 4, 3, 1 + 2e-7, 1 + 1e-7, 1],
 ])
 def test_leading(e):
     d = len(e)
@@ -38,7 +40,7 @@ def test_leading(e):
 
 def test_missed_eigenpairs_are_an_error():
     with pytest.raises(ArithmeticError):
-        feast.inside(np.diag([1.0, 2.0, 3.0]), 1.5, 3.5, 3)
+        feast.inside(np.diag([1.0, 2.0, 3.0]), 1.5, 3.5, 3, 3)
 
 
 def rows(d=6):
