@@ -35,11 +35,15 @@ def _tags(source: str | None, tenant: str) -> list[Column]:
     return tags + [safe_tenant(F.col(tenant)).alias("tenant_id")]
 
 
+def counted(stats: DataFrame, keys: TagKeys = KEYS, *more: Column) -> DataFrame:
+    """Batches of countable signals with metric name and tags."""
+    named = stats.select(metric_name(F.col("signal"), keys).alias("metric"), *_tags("source_name", "batch_tenant"), "item_count", *more)
+    return named.filter(F.col("metric").isNotNull())
+
+
 def ingest_counters(stats: DataFrame, keys: TagKeys = KEYS) -> DataFrame:
     """Items ingested per signal, source and safe tenant."""
-    named = stats.select(metric_name(F.col("signal"), keys).alias("metric"), *_tags("source_name", "batch_tenant"), "item_count")
-    return named.filter(F.col("metric").isNotNull()).groupBy("metric", "source_name", "tenant_id").agg(
-        F.sum("item_count").alias("value"))
+    return counted(stats, keys).groupBy("metric", "source_name", "tenant_id").agg(F.sum("item_count").alias("value"))
 
 
 def error_counters(failures: DataFrame) -> DataFrame:

@@ -33,6 +33,6 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from beaconry.plans import queries_delivery, queries_enrich, queries_scan, queries_values  # noqa: F401
+    from beaconry.plans import queries_delivery, queries_enrich, queries_scan, queries_streams, queries_values  # noqa: F401
 
     return QUERIES, ORACLE

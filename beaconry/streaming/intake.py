@@ -25,6 +25,12 @@ PROCESS = {
 }
 
 
+def unless_disabled(rows: DataFrame, configs: Sequence[SinkConfig], sink: str, signal: str) -> DataFrame:
+    """Nothing for a sink that the configuration names but has disabled for this signal."""
+    named = [c.enabled for c in configs if c.sink == sink and c.signal == signal]
+    return rows if not named or any(named) else rows.filter(F.lit(False))
+
+
 def sink_views(envelopes: DataFrame, done: Processed, configs: Sequence[SinkConfig],
                json_only: bool = False) -> Mapping[str, Callable[[str], DataFrame]]:
     """What a sink may ask for: routed payloads, error events, capture documents or batch rows."""
@@ -32,15 +38,10 @@ def sink_views(envelopes: DataFrame, done: Processed, configs: Sequence[SinkConf
     def payload(sink: str) -> DataFrame:
         return delivered_to(routed_payloads(envelopes, done.signal, configs, json_only), sink).drop("routes")
 
-    def unless_disabled(sink: str, rows: DataFrame) -> DataFrame:
-        """Nothing for a sink that the configuration names but has disabled for this signal."""
-        named = [c.enabled for c in configs if c.sink == sink and c.signal == done.signal]
-        return rows if not named or any(named) else rows.limit(0)
-
     return {
         "payload": payload,
-        "error_events": lambda sink: unless_disabled(sink, done.deliveries()),
-        "documents": lambda sink: pack_batches(unless_disabled(sink, done.captured), done.opts.pack_size, "threshold"),
+        "error_events": lambda sink: unless_disabled(done.deliveries(), configs, sink, done.signal),
+        "documents": lambda sink: pack_batches(unless_disabled(done.captured, configs, sink, done.signal), done.opts.pack_size, "threshold"),
         "batches": lambda sink: delivered_to(done.stats, sink),
     }
 

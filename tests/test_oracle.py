@@ -12,7 +12,7 @@ from check_oracle import TABLES, compare
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUICK = ("a3", "a5", "a6", "a11", "a12", "a13", "c2", "c5", "c13", "c15", "d1_enrich_resource", "d4", "d9", "g1", "g5",
-         "p5_extract_error_logs", "p6", "r1", "r7", "r12", "r13_pack_batches", "g12")
+         "p5_extract_error_logs", "p6", "r1", "r7", "r12", "r13_pack_batches", "g12", "x1", "x2")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
