@@ -16,7 +16,7 @@ from beaconry.constants import ANALYTICS, ERRORS, LOGS, METRICS, TRACES
 from beaconry.functions.columns import min_severity
 from beaconry.functions.maps import let, nonempty, record
 from beaconry.functions.reuse import reused
-from beaconry.operators.stats import max_severity_of
+from beaconry.operators.stats import RATED, max_severity_of
 from beaconry.schemas import HEADER_COLUMNS
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.otlp import parse_json
@@ -121,9 +121,9 @@ def filter_batches_by_level(envelopes: DataFrame, level: str) -> DataFrame:
     payload is never shuffled.
     """
     text = json_branch(envelopes, LOGS).withColumn(
-        "doc", parse_json(F.col("payload"), LOGS, "struct<severityNumber:int>"))
+        "doc", parse_json(F.col("payload"), LOGS, RATED, False))
     binary = decode_documents(
-        proto_branch(envelopes, LOGS), LOGS, [c for c in envelopes.columns if c not in HEADER_COLUMNS])
+        proto_branch(envelopes, LOGS), LOGS, [c for c in envelopes.columns if c not in HEADER_COLUMNS], RATED, False)
 
     def reaching(documents: DataFrame) -> DataFrame:
         rated = documents.withColumn("severity", max_severity_of(F.col("doc")))
@@ -151,9 +151,9 @@ def routed_payloads(envelopes: DataFrame, signal: str, sinks: Sequence[SinkConfi
     if signal != LOGS or not any(c.enabled and c.min_level for c in wanted):
         return decided(envelopes.filter(F.col("signal") == signal), F.lit(0))
     parsed = json_branch(envelopes, LOGS).withColumn(
-        "doc", parse_json(F.col("payload"), LOGS, "struct<severityNumber:int>"))
+        "doc", parse_json(F.col("payload"), LOGS, RATED, False))
     routed = decided(parsed, max_severity_of(F.col("doc")))
     if json_only:
         return routed
-    binary = decode_documents(proto_branch(envelopes, LOGS), LOGS, ("signal", "content_type", "payload"))
+    binary = decode_documents(proto_branch(envelopes, LOGS), LOGS, ("signal", "content_type", "payload"), RATED, False)
     return routed.unionByName(decided(binary, max_severity_of(F.col("doc"))))

@@ -14,7 +14,7 @@ from beaconry.constants import BYTES_PER_ITEM, JSON, LOGS, METRICS, PROTOBUF, TR
 from beaconry.functions.columns import service_name, service_names
 from beaconry.functions.reuse import reused
 from beaconry.operators.extract import log_errors_in, log_record, span_errors_in, span_record
-from beaconry.schemas import HEADER_COLUMNS, METRIC_BODIES, METRIC_SIZES, TREE
+from beaconry.schemas import ERROR_SIGNS, HEADER_COLUMNS, METRIC_BODIES, METRIC_SIZES, TREE
 from beaconry.sources.envelopes import estimated_items, is_json_object, json_branch
 from beaconry.sources.otlp import decode_proto, parse_json
 
@@ -81,12 +81,17 @@ def error_records(doc: Column, signal: str, fmt: Column | str, arrival: Column,
     return F.flatten(F.transform(F.coalesce(doc[resources], F.array()), of_resource))
 
 
-def _parsed(envelopes: DataFrame, signal: str, item: str | None = None) -> DataFrame:
+#: What rating and counting need of an item; a struct has one field at least.
+RATED = "struct<severityNumber:int>"
+COUNTED = {TRACES: "struct<kind:int>", METRICS: METRIC_SIZES, LOGS: "struct<flags:int>"}
+
+
+def _parsed(envelopes: DataFrame, signal: str, item: str | None = None, resources: bool = True) -> DataFrame:
     """JSON envelopes with document, size and text (the text only serves bad documents)."""
     keep = [c for c in HEADER_COLUMNS if c in envelopes.columns]
     return json_branch(envelopes, signal).select(
         *keep, F.lit(JSON).alias("source_format"), F.octet_length("payload").alias("payload_bytes"),
-        F.col("payload"), parse_json(F.col("payload"), signal, item).alias("doc"))
+        F.col("payload"), parse_json(F.col("payload"), signal, item, resources).alias("doc"))
 
 
 @reused
@@ -115,10 +120,10 @@ def _proto_count(signal: str) -> Column:
 
 
 def count_items(envelopes: DataFrame, signal: str) -> DataFrame:
-    """Items per batch, JSON or protobuf, from a JSON parse that skips everything but the array lengths."""
-    parsed = _parsed(envelopes, signal, "struct<name:string>")
+    """Items per batch, JSON or protobuf, from parses that step over what is in the items and resources."""
+    parsed = _parsed(envelopes, signal, COUNTED[signal], False)
     return parsed.select("batch_id", _json_count(signal).alias("item_count")).unionByName(
-        decode_proto(envelopes, signal).select("batch_id", _proto_count(signal).alias("item_count")))
+        decode_proto(envelopes, signal, COUNTED[signal], False).select("batch_id", _proto_count(signal).alias("item_count")))
 
 
 def count_spans(envelopes: DataFrame) -> DataFrame:
@@ -134,8 +139,8 @@ def count_metrics(envelopes: DataFrame) -> DataFrame:
     def counted(documents: DataFrame, count: Column) -> DataFrame:
         return documents.select("batch_id", count.alias("item_count"), point_count(F.col("doc")).alias("exact_points"))
 
-    both = counted(_parsed(envelopes, METRICS, METRIC_SIZES), _json_count(METRICS)).unionByName(
-        counted(decode_proto(envelopes, METRICS), _proto_count(METRICS)))
+    both = counted(_parsed(envelopes, METRICS, METRIC_SIZES, False), _json_count(METRICS)).unionByName(
+        counted(decode_proto(envelopes, METRICS, METRIC_SIZES, False), _proto_count(METRICS)))
     return both.select("batch_id", "item_count", F.col("item_count").alias("estimated_points"), "exact_points")
 
 
@@ -150,13 +155,13 @@ def batch_service_names(envelopes: DataFrame, signal: str) -> DataFrame:
     def named(documents: DataFrame, fmt: str) -> DataFrame:
         return documents.select("batch_id", service_names(F.col("doc"), fmt).alias("service_names"))
 
-    return named(_parsed(envelopes, signal, "struct<name:string>"), JSON).unionByName(
-        named(decode_proto(envelopes, signal), PROTOBUF))
+    return named(_parsed(envelopes, signal, COUNTED[signal]), JSON).unionByName(
+        named(decode_proto(envelopes, signal, COUNTED[signal]), PROTOBUF))
 
 
 def max_severity(envelopes: DataFrame) -> DataFrame:
     """Largest severity number per batch of logs, 0 if there is none or the payload can't be read."""
-    documents = _parsed(envelopes, LOGS, "struct<severityNumber:int>"), decode_proto(envelopes, LOGS)
+    documents = _parsed(envelopes, LOGS, RATED, False), decode_proto(envelopes, LOGS, RATED, False)
     one, other = (d.select("batch_id", max_severity_of(F.col("doc")).alias("max_severity")) for d in documents)
     return one.unionByName(other)
 
@@ -203,6 +208,13 @@ def _profile(decoded: DataFrame, signal: str, fmt: str, count: Column, method: C
     return out.withColumn("error_count", F.coalesce(F.size("errors"), F.lit(0)).cast("bigint"))
 
 
+def profiled(signal: str, records: bool) -> str | None:
+    """What a profile needs of an item: everything for error records, else what tells errors apart."""
+    if signal == METRICS:
+        return METRIC_SIZES
+    return None if records else ERROR_SIGNS[signal]
+
+
 def profile_batches(envelopes: DataFrame, signal: str, strict: bool = False, exact_proto: bool = True,
                     records: bool = True) -> DataFrame:
     """One row per batch with all its statistics and, for traces and logs, its error records.
@@ -212,7 +224,7 @@ def profile_batches(envelopes: DataFrame, signal: str, strict: bool = False, exa
     size estimate for protobuf batches; ``records=False`` counts errors without building them.
     """
     j = profile_json(envelopes, signal, strict, records)
-    decoded = decode_proto(envelopes, signal)
+    decoded = decode_proto(envelopes, signal, profiled(signal, records))
     readable = F.col("doc").isNotNull() & F.lit(exact_proto)
     per = estimated_from_size(F.col("payload_bytes"), signal)
     p = _profile(decoded, signal, PROTOBUF, F.when(readable, item_count(F.col("doc"), signal)).otherwise(per),
@@ -222,7 +234,7 @@ def profile_batches(envelopes: DataFrame, signal: str, strict: bool = False, exa
 
 def profile_json(envelopes: DataFrame, signal: str, strict: bool = False, records: bool = True) -> DataFrame:
     """``profile_batches`` for input known to hold JSON only: no Python worker in the plan."""
-    parsed = _parsed(envelopes, signal, METRIC_SIZES if signal == METRICS else None)
+    parsed = _parsed(envelopes, signal, profiled(signal, records))
     return _profile(parsed, signal, JSON, _json_count(signal),
                     F.when(_malformed(signal), "estimated").otherwise("exact"), strict, records)
 

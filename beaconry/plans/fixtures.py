@@ -15,25 +15,32 @@ from pyspark.sql import functions as F
 
 from beaconry.constants import ANALYTICS, ERRORS, INTERNAL_TENANT, LOGS, METRICS, TRACES
 from beaconry.sources.envelopes import read_envelopes, store_envelopes
-from beaconry.sources.proto import ROOT, message_classes, protobuf_available
+from beaconry.sources.proto import ROOT, message_class
 
 BATCH_SIZE = 4
 LONG_KEY = "attribute.key.of.exactly.forty.characters"[:40]
-_STORED: dict[str, str] = {}
 _PLANS: dict[tuple, DataFrame] = {}
 
 
-def store(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """Write every JSON envelope of a data folder once, for runs that time the operators alone."""
-    parts = [build(spark, sf_dir, s) for s in (LOGS, TRACES, METRICS, ANALYTICS, ERRORS)]
-    rows = reduce(DataFrame.unionByName, parts).repartition(16, "batch_id")
-    store_envelopes(rows, path, "overwrite")
-    _STORED[sf_dir] = path
-    return path
+class Stored(str):
+    """A data folder whose envelopes ``store`` has written to ``envelopes`` (and, of both formats, to ``mixed``)."""
+
+    envelopes: str
+    mixed: str
+
 
+def store(spark: SparkSession, sf_dir: str, path: str) -> Stored:
+    """Write the envelopes of a data folder, for runs that time the operators alone.
 
-def forget(sf_dir: str) -> None:
-    _STORED.pop(sf_dir, None)
+    Queries that are given the result read them back; those given the plain folder build them.
+    """
+    out = Stored(sf_dir)
+    out.envelopes, out.mixed = f"{path}/json", f"{path}/mixed"
+    parts = [build(spark, sf_dir, s) for s in (LOGS, TRACES, METRICS, ANALYTICS, ERRORS)]
+    store_envelopes(reduce(DataFrame.unionByName, parts).repartition(16, "batch_id"), out.envelopes, "overwrite")
+    both = [mixed(spark, sf_dir, s) for s in (LOGS, TRACES, METRICS)]
+    store_envelopes(reduce(DataFrame.unionByName, both).repartition(16, "batch_id"), out.mixed, "overwrite")
+    return out
 
 
 def micros(df: DataFrame, column: str = "ts") -> Column:
@@ -377,8 +384,8 @@ def _build(spark: SparkSession, sf_dir: str, signal: str, broken: bool) -> DataF
 
 def envelopes(spark: SparkSession, sf_dir: str, signal: str, broken: bool = False) -> DataFrame:
     """JSON envelopes of one signal: built, or read back where ``store`` wrote them."""
-    if sf_dir in _STORED and not broken:
-        return read_envelopes(spark, _STORED[sf_dir], partitioned=True).filter(F.col("signal") == signal)
+    if isinstance(sf_dir, Stored) and not broken:
+        return read_envelopes(spark, sf_dir.envelopes, partitioned=True).filter(F.col("signal") == signal)
     return build(spark, sf_dir, signal, broken)
 
 
@@ -444,7 +451,7 @@ def proto_envelopes(spark: SparkSession, sf_dir: str, signal: str, broken: bool
     def encode(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        cls = message_classes()[root]
+        cls = message_class(root)
         for batch in batches:
             out = []
             for text in batch.column("payload").to_pylist():
@@ -463,10 +470,10 @@ def proto_envelopes(spark: SparkSession, sf_dir: str, signal: str, broken: bool
 
 
 def mixed(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
-    """Every other batch as protobuf, the others as JSON; where the package is missing, all as JSON."""
+    """Every other batch as protobuf, the others as JSON."""
+    if isinstance(sf_dir, Stored):
+        return read_envelopes(spark, sf_dir.mixed, partitioned=True).filter(F.col("signal") == signal)
     text = envelopes(spark, sf_dir, signal)
-    if not protobuf_available():
-        return text
     even = F.substring("batch_id", 2, 8).cast("int") % 2 == 0
     return text.filter(~even).unionByName(proto_envelopes(spark, sf_dir, signal).filter(even))
 

@@ -14,7 +14,7 @@ from beaconry.operators.enrich import attribute_batches
 from beaconry.operators.routing import (
     ALL_SIGNALS, AUDIT_TOPIC, ERROR_TRACKER, LOG_STORE, METRIC_STORE, TRACE_STORE, SinkConfig, all_signal_sink,
     default_sinks, filter_batches_by_level, route, route_decisions, routed_payloads)
-from beaconry.operators.stats import profile_json
+from beaconry.operators.stats import profile_batches
 from beaconry.plans import fixtures as fx
 from beaconry.plans.process import (
     process_analytics, process_errors, process_logs, process_metrics, process_traces, processing_failures)
@@ -38,7 +38,7 @@ SINKS = [
 ORDINAL = {TRACE_STORE: 0, METRIC_STORE: 1, LOG_STORE: 2, ALL_SIGNALS: 3, ERROR_TRACKER: 4, "archive": 5}
 
 _SIG = """sig AS (
-  SELECT hd.batch_no, batch_id, 'logs' AS signal, count(*) AS n, count_if(json_error) AS errors, any_value(max_sev) AS max_sev
+  SELECT hd.batch_no, batch_id, 'logs' AS signal, count(*) AS n, count_if(mixed_error) AS errors, any_value(max_sev) AS max_sev
   FROM log JOIN hd USING (batch_id) GROUP BY hd.batch_no, batch_id
   UNION ALL SELECT batch_no, batch_id, 'traces', count(*), count_if(is_error), 0 FROM sp GROUP BY batch_no, batch_id
   UNION ALL SELECT batch_no, batch_id, 'metrics', 3 * count(DISTINCT svc), 0, 0 FROM ev GROUP BY batch_no, batch_id),
@@ -61,7 +61,7 @@ def rsql(body: str) -> str:
 def _stats(spark: SparkSession, d: str) -> DataFrame:
     """Attributed and routed statistics of the three OTLP signals."""
     def one(signal: str) -> DataFrame:
-        stats = attribute_batches(profile_json(fx.envelopes(spark, d, signal), signal, records=False))
+        stats = attribute_batches(profile_batches(fx.mixed(spark, d, signal), signal, records=False))
         return route(stats, SINKS)
 
     return one(LOGS).unionByName(one(TRACES)).unionByName(one(METRICS))
@@ -112,9 +112,9 @@ def r5(spark: SparkSession, d: str) -> DataFrame:
 @query("r6_write_sink", sql("""SELECT batch_id, sink, true AS intact FROM bt,
   (VALUES ('log_store', 13), ('all_signals', 0)) s(sink, low) WHERE max_sev >= low"""))
 def r6(spark: SparkSession, d: str) -> DataFrame:
-    env = fx.envelopes(spark, d, LOGS)
+    env = written(fx.mixed(spark, d, LOGS))
     path = shared_folder(spark)
-    write_payloads(routed_payloads(env, LOGS, SINKS, json_only=True), path, [LOG_STORE, ALL_SIGNALS])
+    write_payloads(routed_payloads(env, LOGS, SINKS), path, [LOG_STORE, ALL_SIGNALS])
     back = spark.read.parquet(path).select("batch_id", "sink", F.md5("payload").alias("got"))
     return back.join(env.select("batch_id", F.md5("payload").alias("want")), "batch_id").select(
         "batch_id", "sink", (F.col("got") == F.col("want")).alias("intact"))
@@ -183,12 +183,12 @@ def _down(df: DataFrame, epoch: int) -> None:
 
 
 def _fanned_out(spark: SparkSession, d: str) -> DataFrame:
-    env = fx.envelopes(spark, d, TRACES)
-    done = process_traces(env, CTX, OPTS, SINKS, table=shared_folder(spark), json_only=True)
+    env = written(fx.mixed(spark, d, TRACES))
+    done = process_traces(env, CTX, OPTS, SINKS, table=shared_folder(spark))
     ledger = Ledger(spark, shared_folder(spark))
     sinks = [callable_sink(TRACE_STORE, _failing(0)), callable_sink(ALL_SIGNALS, _down, policy=analytics_policy(0)),
              table_sink(ERROR_TRACKER, shared_folder(spark), "error_events")]
-    fan_out(sink_views(env, done, SINKS, json_only=True), sinks, 1, ledger)
+    fan_out(sink_views(env, done, SINKS), sinks, 1, ledger)
     return sink_delivery(route_decisions(done.stats), ledger, 1)
 
 
@@ -205,7 +205,7 @@ def r7(spark: SparkSession, d: str) -> DataFrame:
   count(*) AS batches FROM bt UNION ALL SELECT 'limited', 4, false, count(*) FROM bt)"""))
 def r8(spark: SparkSession, d: str) -> DataFrame:
     """A sink that recovers at its third try and one that stays rate limited."""
-    env = fx.envelopes(spark, d, TRACES)
+    env = written(fx.mixed(spark, d, TRACES))
     tries = {"flaky": 0}
 
     def flaky(df: DataFrame, epoch: int) -> None:
@@ -219,7 +219,7 @@ def r8(spark: SparkSession, d: str) -> DataFrame:
 
     ledger = Ledger(spark, shared_folder(spark))
     configs = [SinkConfig(TRACES, "flaky"), SinkConfig(TRACES, "limited")]
-    done = process_traces(env, CTX, OPTS, configs, table=shared_folder(spark), json_only=True)
+    done = process_traces(env, CTX, OPTS, configs, table=shared_folder(spark))
     sinks = [callable_sink("flaky", flaky), callable_sink("limited", limited, policy=analytics_policy(3))]
     fan_out(sink_views(env, done, configs), sinks, 1, ledger)
     delivery = sink_delivery(route_decisions(done.stats), ledger, 1)
@@ -244,10 +244,9 @@ _AUDIT_META = f"""CASE WHEN failures > 0 THEN cast(failures AS varchar) END AS f
   CASE WHEN signal = 'logs' THEN n ELSE 0 END AS log_count, 0 AS analytics_event_count,
   CASE WHEN failures > 0 THEN 'PartialSuccess' ELSE 'Success' END AS status,
   CASE WHEN failures > 0 THEN failures || ' sink(s) failed to export' END AS error_message, n * 3 AS duration, {_AUDIT_META}
-  FROM (SELECT sig.signal, sig.signal || '/' || sig.batch_id AS key, sig.n, hd.received_ms, hd.source_name, hd.header_node_id,
-        coalesce(f.failures, 0) AS failures FROM sig JOIN hd USING (batch_id) LEFT JOIN (
-        SELECT signal, batch_id, count(*) AS failures FROM dl WHERE NOT ok GROUP BY signal, batch_id) f
-        ON f.signal = sig.signal AND f.batch_id = sig.batch_id)"""))
+  FROM (SELECT f.*, f.signal || '/' || f.batch_id AS key, hd.received_ms, hd.source_name, hd.header_node_id FROM (
+        SELECT signal, batch_id, any_value(n) AS n, count_if(reason = 'delivered' AND (batch_no + ord) % 7 = 3) AS failures
+        FROM rt GROUP BY signal, batch_id) f JOIN hd USING (batch_id))"""))
 def r10(spark: SparkSession, d: str) -> DataFrame:
     parsed = written(_stats(spark, d))
     stats = parsed.withColumn("batch_id", F.concat_ws("/", "signal", "batch_id"))
@@ -265,7 +264,7 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT NULL, NULL, 'transport_publish'"""))
 def r11(spark: SparkSession, d: str) -> DataFrame:
     """One topic takes the audit events, the other is down: that is a counted error, nothing more."""
-    audit = process_logs(fx.envelopes(spark, d, LOGS), Context(), OPTS, SINKS, json_only=True).audit()
+    audit = process_logs(fx.mixed(spark, d, LOGS), Context(), OPTS, SINKS).audit()
     ledger, path = Ledger(spark, shared_folder(spark)), shared_folder(spark)
     good = publish_audit(audit, table_sink(AUDIT_TOPIC, path, "audit"), 1, ledger)
     bad = publish_audit(audit, callable_sink("audit_mirror", _down, policy=analytics_policy(0)), 1, ledger)
@@ -304,7 +303,7 @@ def _audit_sql(signal: str, count: str, failures: str, source: str, name: str =
 @query("r14_process_traces", _audit_sql("traces", "sig.n", "1 + (errors > 0)::int",
                                         "sig JOIN hd USING (batch_id) WHERE signal = 'traces'"))
 def r14_traces(spark: SparkSession, d: str) -> DataFrame:
-    done = process_traces(fx.envelopes(spark, d, TRACES), CTX, OPTS, json_only=True)
+    done = process_traces(fx.mixed(spark, d, TRACES), CTX, OPTS)
     return _audit_rows(done.audit([ALL_SIGNALS, ERROR_TRACKER]))
 
 
@@ -316,7 +315,7 @@ def r14_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("r14_process_logs", _audit_sql("logs", "sig.n", "(sig.max_sev >= 13)::int",
                                       "sig JOIN hd USING (batch_id) WHERE signal = 'logs'"))
 def r14_logs(spark: SparkSession, d: str) -> DataFrame:
-    done = process_logs(fx.envelopes(spark, d, LOGS), CTX, OPTS, json_only=True)
+    done = process_logs(fx.mixed(spark, d, LOGS), CTX, OPTS)
     return _audit_rows(done.audit([LOG_STORE]))
 
 
@@ -324,12 +323,12 @@ def r14_logs(spark: SparkSession, d: str) -> DataFrame:
 def r14_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same processing as a stream of several micro-batches, audit events read back from their topic."""
     path = shared_folder(spark)
-    fx.envelopes(spark, d, LOGS).repartition(4).write.parquet(f"{path}/in")
+    fx.mixed(spark, d, LOGS).repartition(4).write.parquet(f"{path}/in")
     run = process_stream(
         stream_envelopes(spark, f"{path}/in", 2), LOGS,
         [table_sink(LOG_STORE, f"{path}/log_store"), table_sink(ERROR_TRACKER, f"{path}/errors", "error_events")],
         f"{path}/ledger", f"{path}/checkpoint", CTX, OPTS, audit_sink=table_sink(AUDIT_TOPIC, f"{path}/audit", "audit"),
-        table_root=f"{path}/stats", trigger={"availableNow": True}, json_only=True)
+        table_root=f"{path}/stats", trigger={"availableNow": True})
     run.awaitTermination()
     return _audit_rows(spark.read.parquet(f"{path}/audit"))
 
@@ -362,8 +361,8 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
             "overwrite").orc(path)
 
     configs = [SinkConfig(LOGS, "mine")]
-    run_batch(fx.envelopes(spark, d, LOGS), LOGS, [callable_sink("mine", mine, "batches")], Ledger(spark, shared_folder(spark)),
-              1, configs=configs, json_only=True)
+    run_batch(fx.mixed(spark, d, LOGS), LOGS, [callable_sink("mine", mine, "batches")], Ledger(spark, shared_folder(spark)),
+              1, configs=configs)
     return spark.read.orc(path)
 
 
@@ -391,11 +390,11 @@ def g9(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("g10_forwarded_counters", rsql(f"""SELECT source_name, {_SAFE} AS tenant_id, count(*) AS value FROM (
-  SELECT log.svc, hd.source_name, hd.batch_tenant FROM log JOIN hd USING (batch_id) WHERE json_error UNION ALL
+  SELECT log.svc, hd.source_name, hd.batch_tenant FROM log JOIN hd USING (batch_id) WHERE mixed_error UNION ALL
   SELECT sp.svc, sp.svc, hd.batch_tenant FROM sp JOIN hd USING (batch_id) WHERE is_error) GROUP BY ALL"""))
 def g10(spark: SparkSession, d: str) -> DataFrame:
-    logs = process_logs(fx.envelopes(spark, d, LOGS), CTX, OPTS, json_only=True).error_events
-    spans = process_traces(fx.envelopes(spark, d, TRACES), CTX, OPTS, json_only=True).error_events
+    logs = process_logs(fx.mixed(spark, d, LOGS), CTX, OPTS).error_events
+    spans = process_traces(fx.mixed(spark, d, TRACES), CTX, OPTS).error_events
     columns = ["source_name", "batch_tenant"]
     return forwarded_counters(logs.select(*columns).unionByName(spans.select(*columns)))
 
@@ -405,9 +404,9 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
   WHERE signal = 'logs' GROUP BY ALL UNION ALL
   SELECT 'collector.errors', NULL, {_SAFE} AS t, 'log_processing', count(*) FROM hd WHERE batch_no % 7 = 3 GROUP BY ALL
   UNION ALL SELECT 'collector.errors.forwarded', source_name, {_SAFE} AS t, NULL, count(*)
-  FROM log JOIN hd USING (batch_id) WHERE json_error GROUP BY ALL"""))
+  FROM log JOIN hd USING (batch_id) WHERE mixed_error GROUP BY ALL"""))
 def g9_all(spark: SparkSession, d: str) -> DataFrame:
-    done = process_logs(fx.envelopes(spark, d, LOGS), Context(), OPTS, table=shared_folder(spark), json_only=True)
+    done = process_logs(fx.mixed(spark, d, LOGS), Context(), OPTS, table=shared_folder(spark))
     broke = F.substring("batch_id", 2, 8).cast("int") % 7 == 3
     return collector_metrics(done.counters(), error_counters(processing_failures(done.stats, broke)), done.forwarded())
 
@@ -417,7 +416,7 @@ def g9_all(spark: SparkSession, d: str) -> DataFrame:
   cast(sum(ms) AS bigint) AS sum, min(ms) AS min, max(ms) AS max FROM (
     SELECT hd.*, (hd.batch_no * 37) % 311 AS ms FROM hd) GROUP BY ALL"""))
 def g11(spark: SparkSession, d: str) -> DataFrame:
-    stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS, records=False))
+    stats = attribute_batches(profile_batches(fx.mixed(spark, d, LOGS), LOGS, records=False))
     n = F.substring("batch_id", 2, 8).cast("bigint")
     return duration_histogram(stats.withColumn("processing_duration_ms", n * 37 % 311), (10, 50, 200))
 

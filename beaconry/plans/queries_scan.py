@@ -12,14 +12,13 @@ from beaconry.functions.maps import nonempty
 from beaconry.operators.extract import extract_error_logs, extract_error_spans
 from beaconry.operators.stats import (
     batch_service_names, batch_stats, count_logs, count_metrics, count_spans, estimate_items, max_severity,
-    profile_batches, profile_json)
+    profile_batches)
 from beaconry.plans import fixtures as fx
 from beaconry.plans.registry import query
 from beaconry.plans.scratch import shared_folder
 from beaconry.plans.sql import sql
 from beaconry.sources import otlp
 from beaconry.sources.envelopes import read_envelopes, stream_envelopes
-from beaconry.sources.proto import protobuf_available
 from beaconry.sources.requests import classify_rejects, read_analytics, read_error_reports
 
 ms = F.unix_millis
@@ -131,40 +130,43 @@ def a6(spark: SparkSession, d: str) -> DataFrame:
     return _log_rows(otlp.decode_logs(fx.envelopes(spark, d, LOGS)))
 
 
-if protobuf_available():
-    @query("a7_decode_spans_proto", _SPANS)
-    def a7(spark: SparkSession, d: str) -> DataFrame:
-        return _span_rows(otlp.decode_spans_proto(fx.proto_envelopes(spark, d, TRACES)))
-
-    @query("a8_decode_logs_proto", _LOGS)
-    def a8(spark: SparkSession, d: str) -> DataFrame:
-        return _log_rows(otlp.decode_logs_proto(fx.proto_envelopes(spark, d, LOGS)))
-
-    @query("a9_decode_metrics_proto", _POINTS)
-    def a9(spark: SparkSession, d: str) -> DataFrame:
-        return _point_rows(otlp.metric_points(otlp.decode_metrics_proto(fx.proto_envelopes(spark, d, METRICS))))
-
-    @query("p5_extract_error_logs_proto", sql("""SELECT batch_id, span_id, svc AS service_name, body AS message,
-      sev AS severity_number, exc_type, exc_msg, 6 + has_exc::int + has_msg::int AS attribute_count,
-      regexp_replace(cast(value AS varchar), '\\.0$', '') AS raw_text FROM log WHERE proto_error"""))
-    def p5_proto(spark: SparkSession, d: str) -> DataFrame:
-        errors = extract_error_logs(otlp.decode_logs_proto(fx.proto_envelopes(spark, d, LOGS)))
-        return errors.select(
-            "batch_id", "span_id", "service_name", "message", "severity_number",
-            F.col("exception_type").alias("exc_type"), F.col("exception_message").alias("exc_msg"),
-            F.size("attributes").alias("attribute_count"), F.col("attributes")["raw"].alias("raw_text"))
-
-    @query("g7_batch_stats_proto", sql("""SELECT batch_id,
-      CASE WHEN batch_no % 16 = 15 THEN greatest(1, 14 // 150) ELSE count(*) END AS item_count,
-      CASE WHEN batch_no % 16 = 15 THEN 'estimated' ELSE 'exact' END AS count_method,
-      CASE WHEN batch_no % 16 = 15 THEN 0 ELSE count_if(proto_error) END AS error_count,
-      CASE WHEN batch_no % 16 = 15 THEN 0 ELSE max(sev) END AS max_severity,
-      CASE WHEN batch_no % 16 <> 15 THEN arg_min(svc, event_id) END AS first_service
-      FROM log GROUP BY batch_id, batch_no"""))
-    def g7_proto(spark: SparkSession, d: str) -> DataFrame:
-        profile = profile_batches(fx.proto_envelopes(spark, d, LOGS, broken=True), LOGS)
-        return profile.select("batch_id", "item_count", "count_method", F.coalesce("error_count", F.lit(0)).alias("error_count"),
-                              "max_severity", F.get("service_names", F.lit(0)).alias("first_service"))
+@query("a7_decode_spans_proto", _SPANS)
+def a7(spark: SparkSession, d: str) -> DataFrame:
+    return _span_rows(otlp.decode_spans_proto(fx.proto_envelopes(spark, d, TRACES)))
+
+
+@query("a8_decode_logs_proto", _LOGS)
+def a8(spark: SparkSession, d: str) -> DataFrame:
+    return _log_rows(otlp.decode_logs_proto(fx.proto_envelopes(spark, d, LOGS)))
+
+
+@query("a9_decode_metrics_proto", _POINTS)
+def a9(spark: SparkSession, d: str) -> DataFrame:
+    return _point_rows(otlp.metric_points(otlp.decode_metrics_proto(fx.proto_envelopes(spark, d, METRICS))))
+
+
+@query("p5_extract_error_logs_proto", sql("""SELECT batch_id, span_id, svc AS service_name, body AS message,
+  sev AS severity_number, exc_type, exc_msg, 6 + has_exc::int + has_msg::int AS attribute_count,
+  regexp_replace(cast(value AS varchar), '\\.0$', '') AS raw_text FROM log WHERE proto_error"""))
+def p5_proto(spark: SparkSession, d: str) -> DataFrame:
+    errors = extract_error_logs(otlp.decode_logs_proto(fx.proto_envelopes(spark, d, LOGS)))
+    return errors.select(
+        "batch_id", "span_id", "service_name", "message", "severity_number",
+        F.col("exception_type").alias("exc_type"), F.col("exception_message").alias("exc_msg"),
+        F.size("attributes").alias("attribute_count"), F.col("attributes")["raw"].alias("raw_text"))
+
+
+@query("g7_batch_stats_proto", sql("""SELECT batch_id,
+  CASE WHEN batch_no % 16 = 15 THEN greatest(1, 14 // 150) ELSE count(*) END AS item_count,
+  CASE WHEN batch_no % 16 = 15 THEN 'estimated' ELSE 'exact' END AS count_method,
+  CASE WHEN batch_no % 16 = 15 THEN 0 ELSE count_if(proto_error) END AS error_count,
+  CASE WHEN batch_no % 16 = 15 THEN 0 ELSE max(sev) END AS max_severity,
+  CASE WHEN batch_no % 16 <> 15 THEN arg_min(svc, event_id) END AS first_service
+  FROM log GROUP BY batch_id, batch_no"""))
+def g7_proto(spark: SparkSession, d: str) -> DataFrame:
+    profile = profile_batches(fx.proto_envelopes(spark, d, LOGS, broken=True), LOGS)
+    return profile.select("batch_id", "item_count", "count_method", F.coalesce("error_count", F.lit(0)).alias("error_count"),
+                          "max_severity", F.get("service_names", F.lit(0)).alias("first_service"))
 
 
 @query("a10_payload_format", sql("""SELECT batch_id, CASE WHEN batch_no % 8 >= 5 THEN 'protobuf' ELSE 'json' END
@@ -292,15 +294,24 @@ def g3(spark: SparkSession, d: str) -> DataFrame:
     return count_logs(fx.malformed(spark, d, LOGS))
 
 
-@query("g4_estimate_items", sql("""SELECT batch_id, signal, CASE WHEN bytes = 0 THEN 0 ELSE greatest(1, bytes // per) END
-  AS estimated_items FROM (SELECT batch_id, s.signal, s.per, CASE batch_no % 8 WHEN 2 THEN 2 WHEN 3 THEN 2
-    WHEN 4 THEN 19 * (batch_no % 97 + 1) WHEN 5 THEN batch_no % 997 WHEN 6 THEN batch_no % 997 ELSE 0 END AS bytes
-    FROM bt, (VALUES ('traces', 300), ('metrics', 100), ('logs', 150)) s(signal, per) WHERE batch_no % 8 > 0)"""))
+#: No SQL: the good documents' size is that of their encoder. The tests hold this against the payloads.
+@query("g4_estimate_items")
 def g4(spark: SparkSession, d: str) -> DataFrame:
     parts = [estimate_items(fx.malformed(spark, d, s)) for s in (TRACES, METRICS, LOGS)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("g4_estimate_texts", """SELECT 'd' || doc_id AS batch_id, s.signal,
+  CASE WHEN coalesce(octet_length(encode(text)), 0) = 0 THEN 0 ELSE greatest(1, octet_length(encode(text)) // per) END AS estimated_items
+  FROM documents, (VALUES ('traces', 300), ('metrics', 100), ('logs', 150)) s(signal, per)""")
+def g4_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of any kind, here the whole texts of ``documents``, as each signal."""
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("batch_id"), F.col("text").cast("binary").alias("payload"),
+        F.explode(F.array(*[F.lit(s) for s in (TRACES, METRICS, LOGS)])).alias("signal"))
+    return estimate_items(texts)
+
+
 @query("g5_batch_service_names", sql("""SELECT batch_id, string_agg(svc, '|' ORDER BY p) AS service_names FROM (
   SELECT batch_id, arg_min(svc, event_id) AS svc, min(event_id) AS p FROM ev GROUP BY batch_id, lower(svc))
   GROUP BY batch_id"""))
@@ -315,14 +326,14 @@ def g6(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("g7_batch_stats", sql("""SELECT batch_id, 'logs' AS signal, count(*) AS item_count, 0 AS data_point_count,
-  count_if(json_error) AS error_count, max(sev) AS max_severity, count(DISTINCT lower(svc)) AS service_count
+  count_if(mixed_error) AS error_count, max(sev) AS max_severity, count(DISTINCT lower(svc)) AS service_count
   FROM log GROUP BY batch_id UNION ALL
   SELECT batch_id, 'traces', count(*), 0, count_if(is_error), 0, count(DISTINCT lower(svc)) FROM sp GROUP BY batch_id
   UNION ALL SELECT batch_id, 'metrics', 3 * count(DISTINCT svc), 3 * count(DISTINCT svc), 0, 0,
   count(DISTINCT lower(svc)) FROM ev GROUP BY batch_id"""))
 def g7(spark: SparkSession, d: str) -> DataFrame:
     def one(signal: str) -> DataFrame:
-        stats = batch_stats(profile_json(fx.envelopes(spark, d, signal), signal, records=False))
+        stats = batch_stats(profile_batches(fx.mixed(spark, d, signal), signal, records=False))
         return stats.select("batch_id", "signal", "item_count", "data_point_count", "error_count", "max_severity",
                             F.size("service_names").alias("service_count"))
 

@@ -44,7 +44,8 @@ ev AS (
 log AS (
   SELECT *, CASE WHEN has_msg THEN msg END AS exc_msg,
          (sev >= 17 OR upper(sev_text) IN ('ERROR', 'FATAL', 'CRITICAL') OR has_exc OR has_msg) AS json_error,
-         (sev >= 17 OR has_exc OR has_msg) AS proto_error FROM ev),
+         (sev >= 17 OR has_exc OR has_msg) AS proto_error,
+         CASE WHEN batch_no % 2 = 0 THEN proto_error ELSE json_error END AS mixed_error FROM ev),
 sp AS (
   SELECT *, CASE WHEN has_exc AND k % 3 = 0 THEN msg END AS exc_msg,
          CASE WHEN has_exc THEN 'at line ' || k END AS stack,

@@ -61,19 +61,27 @@ TREE = {
     LOGS: ("resourceLogs", "scopeLogs", "logRecords"),
 }
 ITEM = {TRACES: SPAN, METRICS: METRIC, LOGS: LOG_RECORD}
+# What tells an error apart from other items.
+ERROR_SIGNS = {
+    TRACES: "struct<events:array<struct<name:string>>,status:struct<code:int>>",
+    LOGS: f"struct<severityNumber:int,severityText:string,attributes:{ATTRIBUTES}>",
+}
 
 
-def document(signal: str, item: str | None = None) -> str:
+def document(signal: str, item: str | None = None, resources: bool = True) -> str:
     """Struct type of one OTLP document.
 
     The signal's own tree is complete; the two other resource arrays keep only their
-    attributes, because service names are taken from whichever arrays are present.
+    attributes, because service names are taken from whichever arrays are present. Without ``resources`` there is the
+    signal's own tree and no resource in it.
     """
     parts = []
-    for sig, (resources, scopes, items) in TREE.items():
-        scope = f"array<struct<scope:{SCOPE},{items}:array<{item or ITEM[sig]}>>>"
-        body = f"resource:{RESOURCE},{scopes}:{scope}" if sig == signal else f"resource:{RESOURCE}"
-        parts.append(f"{resources}:array<struct<{body}>>")
+    for sig, (arrays, scopes, items) in TREE.items():
+        scope = f"array<struct<scope:{SCOPE},{items}:array<{item or ITEM[sig]}>>>" if resources else \
+            f"array<struct<{items}:array<{item or ITEM[sig]}>>>"
+        own = f"resource:{RESOURCE},{scopes}:{scope}" if resources else f"{scopes}:{scope}"
+        if resources or sig == signal:
+            parts.append(f"{arrays}:array<struct<{own if sig == signal else f'resource:{RESOURCE}'}>>")
     return f"struct<{','.join(parts)}>"
 
 

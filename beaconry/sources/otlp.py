@@ -28,8 +28,8 @@ def format_of(fmt: Format) -> Column | str:
     return F.col("source_format") if fmt is None else fmt
 
 
-def parse_json(payload: Column, signal: str, item: str | None = None) -> Column:
-    return F.from_json(payload.cast("string"), document(signal, item))
+def parse_json(payload: Column, signal: str, item: str | None = None, resources: bool = True) -> Column:
+    return F.from_json(payload.cast("string"), document(signal, item, resources))
 
 
 def decode_json(envelopes: DataFrame, signal: str) -> DataFrame:
@@ -39,9 +39,12 @@ def decode_json(envelopes: DataFrame, signal: str) -> DataFrame:
         F.lit(JSON).alias("source_format"), parse_json(F.col("payload"), signal).alias("doc"))
 
 
-def decode_proto(envelopes: DataFrame, signal: str) -> DataFrame:
-    """Protobuf envelopes of one signal with their parsed document (null if undecodable)."""
-    return decode_documents(proto_branch(envelopes, signal), signal)
+def decode_proto(envelopes: DataFrame, signal: str, item: str | None = None, resources: bool = True) -> DataFrame:
+    """Protobuf envelopes of one signal with their parsed document (null if undecodable).
+
+    ``item`` and ``resources`` as in ``decode_documents``.
+    """
+    return decode_documents(proto_branch(envelopes, signal), signal, (), item, resources)
 
 
 @reused

@@ -7,6 +7,7 @@ batch-wise with ``mapInArrow``: one narrow pass per partition, no shuffle.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 from typing import Any, Iterator, Sequence
 
@@ -65,30 +66,58 @@ def protobuf_available() -> bool:
     return True
 
 
-@lru_cache(maxsize=1)
-def message_classes() -> dict[str, Any]:
-    """Message classes by name, built once per Python worker."""
-    from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
-
-    field_type = descriptor_pb2.FieldDescriptorProto
-    spec = descriptor_pb2.FileDescriptorProto(name="otlp.proto", package=_PACKAGE, syntax="proto3")
-    names = []
+def _fields(name: str) -> list[tuple[int, str, str, str]]:
+    """(number, field name, type, flag) of a message in the table above."""
     for line in MESSAGES.strip().splitlines():
-        name, fields = line.split(": ", 1)
-        message = spec.message_type.add(name=name)
-        names.append(name)
+        if line.startswith(f"{name}: "):
+            out = []
+            for text in line.split(": ", 1)[1].split("; "):
+                number, field_name, kind = text.split(" ")
+                flag = kind[-1] if kind[-1] in "*?|" else ""
+                out.append((int(number), field_name, kind.rstrip("*?|"), flag))
+            return out
+    raise KeyError(name)
+
+
+def _struct_of(kind: T.DataType | None) -> T.StructType | None:
+    while isinstance(kind, T.ArrayType):
+        kind = kind.elementType
+    return kind if isinstance(kind, T.StructType) else None
+
+
+class _Messages:
+    """Descriptors of the messages that a reader needs, and in them only the fields that it wants.
+
+    Fields left out are unknown to the parser, which steps over them by their length: a count of items parses no item.
+    """
+
+    def __init__(self) -> None:
+        from google.protobuf import descriptor_pb2
+
+        self.kinds = descriptor_pb2.FieldDescriptorProto
+        self.spec = descriptor_pb2.FileDescriptorProto(name="otlp.proto", package=_PACKAGE, syntax="proto3")
+        self.made: dict[tuple[str, str], str] = {}
+
+    def add(self, name: str, wanted: T.StructType | None) -> str:
+        """The generated name of message ``name`` with the fields of ``wanted``, all fields if that is None."""
+        key = (name, "" if wanted is None else wanted.json())
+        if key in self.made:
+            return self.made[key]
+        self.made[key] = own = name if wanted is None else f"{name}{len(self.made)}"
+        members = None if wanted is None else {_snake(f.name): f.dataType for f in wanted.fields}
+        message = self.spec.message_type.add(name=own)
         optional = []
-        for text in fields.split("; "):
-            number, field_name, kind = text.split(" ")
-            flag = kind[-1] if kind[-1] in "*?|" else ""
-            kind = kind.rstrip("*?|")
+        for number, field_name, kind, flag in _fields(name):
+            if members is not None and field_name not in members:
+                continue
             f = message.field.add(
-                name=field_name, number=int(number),
-                label=field_type.LABEL_REPEATED if flag == "*" else field_type.LABEL_OPTIONAL)
+                name=field_name, number=number,
+                label=self.kinds.LABEL_REPEATED if flag == "*" else self.kinds.LABEL_OPTIONAL)
             if kind[0].isupper():
-                f.type, f.type_name = field_type.TYPE_MESSAGE, f".{_PACKAGE}.{kind}"
+                inner = None if members is None else _struct_of(members[field_name])
+                f.type, f.type_name = self.kinds.TYPE_MESSAGE, f".{_PACKAGE}.{self.add(kind, inner)}"
             else:
-                f.type = getattr(field_type, f"TYPE_{kind.upper()}")
+                f.type = getattr(self.kinds, f"TYPE_{kind.upper()}")
             if flag == "|":
                 if not message.oneof_decl:
                     message.oneof_decl.add(name="one")
@@ -99,9 +128,19 @@ def message_classes() -> dict[str, Any]:
             f.proto3_optional = True
             f.oneof_index = len(message.oneof_decl)
             message.oneof_decl.add(name=f"_{f.name}")
+        return own
+
+
+@lru_cache(maxsize=64)
+def message_class(root: str, wanted: str | None = None) -> Any:
+    """The class of message ``root``, once per Python worker; ``wanted``: JSON of the struct to parse, None for all of it."""
+    from google.protobuf import descriptor_pool, message_factory
+
+    messages = _Messages()
+    name = messages.add(root, None if wanted is None else T.StructType.fromJson(json.loads(wanted)))
     pool = descriptor_pool.DescriptorPool()
-    pool.Add(spec)
-    return {n: message_factory.GetMessageClass(pool.FindMessageTypeByName(f"{_PACKAGE}.{n}")) for n in names}
+    pool.Add(messages.spec)
+    return message_factory.GetMessageClass(pool.FindMessageTypeByName(f"{_PACKAGE}.{name}"))
 
 
 def _snake(name: str) -> str:
@@ -142,15 +181,19 @@ def _reader(spark_type: T.DataType, descriptor: Any, field_name: str = "") -> An
     return lambda v: v
 
 
-def decode_documents(envelopes: DataFrame, signal: str, carry: Sequence[str] = ()) -> DataFrame:
+def decode_documents(envelopes: DataFrame, signal: str, carry: Sequence[str] = (), item: str | None = None,
+                     resources: bool = True) -> DataFrame:
     """Decode protobuf payloads; an undecodable one keeps its row with a null ``doc``.
 
-    ``carry`` names further columns to pass through, ``payload`` among them if it is still wanted.
+    ``carry`` names further columns to pass through, ``payload`` among them if it is still wanted. ``item`` is the
+    struct type of what is wanted of an item, None for all of it; without ``resources`` their attributes are left out. What
+    is not wanted is not parsed, nor checked.
     """
     keep = [c for c in HEADER_COLUMNS if c in envelopes.columns] + ["payload_bytes", *carry]
     read_only = [] if "payload" in carry else ["payload"]
     narrow = envelopes.withColumn("payload_bytes", F.octet_length("payload")).select(*keep, *read_only)
-    doc_type = T.DataType.fromDDL(document(signal))
+    doc_type = T.DataType.fromDDL(document(signal, item, resources))
+    wanted = doc_type.json()
     out = T.StructType([narrow.schema[c] for c in keep] + [T.StructField("doc", doc_type)])
     root = ROOT[signal]
 
@@ -159,7 +202,7 @@ def decode_documents(envelopes: DataFrame, signal: str, carry: Sequence[str] = (
         from google.protobuf.message import DecodeError
         from pyspark.sql.pandas.types import to_arrow_type
 
-        message = message_classes()[root]
+        message = message_class(root, wanted)
         read, arrow_type = _reader(doc_type, message.DESCRIPTOR), to_arrow_type(doc_type)
 
         def one(payload: bytes | None) -> dict | None:
