@@ -58,3 +58,7 @@ class CollectorOptions:
     pack_size: int = 100
     publish_audit: bool = True
     strict_parity: bool = False
+    #: bucket bounds of the processing time, milliseconds
+    duration_bounds: tuple[float, ...] = (10, 50, 100, 500, 1000, 5000, 30_000)
+    #: share of error events that are delivered; 1 delivers all
+    error_sample_rate: float = 1.0

@@ -6,13 +6,13 @@ the rows reaches the shuffle as one row per task.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.constants import (
-    ERRORS_METRIC, FORWARDED_METRIC, INGEST_METRICS, KEYS, PROCESSING_ERROR_TYPES, TagKeys)
+    DURATION_METRIC, ERRORS_METRIC, FORWARDED_METRIC, INGEST_METRICS, KEYS, PROCESSING_ERROR_TYPES, TagKeys)
 from beaconry.functions.columns import event_name, safe_tenant
 
 
@@ -70,6 +70,34 @@ def collector_metrics(ingested: DataFrame, errors: DataFrame, forwarded: DataFra
     return union.select("metric", "source_name", "tenant_id", "error_type", "value")
 
 
+METRIC_ROWS = ("metric string, source_name string, tenant_id string, error_type string, value bigint, "
+               "sum double, min double, max double, bucket int")
+
+
+def run_metrics(stats: DataFrame, forwarded: DataFrame | None, errors: Mapping[str, int], duration_ms: float,
+                bounds: Sequence[float], keys: TagKeys = KEYS) -> DataFrame:
+    """What one run counted, in one long table of few rows.
+
+    Items ingested and the run's duration for each of its sources and tenants, errors that were
+    forwarded, and errors of the run by type. ``stats`` and ``forwarded`` are rows of the run; both are summed within tasks first.
+    """
+    spark = stats.sparkSession
+    wide = lambda df: df.selectExpr("metric", "source_name", "tenant_id", "cast(null AS string) AS error_type", "value")
+    rows = wide(ingest_counters(stats, keys))
+    if forwarded is not None:
+        rows = rows.unionByName(wide(forwarded.withColumn("metric", F.lit(keys.metric(FORWARDED_METRIC)))))
+    broken = [(keys.metric(ERRORS_METRIC), None, None, kind, n) for kind, n in errors.items() if n]
+    if broken:
+        rows = rows.unionByName(spark.createDataFrame(
+            broken, "metric string, source_name string, tenant_id string, error_type string, value bigint"))
+    ms = F.lit(float(duration_ms))
+    spent = stats.select(*_tags("source_name", "batch_tenant")).groupBy("source_name", "tenant_id").agg(F.count("*").alias("value"))
+    spent = spent.select(F.lit(keys.metric(DURATION_METRIC)).alias("metric"), "source_name", "tenant_id", "value",
+                         (F.col("value") * ms).alias("sum"), ms.alias("min"), ms.alias("max"), bucket(ms, bounds).alias("bucket"))
+    out = rows.unionByName(spent, allowMissingColumns=True)
+    return out.select(*[c.split(" ")[0] for c in METRIC_ROWS.split(", ")])
+
+
 def bucket(value: Column, bounds: Sequence[float]) -> Column:
     """Index of the first bound that is not below the value; one more than the last for the rest."""
     out = F.lit(len(bounds))

@@ -15,7 +15,7 @@ from beaconry.operators.audit import failures_in, ingestion_audit
 from beaconry.operators.counters import error_type, forwarded_counters, ingest_counters
 from beaconry.operators.enrich import attribute_batches, enrich_errors, enrich_events, fill_tenant
 from beaconry.operators.errors import (
-    apply_default_tags, deliverable, error_delivery, explode_errors, log_errors_to_events, span_errors_to_events)
+    apply_default_tags, deliverable, error_delivery, explode_errors, log_errors_to_events, sample, span_errors_to_events)
 from beaconry.operators.routing import SinkConfig, decisions, default_sinks, route
 from beaconry.operators.stats import profile_batches, profile_json
 from beaconry.functions.maps import present
@@ -47,10 +47,14 @@ class Processed:
         return forwarded_counters(deliverable(self.error_events), "batch_tenant")
 
     def deliveries(self) -> DataFrame | None:
-        """Error events as the error backend gets them."""
+        """Error events as the error backend gets them; of the sampled share where that is not all.
+
+        The share is stable: an event is in it or not by its own hash, also when the run is repeated.
+        """
         if self.error_events is None:
             return None
-        tagged = error_delivery(deliverable(self.error_events), self.opts.keys)
+        chosen = sample(deliverable(self.error_events), self.opts.error_sample_rate, F.concat_ws("/", "batch_id", "operation_id", "message"))
+        tagged = error_delivery(chosen, self.opts.keys)
         return apply_default_tags(tagged, self.opts.default_tags)
 
     def audit(self, failed: Iterable[str] = (), duration_ms: Column | None = None,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from beaconry.constants import ANALYTICS, ERRORS, KEYS, LOGS, METRICS, TRACES
 from beaconry.context import CollectorOptions, Context
 from beaconry.operators.audit import batch_status, ingestion_audit, publishable, with_failures
 from beaconry.operators.counters import (
-    collector_metrics, duration_histogram, error_counters, forwarded_counters, ingest_counters, job_events, job_metrics)
+    METRIC_ROWS, collector_metrics, duration_histogram, error_counters, forwarded_counters, ingest_counters, job_events, job_metrics)
 from beaconry.operators.enrich import attribute_batches
 from beaconry.operators.routing import (
     ALL_SIGNALS, AUDIT_TOPIC, ERROR_TRACKER, LOG_STORE, METRIC_STORE, TRACE_STORE, SinkConfig, all_signal_sink,
@@ -442,3 +443,50 @@ def r16(spark: SparkSession, d: str) -> DataFrame:
 def r16_events(spark: SparkSession, d: str) -> DataFrame:
     return job_events(_jobs(spark, d), "Acme").select(
         "job_id", "event_name", F.try_variant_get(F.col("properties")["duration_ms"], "$", "bigint").alias("duration_ms"))
+
+
+@query("r14_sampled_deliveries", rsql("""SELECT 'all' AS kind, count(*) AS events FROM log WHERE mixed_error
+  UNION ALL SELECT 'none', 0 UNION ALL SELECT 'half is a part, the same again', 1"""))
+def r14_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries at a rate of one, none and a half; half of the events, twice, are the same between a third and two thirds."""
+    env = written(fx.mixed(spark, d, LOGS))
+
+    def sent(rate: float) -> DataFrame:
+        opts = CollectorOptions(environment="prod", error_sample_rate=rate)
+        return process_logs(env, CTX, opts).deliveries().select("batch_id", "operation_id", "message")
+
+    whole, half = written(sent(1.0)), written(sent(0.5))
+    n = lambda df: df.agg(F.count("*").alias("events"))
+    same = n(half.join(sent(0.5), ["batch_id", "operation_id", "message"])).crossJoin(
+        n(half).withColumnRenamed("events", "half")).crossJoin(n(whole).withColumnRenamed("events", "whole")).select(
+        ((F.col("events") == F.col("half")) & (F.col("half") * 3).between(F.col("whole"), F.col("whole") * 2)).cast("bigint").alias("events"))
+    parts = [(n(whole), "all"), (n(sent(0.0)), "none"), (same, "half is a part, the same again")]
+    rows = [df.select(F.lit(kind).alias("kind"), "events") for df, kind in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("g8_run_metrics", rsql(f"""SELECT 'collector.logs.ingested' AS metric, source_name, {_SAFE} AS tenant_id, NULL AS error_type, cast(sum(sig.n) AS bigint) AS value
+  FROM sig JOIN hd USING (batch_id) WHERE signal = 'logs' GROUP BY ALL
+  UNION ALL SELECT 'collector.errors.forwarded', source_name, {_SAFE} AS t, NULL, count(*)
+  FROM log JOIN hd USING (batch_id) WHERE mixed_error AND log.batch_no % 5 <> 2 GROUP BY ALL
+  UNION ALL SELECT 'collector.errors', NULL, NULL, 'transport_publish', 1
+  UNION ALL SELECT 'collector.errors', NULL, NULL, 'trace_processing', 1
+  UNION ALL SELECT 'collector.processing.duration', source_name, {_SAFE} AS t, NULL, count(*) FROM hd GROUP BY ALL"""))
+def g8_run(spark: SparkSession, d: str) -> DataFrame:
+    """Counters as one run wrote them: some batches refused by the error sink, the audit topic down; another run fails."""
+    path, env = shared_folder(spark), written(fx.mixed(spark, d, LOGS))
+    ledger = Ledger(spark, f"{path}/ledger")
+
+    def some(df: DataFrame, epoch: int) -> DataFrame:
+        n = F.substring("batch_id", 2, 8).cast("int")
+        return df.filter(n % 5 == 2).select("batch_id", F.lit("refused").alias("error"))
+
+    run_batch(env, LOGS, [callable_sink(ERROR_TRACKER, some, "error_events"), table_sink(ALL_SIGNALS, f"{path}/all")], ledger, 1,
+              CTX, OPTS, SINKS, callable_sink(AUDIT_TOPIC, _down, "audit", analytics_policy(0)), f"{path}/stats", f"{path}/metrics")
+    try:
+        run_batch(env.drop("payload"), TRACES, [], ledger, 1, CTX, OPTS, SINKS, metrics=f"{path}/metrics")
+        raise AssertionError("envelopes without payload were processed")
+    except AnalysisException:
+        pass
+    return spark.read.schema(METRIC_ROWS).option("recursiveFileLookup", "true").parquet(f"{path}/metrics").select(
+        "metric", "source_name", "tenant_id", "error_type", "value")

@@ -156,6 +156,15 @@ def p5_proto(spark: SparkSession, d: str) -> DataFrame:
         F.size("attributes").alias("attribute_count"), F.col("attributes")["raw"].alias("raw_text"))
 
 
+@query("p4_extract_error_spans_proto", sql("""SELECT batch_id, 'GET /' || event_type AS span_name, svc AS service_name,
+  coalesce(status_message, exc_msg) AS error_message, exc_type AS exception_type, stack AS stack_trace, span_id,
+  5 + (k % 10 = 0)::int AS attribute_count FROM sp WHERE is_error"""))
+def p4_proto(spark: SparkSession, d: str) -> DataFrame:
+    errors = extract_error_spans(otlp.decode_spans_proto(fx.proto_envelopes(spark, d, TRACES)), fmt="protobuf")
+    return errors.select("batch_id", "span_name", "service_name", "error_message", "exception_type", "stack_trace", "span_id",
+                         F.size("attributes").alias("attribute_count"))
+
+
 @query("g7_batch_stats_proto", sql("""SELECT batch_id,
   CASE WHEN batch_no % 16 = 15 THEN greatest(1, 14 // 150) ELSE count(*) END AS item_count,
   CASE WHEN batch_no % 16 = 15 THEN 'estimated' ELSE 'exact' END AS count_method,
