@@ -153,10 +153,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A row's copies are those of its ``doc_id``; rows that share an id (or have none) take the largest number of theirs.
     """
-    copies = cut(mix(docs, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias("mix_copies"))
-                 .filter("mix_copies > 0").withColumnRenamed("doc_id", "mix_doc_id"))
-    rows = docs.join(hinted(copies), F.col("doc_id").cast("long").eqNullSafe(F.col("mix_doc_id")))
-    return rows.withColumn("mix_nth", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(docs.columns)
+    own = lambda name: name if name.lower() not in {c.lower() for c in docs.columns} else own(name + "_")
+    key, times, nth = own("mix_doc_id"), own("mix_copies"), own("mix_nth")
+    copies = cut(mix(docs, **options).groupBy("doc_id").agg(F.max("copies").cast("int").alias(times))
+                 .filter(F.col(times) > 0).withColumnRenamed("doc_id", key))
+    rows = docs.join(hinted(copies), F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
+    return rows.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

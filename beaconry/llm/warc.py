@@ -77,28 +77,51 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def _page(text: str | None) -> int | None:
+    """The page of a record id that this module wrote; ids of other writers name none."""
+    name = (text or "").strip("<>")
+    return int(name.removeprefix(ID)) if name.startswith(ID) and name.removeprefix(ID).lstrip("-").isdigit() else None
+
+
+def _verify(stated: str | None, content: bytes, what: str) -> None:
+    """A digest is optional, and one of another kind than base32 SHA-1 can't be held against the content."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() == "sha1" and len(value) == 32 and digest_text(hashlib.sha1(content).digest()) != value.upper():
+        raise BadRecord(f"{what} digest")
+
+
 def parse(record: bytes) -> tuple:
-    """A record as RECORDS has it; framing and digests are verified."""
+    """A record as RECORDS has it; framing is verified, and so are digests and lengths where they are stated.
+
+    Responses and revisits hold HTTP messages, whose body is the payload; of other types (``resource``, ``warcinfo``,
+    ``request``, ``metadata``, ...) it is the whole block. A revisit has no payload of its own: its length and digest are
+    those stated, null where nothing is.
+    """
     head, gap, rest = record.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
     fields = _fields(lines)
-    if not gap or not version.startswith(b"WARC/") or not fields.get("content-length", "").isdigit():
+    if not gap or not version.startswith(b"WARC/") or not fields.get("content-length", "").isdigit() or not fields.get("warc-type"):
         raise BadRecord("no WARC header")
     size = int(fields["content-length"])
     block = rest[:size]
     if len(block) != size or rest[size:] != b"\r\n\r\n":
         raise BadRecord("content length and record differ")
-    if "sha1:" + digest_text(hashlib.sha1(block).digest()) != fields.get("warc-block-digest"):
-        raise BadRecord("block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-    stated = int(_fields(http.split(b"\r\n")[1:])["content-length"])
-    if kind == "response" and (len(payload) != stated or digest_text(hashlib.sha1(payload).digest()) != digest):
-        raise BadRecord("payload digest")
-    page = lambda text: int(text) if (text := text.strip("<>").removeprefix(ID)) else None
-    refers = fields.get("warc-refers-to")
-    return (page(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, page(refers) if refers else None,
-            stated, digest, payload if kind == "response" else None)
+    _verify(fields.get("warc-block-digest"), block, "block")
+    kind, digest = fields["warc-type"], fields.get("warc-payload-digest")
+    payload, length = block, size
+    if kind == "revisit" or kind == "response" and block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        stated = _fields(http.split(b"\r\n")[1:]).get("content-length", "")
+        length = int(stated) if stated.isdigit() else None if kind == "revisit" else len(payload)
+        if kind == "response" and length != len(payload):
+            raise BadRecord("HTTP length and payload differ")
+    if kind == "revisit":
+        payload = None
+    else:
+        _verify(digest, payload, "payload")
+        digest = digest or "sha1:" + digest_text(hashlib.sha1(payload).digest())
+    return (_page(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")),
+            length, digest and digest.partition(":")[2], payload)
 
 
 def read_chunks(path: str) -> Iterator[bytes]:

@@ -120,6 +120,8 @@ def test_mixing(docs, empty):
     assert sum({r.source: r.target for r in got}.values()) == pytest.approx(total)
     assert mixing.mix(empty).collect() == []
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(empty).count() == 0
+    clash = docs.withColumns({"mix_copies": F.lit(1), "MIX_DOC_ID": F.lit(2), "mix_nth": F.lit(3)})
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).count() == mixing.mixed(docs).count()
 
 
 def test_fitting_finds_the_best_sum():

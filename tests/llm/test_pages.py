@@ -102,5 +102,36 @@ def test_copies_with_a_shape_of_their_own_keep_their_texts(spark):
     assert texts(spark, pages + two) == want | {10: alone, 11: alone}
 
 
+def test_deep_unclosed_and_long_pages(spark):
+    """Nesting beyond the depth that is kept loses no text; open tags and quotes cost no more than the page's length."""
+    deep = "<article>" + "<div>" * 1500 + "<p>inside</p>" + "</div>" * 1500 + "<p>after</p></article>"
+    pages = [(1, "http://x.example/1", deep), (2, "http://x.example/2", "<article><p>a</p></article>" + "<a " * 100_000),
+             (3, "http://x.example/3", "<article><p>b</p>" + "<a \"x" * 50_000 + "</article>"), (4, "http://x.example/4", "<div>" * 3000 + "text"),
+             (5, "http://y.example/5", "<article>" + "<p>word</p>" * 200_000 + "</article>"),
+             (6, "http://z.example/6", "<article><p>c</p></article><!-- open > comment < more"),
+             (7, "http://z.example/7", "<article><p>1 &lt; 2 and 2 < 3</p></article>")]
+    got = texts(spark, pages)
+    assert got[1] == "inside\n\nafter" and got[2].startswith("a") and got[3].startswith("b") and got[4] == "text"
+    assert got[5] == "\n\n".join(["word"] * 200_000) and got[6] == "c" and got[7] == "1 < 2 and 2 < 3"
+
+
+def test_foreign_archive():
+    """Records of another writer: no digests, other types, ids that name no page."""
+    def record(kind, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", "Content-Length": str(len(block)), **more}
+        return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+    info = warc.parse(record("warcinfo", b"software: other"))
+    assert info[2] == "warcinfo" and info[0] is None and info[4] == 15 and info[6] == b"software: other"
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x"
+    plain = warc.parse(record("response", body, **{"WARC-Target-URI": "http://a/", "WARC-Payload-Digest": "sha256:00"}))
+    assert plain[1:5] == ("http://a/", "response", None, 4) and plain[6] == b"<p>x"
+    assert warc.parse(record("response", b"no http here"))[6] == b"no http here"
+    assert warc.parse(record("revisit", b"", **{"WARC-Refers-To": "<urn:uuid:2>"}))[3:] == (None, None, None, None)
+    assert warc.parse(record("request", b"GET / HTTP/1.1\r\n\r\n"))[2] == "request"
+    with pytest.raises(warc.BadRecord):
+        warc.parse(record("resource", b"x", **{"WARC-Block-Digest": "sha1:" + "A" * 32}))
+
+
 def test_no_pages(spark):
     assert texts(spark, []) == {}
