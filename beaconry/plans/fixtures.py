@@ -481,9 +481,45 @@ def mixed(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
 def spaced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The analytics requests with white space around them, and four forms of each without usable events."""
     good = envelopes(spark, sf_dir, ANALYTICS)
-    text = F.array(F.concat(F.lit("\n\t"), F.col("payload").cast("string"), F.lit("\r\n")), F.lit("null\r\n"),
-                   F.lit('\n{"events":[]}'), F.lit('\t{"events":null}\n'), F.lit('{"events":5}'))
-    formed = good.select(*good.columns, F.posexplode(text).alias("form", "text"))
+    texts = [F.concat(F.lit("\n\t"), F.col("payload").cast("string"), F.lit("\r\n")), F.lit("null\r\n"),
+             F.lit('\n{"events":[]}'), F.lit('\t{"events":null}\n'), F.lit('{"events":5}')]
+    return _with_texts(good, texts)
+
+
+def _with_texts(good: DataFrame, texts: list[Column]) -> DataFrame:
+    """Each envelope once per text; the form's number from 1 ends its batch id."""
+    formed = good.select(*good.columns, F.posexplode(F.array(*texts)).alias("form", "text"))
     return formed.select(*[
         F.concat_ws("-", "batch_id", F.col("form") + 1).alias(c) if c == "batch_id"
         else F.col("text").cast("binary").alias(c) if c == "payload" else F.col(c) for c in good.columns])
+
+
+def renamed_requests(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
+    """Analytics requests or error reports with every other top or event field spelled in another case."""
+    good = envelopes(spark, sf_dir, signal)
+    text = F.col("payload").cast("string")
+    upper = F.substring("batch_id", 2, 8).cast("int") % 2 == 0
+    for name in ("events", "sourceService", "timestamp", "userId", "tenantId", "properties", "message", "severity", "tags"):
+        text = F.replace(text, F.lit(f'"{name}":'), F.when(upper, f'"{name.upper()}":').otherwise(
+            f'"{name[0].upper()}{name[1:]}":'))
+    return good.withColumn("payload", text.cast("binary"))
+
+
+#: Requests with one field of a wrong type, or none where it must be; the number 1 form of each is good.
+WRONG_EVENTS = (
+    '{"eventName":"e","timestamp":"2026-01-02"}', '{"eventName":5}', '{"eventName":"e","timestamp":"soon"}',
+    '{"eventName":"e","timestamp":20260102}', '{"eventName":"e","userId":true}', '{"eventName":"e","properties":[1]}',
+    '{"distinctId":"d"}', "null", '"e"', '{"eventName":"e","sessionId":{"id":1}}')
+WRONG_REPORTS = (
+    '"severity":4,"other":[{}]', '"severity":"4"', '"severity":"Fatal"', '"severity":1.5', '"severity":9999999999',
+    '"tags":{"a":1}', '"tags":["a"]', '"extra":"x"', '"stackTrace":7', '"tenantId":false')
+
+
+def wrong_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every good analytics request with one more event, and every good report with one more field, of each form."""
+    requests, reports = (envelopes(spark, sf_dir, s) for s in (ANALYTICS, ERRORS))
+    text = F.col("payload").cast("string")
+    more = [F.replace(text, F.lit('"events":['), F.lit(f'"events":[{e},')) for e in WRONG_EVENTS]
+    service = F.concat(F.lit('{"SOURCESERVICE":1,'), F.substring(text, F.lit(2), F.length(text)))
+    fields = [F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(f",{f}}}")) for f in WRONG_REPORTS]
+    return _with_texts(requests, more + [service]).unionByName(_with_texts(reports, fields))

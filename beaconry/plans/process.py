@@ -20,9 +20,8 @@ from beaconry.operators.routing import SinkConfig, decisions, default_sinks, rou
 from beaconry.operators.stats import profile_batches, profile_json
 from beaconry.functions.maps import present
 from beaconry.plans.scratch import written
-from beaconry.schemas import ANALYTICS_REQUEST
 from beaconry.sources.envelopes import header_tenant
-from beaconry.sources.requests import _text, read_analytics, read_error_reports
+from beaconry.sources.requests import accepted, analytics_request, read_analytics, read_error_reports
 
 
 @dataclass(frozen=True)
@@ -115,18 +114,13 @@ def analytics_stats(envelopes: DataFrame, sinks: Sequence[SinkConfig]) -> DataFr
     The batch tenant is the header's, else the single tenant the events agree on.
     """
     mine = envelopes.filter(F.col("signal") == ANALYTICS)
-    parsed = mine.select(
-        "batch_id", "received_at", "header_source", "header_node_id", header_tenant().alias("header_tenant"),
-        F.octet_length("payload").alias("payload_bytes"),
-        F.from_json(_text(), ANALYTICS_REQUEST).alias("doc"))
-    # Exploding a one-element array drops refused requests without repeating the parse in a filter.
-    accepted = parsed.select(
-        *[c for c in parsed.columns if c != "doc"],
-        F.explode(F.when(F.size("doc.events") > 0, F.array("doc"))).alias("doc"))
+    requests = accepted(
+        mine, analytics_request(), "batch_id", "received_at", "header_source", "header_node_id",
+        header_tenant().alias("header_tenant"), F.octet_length("payload").alias("payload_bytes"))
     tenants = F.filter(F.transform("doc.events", lambda e: e["tenantId"]), present)
     folded = F.array_distinct(F.transform(tenants, F.lower))
     single = F.when(F.size(folded) == 1, F.get(tenants, F.lit(0)))
-    stats = accepted.select(
+    stats = requests.select(
         "batch_id", "received_at", F.lit(ANALYTICS).alias("signal"),
         F.lit(JSON).alias("source_format"), "payload_bytes",
         F.size("doc.events").cast("bigint").alias("item_count"), F.lit(0).cast("bigint").alias("error_count"),

@@ -184,12 +184,18 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return fx.malformed(spark, d, LOGS).select("batch_id", payload_format(F.col("content_type")).alias("source_format"))
 
 
-@query("a11_read_analytics", sql("""SELECT batch_id, pos, event_type AS event_name, ts_ms, distinct_id, uid AS user_id,
+_AN_COLUMNS = """batch_id, pos, event_type AS event_name, ts_ms, distinct_id, uid AS user_id,
   session_id, correlation_id, node_id, tenant AS tenant_id, environment, an_source AS source_name,
-  an_node AS source_node_id, an_header_tenant AS header_tenant, k, 4 AS property_count
-  FROM an WHERE batch_no % 10 < 6"""))
+  an_node AS source_node_id, an_header_tenant AS header_tenant, k, 4 AS property_count"""
+
+
+@query("a11_read_analytics", sql(f"SELECT {_AN_COLUMNS} FROM an WHERE batch_no % 10 < 6"))
 def a11(spark: SparkSession, d: str) -> DataFrame:
-    events, _ = read_analytics(fx.envelopes(spark, d, ANALYTICS, broken=True))
+    return _analytics_rows(fx.envelopes(spark, d, ANALYTICS, broken=True))
+
+
+def _analytics_rows(envelopes: DataFrame) -> DataFrame:
+    events, _ = read_analytics(envelopes)
     return events.select(
         "batch_id", F.col("pos").cast("bigint").alias("pos"), "event_name", ms("ts").alias("ts_ms"), "distinct_id", "user_id",
         "session_id", "correlation_id", "node_id", "tenant_id", "environment", "source_name", "source_node_id",
@@ -197,12 +203,18 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
         F.size("properties").alias("property_count"))
 
 
-@query("a12_read_error_reports", sql("""SELECT report_id AS batch_id, message, severity, correlation_id, operation_id,
+_ER_COLUMNS = """report_id AS batch_id, message, severity, correlation_id, operation_id,
   node_id, uid AS user_id, environment, source_name, '/api/' || (k % 4) AS endpoint, er_tenant AS tenant_tag,
-  CASE WHEN er_tenant IS NULL THEN 2 ELSE 3 END AS tag_count, cents, stack AS stack_trace
-  FROM er WHERE k % 10 NOT IN (6, 7)"""))
+  CASE WHEN er_tenant IS NULL THEN 2 ELSE 3 END AS tag_count, cents, stack AS stack_trace"""
+
+
+@query("a12_read_error_reports", sql(f"SELECT {_ER_COLUMNS} FROM er WHERE k % 10 NOT IN (6, 7)"))
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    errors, _ = read_error_reports(fx.envelopes(spark, d, ERRORS, broken=True))
+    return _report_rows(fx.envelopes(spark, d, ERRORS, broken=True))
+
+
+def _report_rows(envelopes: DataFrame) -> DataFrame:
+    errors, _ = read_error_reports(envelopes)
     tags = F.col("tags")
     return errors.select(
         "batch_id", "message", "severity", "correlation_id", "operation_id", "node_id", "user_id", "environment",
@@ -223,6 +235,25 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
     return classify_rejects(both).select("batch_id", "signal", "reason")
 
 
+@query("a11_any_case", sql(f"SELECT {_AN_COLUMNS} FROM an"))
+def a11_any_case(spark: SparkSession, d: str) -> DataFrame:
+    """Field names in any case are the same fields."""
+    return _analytics_rows(fx.renamed_requests(spark, d, ANALYTICS))
+
+
+@query("a12_any_case", sql(f"SELECT {_ER_COLUMNS} FROM er"))
+def a12_any_case(spark: SparkSession, d: str) -> DataFrame:
+    return _report_rows(fx.renamed_requests(spark, d, ERRORS))
+
+
+@query("a13_wrong_types", sql("""SELECT batch_id || '-' || form AS batch_id, 'analytics' AS signal, 'Invalid JSON format' AS reason
+  FROM bt, range(2, 12) t(form)
+  UNION ALL SELECT report_id || '-' || form, 'errors', 'Invalid JSON format' FROM er, range(2, 11) t(form)"""))
+def a13_wrong_types(spark: SparkSession, d: str) -> DataFrame:
+    """One field of a wrong type refuses the whole request."""
+    return classify_rejects(fx.wrong_requests(spark, d)).select("batch_id", "signal", "reason")
+
+
 @query("c6_service_name", sql("SELECT DISTINCT batch_id, svc AS service_name FROM ev"))
 def c6(spark: SparkSession, d: str) -> DataFrame:
     decoded = otlp.decode_json(fx.envelopes(spark, d, LOGS), LOGS)

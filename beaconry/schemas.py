@@ -83,15 +83,3 @@ def document(signal: str, item: str | None = None, resources: bool = True) -> st
         if resources or sig == signal:
             parts.append(f"{arrays}:array<struct<{own if sig == signal else f'resource:{RESOURCE}'}>>")
     return f"struct<{','.join(parts)}>"
-
-
-ANALYTICS_ITEM = (
-    "struct<eventName:string,timestamp:string,distinctId:string,userId:string,sessionId:string,"
-    "correlationId:string,nodeId:string,tenantId:string,environment:string,properties:map<string,variant>>"
-)
-ANALYTICS_REQUEST = f"struct<events:array<{ANALYTICS_ITEM}>,sourceService:string,sourceNodeId:string>"
-ERROR_REPORT = (
-    "struct<message:string,severity:string,stackTrace:string,correlationId:string,operationId:string,"
-    "nodeId:string,userId:string,tenantId:string,environment:string,tags:map<string,string>,"
-    "extra:map<string,variant>>"
-)
