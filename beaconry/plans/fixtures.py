@@ -7,6 +7,7 @@ consecutive events form a batch. Nothing here is literal data: the fixtures grow
 from __future__ import annotations
 
 import json
+from base64 import b64decode
 from functools import reduce
 from typing import Any, Iterator
 
@@ -424,7 +425,7 @@ def _encode(value: Any, message: Any) -> None:
 
         def scalar(v: Any, f: Any = f) -> Any:
             if f.type == f.TYPE_BYTES:
-                return bytes.fromhex(v)
+                return b64decode(v) if f.name == "bytes_value" else bytes.fromhex(v)
             if f.cpp_type in (f.CPPTYPE_INT32, f.CPPTYPE_INT64, f.CPPTYPE_UINT32, f.CPPTYPE_UINT64):
                 return int(v)
             return v
@@ -445,7 +446,16 @@ def _encode(value: Any, message: Any) -> None:
 
 def proto_envelopes(spark: SparkSession, sf_dir: str, signal: str, broken: bool = False) -> DataFrame:
     """The same documents as protobuf; with ``broken`` every 16th batch is undecodable."""
-    src = envelopes(spark, sf_dir, signal)
+    encoded = as_proto(envelopes(spark, sf_dir, signal), signal)
+    n = F.substring("batch_id", 2, 8).cast("int")
+    if broken:
+        encoded = encoded.withColumn(
+            "payload", F.when(n % 16 == 15, F.lit("{ not protobuf").cast("binary")).otherwise(F.col("payload")))
+    return encoded.withColumn("content_type", F.when(n % 2 == 0, "application/x-protobuf"))
+
+
+def as_proto(src: DataFrame, signal: str) -> DataFrame:
+    """JSON envelopes with their payloads as protobuf."""
     root = ROOT[signal]
 
     def encode(batches: Iterator[Any]) -> Iterator[Any]:
@@ -461,12 +471,31 @@ def proto_envelopes(spark: SparkSession, sf_dir: str, signal: str, broken: bool
             at = batch.schema.get_field_index("payload")
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, type=batch.schema.field(at).type))
 
-    encoded = src.mapInArrow(encode, src.schema)
-    n = F.substring("batch_id", 2, 8).cast("int")
-    payload = F.when(n % 16 == 15, F.lit("{ not protobuf").cast("binary")).otherwise(F.col("payload")) if broken \
-        else F.col("payload")
-    kind = F.when(n % 2 == 0, "application/x-protobuf")
-    return encoded.withColumns({"payload": payload, "content_type": kind})
+    return src.mapInArrow(encode, src.schema).withColumn("content_type", F.lit("application/x-protobuf"))
+
+
+def nested(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:
+    """JSON envelopes whose items carry a list, a key-value list and bytes as attributes, and a key-value list as body."""
+    good = envelopes(spark, sf_dir, signal)
+    n = F.substring("batch_id", 2, 8).cast("int").cast("string")
+    filled = F.replace(F.replace(F.lit(NESTED), F.lit("<n>"), n), F.lit("<bytes>"), F.base64(F.col("batch_id").cast("binary")))
+    text = F.col("payload").cast("string")
+    if signal == METRICS:
+        text = F.replace(text, F.lit('"timeUnixNano":'), F.concat(F.lit('"attributes":['), filled, F.lit('],"timeUnixNano":')))
+    else:
+        text = F.replace(text, F.lit('"attributes":['), F.concat(F.lit('"attributes":['), filled, F.lit(",")))
+    body = F.regexp_replace(
+        text, r'"body":\{"stringValue":("[^"]*")\}',
+        r'"body":{"kvlistValue":{"values":[{"key":"text","value":{"stringValue":$1}},{"key":"n","value":{"doubleValue":0.25}}]}}')
+    return good.withColumn("payload", body.cast("binary"))
+
+
+NESTED = (
+    '{"key":"route","value":{"arrayValue":{"values":[{"stringValue":"hop-<n>"},{"intValue":"<n>"},{"boolValue":true},'
+    '{"arrayValue":{"values":[{"doubleValue":0.5}]}}]}}},'
+    '{"key":"caller","value":{"kvlistValue":{"values":[{"key":"id","value":{"intValue":"7"}},'
+    '{"key":"id","value":{"intValue":"<n>"}},{"key":"tags","value":{"arrayValue":{"values":[{"stringValue":"a, {b}"}]}}}]}}},'
+    '{"key":"digest","value":{"bytesValue":"<bytes>"}}')
 
 
 def mixed(spark: SparkSession, sf_dir: str, signal: str) -> DataFrame:

@@ -9,6 +9,7 @@ from beaconry.constants import ANALYTICS, ERRORS, LOGS, METRICS, TRACES
 from beaconry.functions.columns import (
     exception_fields, is_error_log, is_error_span, payload_format, service_name)
 from beaconry.functions.maps import nonempty
+from beaconry.functions.values import any_value, attribute, bytes_value, kvlist_values, list_values
 from beaconry.operators.extract import extract_error_logs, extract_error_spans
 from beaconry.operators.stats import (
     batch_service_names, batch_stats, count_logs, count_metrics, count_spans, estimate_items, max_severity,
@@ -145,6 +146,63 @@ def a9(spark: SparkSession, d: str) -> DataFrame:
     return _point_rows(otlp.metric_points(otlp.decode_metrics_proto(fx.proto_envelopes(spark, d, METRICS))))
 
 
+_NESTED = """'hop-' || batch_no AS hop, 4 AS hops, batch_no AS n, true AS flag, 0.5::double AS half, batch_no AS caller_id,
+  'a, {b}' AS tag, batch_id AS digest"""
+
+
+def _nested_columns(attributes: Column) -> list[Column]:
+    """What the list, the key-value list and the bytes of ``fx.nested`` hold, opened level by level or as VARIANT."""
+    route, caller = attribute(attributes, "route"), kvlist_values(attribute(attributes, "caller"))
+    hops = list_values(route)
+    return [
+        F.try_variant_get(any_value(route), "$.values[0].stringValue", "string").alias("hop"), F.size(hops).alias("hops"),
+        F.get(hops, F.lit(1))["intValue"].cast("bigint").alias("n"), F.get(hops, F.lit(2))["boolValue"].alias("flag"),
+        F.get(list_values(F.get(hops, F.lit(3))), F.lit(0))["doubleValue"].alias("half"),
+        caller["id"]["intValue"].cast("bigint").alias("caller_id"),
+        F.get(list_values(caller["tags"]), F.lit(0))["stringValue"].alias("tag"),
+        bytes_value(attribute(attributes, "digest")).cast("string").alias("digest")]
+
+
+def _nested_logs(logs: DataFrame) -> DataFrame:
+    return logs.select("batch_id", "span_id", "body", kvlist_values(F.col("body_value"))["text"]["stringValue"].alias("body_text"),
+                       *_nested_columns(F.col("attributes")))
+
+
+_NESTED_LOGS = sql(f"SELECT batch_id, span_id, cast(NULL AS varchar) AS body, body AS body_text, {_NESTED} FROM log")
+_NESTED_POINTS = sql(f"""SELECT DISTINCT batch_id, svc AS service_name, name, {_NESTED}
+  FROM ev, (VALUES ('events.total'), ('value.last'), ('value.dist')) m(name)""")
+
+
+@query("a3_nested_values", sql(f"SELECT batch_id, span_id, {_NESTED} FROM sp"))
+def a3_nested(spark: SparkSession, d: str) -> DataFrame:
+    spans = otlp.decode_spans(fx.nested(spark, d, TRACES))
+    return spans.select("batch_id", "span_id", *_nested_columns(F.col("attributes")))
+
+
+@query("a5_nested_values", _NESTED_POINTS)
+def a5_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _nested_points(otlp.decode_metrics(fx.nested(spark, d, METRICS)))
+
+
+def _nested_points(metrics: DataFrame) -> DataFrame:
+    return otlp.metric_points(metrics).select("batch_id", "service_name", "name", *_nested_columns(F.col("attributes")))
+
+
+@query("a6_nested_values", _NESTED_LOGS)
+def a6_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _nested_logs(otlp.decode_logs(fx.nested(spark, d, LOGS)))
+
+
+@query("a8_nested_values_proto", _NESTED_LOGS)
+def a8_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _nested_logs(otlp.decode_logs_proto(fx.as_proto(fx.nested(spark, d, LOGS), LOGS)))
+
+
+@query("a9_nested_values_proto", _NESTED_POINTS)
+def a9_nested(spark: SparkSession, d: str) -> DataFrame:
+    return _nested_points(otlp.decode_metrics_proto(fx.as_proto(fx.nested(spark, d, METRICS), METRICS)))
+
+
 @query("p5_extract_error_logs_proto", sql("""SELECT batch_id, span_id, svc AS service_name, body AS message,
   sev AS severity_number, exc_type, exc_msg, 6 + has_exc::int + has_msg::int AS attribute_count,
   regexp_replace(cast(value AS varchar), '\\.0$', '') AS raw_text FROM log WHERE proto_error"""))

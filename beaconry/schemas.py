@@ -13,6 +13,8 @@ HEADER_COLUMNS = (
 
 ANY_VALUE = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double>"
 ATTRIBUTES = f"array<struct<key:string,value:{ANY_VALUE}>>"
+# The value with its nested and binary kinds too: lists and key-value lists as their JSON text, bytes as base64.
+FULL_VALUE = f"{ANY_VALUE[:-1]},arrayValue:string,kvlistValue:string,bytesValue:string>"
 RESOURCE = f"struct<attributes:{ATTRIBUTES}>"
 SCOPE = "struct<name:string,version:string>"
 
@@ -61,6 +63,8 @@ TREE = {
     LOGS: ("resourceLogs", "scopeLogs", "logRecords"),
 }
 ITEM = {TRACES: SPAN, METRICS: METRIC, LOGS: LOG_RECORD}
+# Items with every kind of attribute value, and a log body of any kind.
+WHOLE_ITEM = {s: item.replace(ANY_VALUE, FULL_VALUE) for s, item in ITEM.items()}
 # What tells an error apart from other items.
 ERROR_SIGNS = {
     TRACES: "struct<events:array<struct<name:string>>,status:struct<code:int>>",

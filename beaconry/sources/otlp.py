@@ -15,7 +15,7 @@ from beaconry.constants import JSON, LOGS, METRICS, PROTOBUF, TRACES
 from beaconry.functions.columns import attrs_map, body_text, nano_ts, service_name
 from beaconry.functions.maps import let, nonempty, record
 from beaconry.functions.reuse import reused
-from beaconry.schemas import HEADER_COLUMNS, TREE, document
+from beaconry.schemas import HEADER_COLUMNS, TREE, WHOLE_ITEM, document
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.proto import decode_documents
 
@@ -33,10 +33,10 @@ def parse_json(payload: Column, signal: str, item: str | None = None, resources:
 
 
 def decode_json(envelopes: DataFrame, signal: str) -> DataFrame:
-    """JSON envelopes of one signal with their parsed document."""
+    """JSON envelopes of one signal with their parsed document, attribute values of every kind in it."""
     return json_branch(envelopes, signal).select(
         *[c for c in HEADER_COLUMNS if c in envelopes.columns],
-        F.lit(JSON).alias("source_format"), parse_json(F.col("payload"), signal).alias("doc"))
+        F.lit(JSON).alias("source_format"), parse_json(F.col("payload"), signal, WHOLE_ITEM[signal]).alias("doc"))
 
 
 def decode_proto(envelopes: DataFrame, signal: str, item: str | None = None, resources: bool = True) -> DataFrame:
@@ -98,7 +98,7 @@ def flatten_logs(decoded: DataFrame, fmt: Format = None) -> DataFrame:
         *_common(flat), x["timeUnixNano"].alias("time_unix_nano"),
         nano_ts(x["timeUnixNano"], F.col("received_at"), format_of(fmt)).alias("ts"),
         F.coalesce(x["severityNumber"], F.lit(0)).alias("severity_number"),
-        x["severityText"].alias("severity_text"), body_text(x["body"]).alias("body"),
+        x["severityText"].alias("severity_text"), body_text(x["body"]).alias("body"), x["body"].alias("body_value"),
         x["traceId"].alias("trace_id"), x["spanId"].alias("span_id"), x["attributes"].alias("attributes"))
 
 
@@ -133,15 +133,15 @@ def decode_logs(envelopes: DataFrame) -> DataFrame:
 
 
 def decode_spans_proto(envelopes: DataFrame) -> DataFrame:
-    return flatten_spans(decode_proto(envelopes, TRACES), PROTOBUF)
+    return flatten_spans(decode_proto(envelopes, TRACES, WHOLE_ITEM[TRACES]), PROTOBUF)
 
 
 def decode_metrics_proto(envelopes: DataFrame) -> DataFrame:
-    return flatten_metrics(decode_proto(envelopes, METRICS), PROTOBUF)
+    return flatten_metrics(decode_proto(envelopes, METRICS, WHOLE_ITEM[METRICS]), PROTOBUF)
 
 
 def decode_logs_proto(envelopes: DataFrame) -> DataFrame:
-    return flatten_logs(decode_proto(envelopes, LOGS), PROTOBUF)
+    return flatten_logs(decode_proto(envelopes, LOGS, WHOLE_ITEM[LOGS]), PROTOBUF)
 
 
 # Point column -> (document field, type).

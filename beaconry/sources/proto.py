@@ -8,6 +8,7 @@ batch-wise with ``mapInArrow``: one narrow pass per partition, no shuffle.
 from __future__ import annotations
 
 import json
+from base64 import b64encode
 from functools import lru_cache
 from typing import Any, Iterator, Sequence
 
@@ -176,11 +177,22 @@ def _reader(spark_type: T.DataType, descriptor: Any, field_name: str = "") -> An
         return read
     if field_name.endswith(("trace_id", "span_id")):
         return lambda v: v.hex() or None
+    if field_name == "bytes_value":
+        return lambda v: b64encode(v).decode()
+    if descriptor is not None:  # a message wanted as text
+        return _json_text
     if isinstance(spark_type, T.StringType):
         return str
     return lambda v: v
 
 
+def _json_text(message: Any) -> str:
+    """A message as the JSON text that a JSON document would hold."""
+    from google.protobuf.json_format import MessageToDict
+
+    return json.dumps(MessageToDict(message), separators=(",", ":"), ensure_ascii=False)
+
+
 def decode_documents(envelopes: DataFrame, signal: str, carry: Sequence[str] = (), item: str | None = None,
                      resources: bool = True) -> DataFrame:
     """Decode protobuf payloads; an undecodable one keeps its row with a null ``doc``.
