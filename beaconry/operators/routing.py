@@ -157,3 +157,32 @@ def routed_payloads(envelopes: DataFrame, signal: str, sinks: Sequence[SinkConfi
         return routed
     binary = decode_documents(proto_branch(envelopes, LOGS), LOGS, ("signal", "content_type", "payload"), RATED, False)
     return routed.unionByName(decided(binary, max_severity_of(F.col("doc"))))
+
+
+ROUTED = "batch_id string, received_at timestamp, signal string, content_type string, payload binary"
+
+
+class StoredPayloads:
+    """Routed payloads written once for several sinks, each payload once, below the set of sinks that take it.
+
+    The set is the partition, so a sink's scan reads its own payloads and decides nothing again. Payloads that no sink
+    takes are not written. Writing again replaces what was there.
+    """
+
+    def __init__(self, routed: DataFrame, sinks: Sequence[SinkConfig], path: str):
+        self.spark, self.path = routed.sparkSession, path
+        self.names = sorted({c.sink for c in sinks if c.takes == PAYLOAD})
+        names = F.array(*[F.lit(n) for n in self.names])
+        places = F.array_sort(F.transform(
+            F.filter("routes", lambda r: r["decision"] == DELIVERED), lambda r: F.array_position(names, r["sink"])))
+        marked = routed.withColumn("places", places).drop("routes")
+        taken = F.array_join(F.transform("places", lambda n: n.cast("string")), ".")
+        kept = marked.select(*[c for c in marked.columns if c != "places"], F.explode(
+            F.when(F.size("places") > 0, F.array(taken))).alias("taken"))
+        kept.write.mode("overwrite").partitionBy("taken").parquet(path)
+
+    def of(self, sink: str) -> DataFrame:
+        """What one sink gets."""
+        stored = self.spark.read.schema(f"{ROUTED}, taken string").parquet(self.path)
+        place = self.names.index(sink) + 1 if sink in self.names else 0
+        return stored.filter(F.concat(F.lit("."), "taken", F.lit(".")).contains(f".{place}.")).drop("taken")

@@ -23,6 +23,7 @@ from beaconry.plans.registry import query
 from beaconry.plans.scratch import shared_folder, written
 from beaconry.plans.sql import safe, sql
 from beaconry.sinks.base import callable_sink, table_sink
+from beaconry.sinks.committed import committed_sink, read_committed
 from beaconry.sinks.fanout import Ledger, fan_out, publish_audit, sink_delivery, write_payloads
 from beaconry.sinks.retry import Rejected, analytics_policy
 from beaconry.sources.envelopes import stream_envelopes
@@ -121,6 +122,42 @@ def r6(spark: SparkSession, d: str) -> DataFrame:
         "batch_id", "sink", (F.col("got") == F.col("want")).alias("intact"))
 
 
+@query("r14_one_pass", sql("""SELECT batch_id, sink, true AS intact FROM bt,
+  (VALUES ('log_store', 13), ('all_signals', 0)) s(sink, low) WHERE max_sev >= low"""))
+def r14_one_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and routed payloads are written once; four sinks read those."""
+    env, path = written(fx.mixed(spark, d, LOGS)), shared_folder(spark)
+    sinks = [table_sink(LOG_STORE, f"{path}/log_store"), table_sink(ALL_SIGNALS, f"{path}/all_signals"),
+             table_sink(ERROR_TRACKER, f"{path}/errors", "error_events"), table_sink("batches", f"{path}/batches", "batches")]
+    run_batch(env, LOGS, sinks, Ledger(spark, f"{path}/ledger"), 1, CTX, OPTS, SINKS, table=f"{path}/stats",
+              payloads=f"{path}/payloads")
+    back = [spark.read.parquet(f"{path}/{name}").select("batch_id", F.lit(name).alias("sink"), F.md5("payload").alias("got"))
+            for name in (LOG_STORE, ALL_SIGNALS)]
+    return back[0].unionByName(back[1]).join(env.select("batch_id", F.md5("payload").alias("want")), "batch_id").select(
+        "batch_id", "sink", (F.col("got") == F.col("want")).alias("intact"))
+
+
+@query("r15_committed_sink", rsql("""SELECT batch_id, sig.n AS items, errors FROM sig WHERE signal = 'logs'"""))
+def r15_committed(spark: SparkSession, d: str) -> DataFrame:
+    """A sink that commits: the first delivery fails midway, its retry and a second run of the epoch leave one copy."""
+    path, tries = shared_folder(spark), []
+    whole = committed_sink("mine", path, "batches")
+
+    def write(df: DataFrame, epoch: int) -> None:
+        tries.append(epoch)
+        rows = df.select("batch_id", F.col("item_count").alias("items"), F.col("error_count").alias("errors"))
+        if len(tries) == 1:
+            torn = F.when(F.substring("batch_id", 2, 8).cast("int") % 64 == 63, F.raise_error("torn write")).otherwise(F.col("items"))
+            rows = rows.withColumn("items", torn.cast("bigint"))
+        whole.write(rows, epoch)
+
+    env = written(fx.mixed(spark, d, LOGS))
+    for _ in range(2):
+        run_batch(env, LOGS, [callable_sink("mine", write, "batches", analytics_policy(1))], Ledger(spark, shared_folder(spark)),
+                  1, configs=[SinkConfig(LOGS, "mine")])
+    return read_committed(spark, path)
+
+
 @query("r6_write_twice", sql("""SELECT signal, count(*) AS payloads FROM (
   SELECT 'logs' AS signal FROM bt UNION ALL SELECT 'traces' FROM bt) GROUP BY signal"""))
 def r6_twice(spark: SparkSession, d: str) -> DataFrame:

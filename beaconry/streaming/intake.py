@@ -16,7 +16,7 @@ from beaconry.context import CollectorOptions, Context
 from beaconry.operators.analytics import pack_batches
 from beaconry.operators.counters import forwarded_counters, run_metrics
 from beaconry.operators.errors import deliverable
-from beaconry.operators.routing import SinkConfig, default_sinks, delivered_to, routed_payloads
+from beaconry.operators.routing import SinkConfig, StoredPayloads, default_sinks, delivered_to, routed_payloads
 from beaconry.plans.process import (
     Processed, process_analytics, process_errors, process_logs, process_metrics, process_traces)
 from beaconry.sinks.base import Sink
@@ -36,10 +36,20 @@ def unless_disabled(rows: DataFrame, configs: Sequence[SinkConfig], sink: str, s
 
 
 def sink_views(envelopes: DataFrame, done: Processed, configs: Sequence[SinkConfig],
-               json_only: bool = False) -> Mapping[str, Callable[[str], DataFrame]]:
-    """What a sink may ask for: routed payloads, error events, capture documents or batch rows."""
+               json_only: bool = False, payloads: str | None = None) -> Mapping[str, Callable[[str], DataFrame]]:
+    """What a sink may ask for: routed payloads, error events, capture documents or batch rows.
+
+    ``payloads``: where the routed payloads are written, once, before the first sink that takes any; without it
+    each such sink decides its own from the envelopes.
+    """
+    stored: list[StoredPayloads] = []
 
     def payload(sink: str) -> DataFrame:
+        if payloads is not None and not stored:
+            mine = [c for c in configs if c.signal == done.signal]
+            stored.append(StoredPayloads(routed_payloads(envelopes, done.signal, configs, json_only), mine, payloads))
+        if stored:
+            return stored[0].of(sink)
         return delivered_to(routed_payloads(envelopes, done.signal, configs, json_only), sink).drop("routes")
 
     return {
@@ -67,9 +77,11 @@ def forwarded_by(done: Processed, sinks: Sequence[Sink], outcomes: Mapping[str,
 def run_batch(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], ledger: Ledger, epoch: int,
               ctx: Context = Context(), opts: CollectorOptions = CollectorOptions(),
               configs: Sequence[SinkConfig] | None = None, audit_sink: Sink | None = None,
-              table: str | None = None, metrics: str | None = None, **kwargs: Any) -> Processed:
+              table: str | None = None, metrics: str | None = None, payloads: str | None = None, **kwargs: Any) -> Processed:
     """Process one batch of envelopes, deliver it, then publish its audit events with the time that took.
 
+    With ``table`` and ``payloads`` the statistics and the routed payloads are written once and every sink reads those.
+
     ``metrics`` names the table that the run's own counters go to, one folder per run, signal and epoch: items ingested, errors
     forwarded, processing time and errors by type, among them an audit transport that failed. If processing fails, that
     is counted there and raised.
@@ -83,7 +95,7 @@ def run_batch(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], ledger:
     try:
         done = PROCESS[signal](envelopes, ctx, opts, configs, **kwargs)
         outcomes = fan_out(
-            sink_views(envelopes, done, configs, kwargs.get("json_only", False)), sinks, epoch, ledger)
+            sink_views(envelopes, done, configs, kwargs.get("json_only", False), payloads), sinks, epoch, ledger)
         single = ledger.failed_batches(epoch)
         took = int(1000 * (time.monotonic() - began))
         audit = done.audit(failed_sinks(outcomes), F.lit(took), None if single.isEmpty() else single)
@@ -117,7 +129,7 @@ def process_stream(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], led
                    ctx: Context = Context(), opts: CollectorOptions = CollectorOptions(),
                    configs: Sequence[SinkConfig] | None = None, audit_sink: Sink | None = None,
                    table_root: str | None = None, trigger: Mapping[str, Any] | None = None,
-                   metrics: str | None = None, **kwargs: Any) -> StreamingQuery:
+                   metrics: str | None = None, payload_root: str | None = None, **kwargs: Any) -> StreamingQuery:
     """Run a signal continuously.
 
     ``foreachBatch`` is at least once; the ledger and per-epoch tables make a repeated epoch write
@@ -128,7 +140,8 @@ def process_stream(envelopes: DataFrame, signal: str, sinks: Sequence[Sink], led
     def each(batch: DataFrame, epoch: int) -> None:
         ledger = Ledger(spark, ledger_path, run_of(checkpoint))
         table = f"{table_root}/epoch={epoch}" if table_root else None
-        run_batch(batch, signal, sinks, ledger, epoch, ctx, opts, configs, audit_sink, table, metrics, **kwargs)
+        payloads = f"{payload_root}/epoch={epoch}" if payload_root else None
+        run_batch(batch, signal, sinks, ledger, epoch, ctx, opts, configs, audit_sink, table, metrics, payloads, **kwargs)
 
     writer = envelopes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
