@@ -12,7 +12,7 @@ from beaconry.operators.enrich import (
     attribute_batches, enrich_errors, enrich_events, enrich_properties, enrich_resource, enrich_span,
     ingestion_metadata, set_span_tags, stamp_resource, with_context)
 from beaconry.operators.errors import explode_errors, log_errors_to_events, span_errors_to_events
-from beaconry.operators.stats import profile_json
+from beaconry.operators.stats import profile_batches
 from beaconry.plans import fixtures as fx
 from beaconry.plans.registry import query
 from beaconry.plans.sql import CUT_KEY, LONG_KEY, sql, values
@@ -128,7 +128,7 @@ _META = values(("service.name", "source_name", "true"), (KEY("environment"), "'p
 
 @query("d6_ingestion_metadata", sql(f"SELECT batch_id, m.key, m.value FROM hd, LATERAL {_META} m"))
 def d6(spark: SparkSession, d: str) -> DataFrame:
-    stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS, records=False))
+    stats = attribute_batches(profile_batches(fx.mixed(spark, d, LOGS), LOGS, records=False))
     even = F.substring("batch_id", 2, 8).cast("int") % 2 == 0
     ctx = Context("corr-ctx", F.when(even, F.col("batch_id")).otherwise(""), F.col("source_node_id"), "")
     return ingestion_metadata(stats, ctx, OPTS).select("batch_id", F.explode(nonempty(F.col("metadata"))).alias("key", "value"))
@@ -213,17 +213,19 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
   FROM hd, (VALUES ('logs'), ('traces'), ('metrics')) s(signal)"""))
 def d11(spark: SparkSession, d: str) -> DataFrame:
     def one(signal: str) -> DataFrame:
-        return attribute_batches(profile_json(fx.envelopes(spark, d, signal), signal, records=False)).select(
+        return attribute_batches(profile_batches(fx.mixed(spark, d, signal), signal, records=False)).select(
             "batch_id", "signal", "source_name", "source_node_id", "batch_tenant")
 
     return one(LOGS).unionByName(one(TRACES)).unionByName(one(METRICS))
 
 
+# Protobuf batches, the even ones, also show doubles.
+_RAW = ("raw", "regexp_replace(cast(value AS varchar), '\\.0$', '')", "batch_no % 2 = 0")
 _SPAN_TAGS = values(
     ("span.name", "CASE WHEN k % 10 = 0 THEN 'overwritten' ELSE 'GET /' || event_type END", "true"),
     ("tenant_id", "coalesce(batch_tenant, 'tenant-ctx')", "true"), ("trace.id", "trace_id", "true"),
     ("span.id", "span_id", "true"), ("service.name", "svc", "true"), ("http.method", "'GET'", "true"),
-    ("k", "k", "true"), ("big", "big", "true"), (CUT_KEY, "'long'", "true"))
+    ("k", "k", "true"), ("big", "big", "true"), _RAW, (CUT_KEY, "'long'", "true"))
 
 
 @query("r1_span_errors_to_events", sql(f"""SELECT batch_id, svc AS source_name,
@@ -233,7 +235,7 @@ _SPAN_TAGS = values(
   FROM (SELECT sp.*, hd.batch_tenant, hd.received_ms FROM sp JOIN hd USING (batch_id) WHERE is_error) s,
   LATERAL {_SPAN_TAGS} m"""))
 def r1(spark: SparkSession, d: str) -> DataFrame:
-    stats = attribute_batches(profile_json(fx.envelopes(spark, d, TRACES), TRACES))
+    stats = attribute_batches(profile_batches(fx.mixed(spark, d, TRACES), TRACES))
     extra = F.col("extra")
     return span_errors_to_events(explode_errors(stats), CTX, OPTS).select(
         "batch_id", "source_name", "message", "severity", "correlation_id", "operation_id", "node_id", "environment",
@@ -244,7 +246,7 @@ def r1(spark: SparkSession, d: str) -> DataFrame:
 _LOG_TAGS = values(
     ("tenant_id", "coalesce(batch_tenant, 'tenant-ctx')", "true"), ("trace.id", "trace_id", "true"),
     ("span.id", "span_id", "true"), ("severity.text", "sev_text", "true"), ("severity.number", "sev", "true"),
-    ("service.name", "source_name", "true"), ("k", "k", "true"), ("cents", "cents", "true"), ("big", "big", "true"),
+    ("service.name", "source_name", "true"), ("k", "k", "true"), ("cents", "cents", "true"), ("big", "big", "true"), _RAW,
     ("dup", "'last'", "true"), (CUT_KEY, "'long'", "true"), ("exception.type", "exc_type", "has_exc"),
     ("exception.message", "exc_msg", "has_msg"))
 
@@ -253,10 +255,10 @@ _LOG_TAGS = values(
   CASE WHEN sev >= 21 THEN 4 WHEN sev >= 17 THEN 3 WHEN sev >= 13 THEN 2 WHEN sev >= 9 THEN 1 ELSE 0 END AS severity,
   ms AS ts_ms, trace_id AS correlation_id, span_id AS operation_id, 'node-ctx' AS node_id, 'prod' AS environment,
   exc_type AS exception_type, exc_msg AS exception_message, m.key, m.value
-  FROM (SELECT log.*, hd.batch_tenant, hd.source_name FROM log JOIN hd USING (batch_id) WHERE json_error) l,
+  FROM (SELECT log.*, hd.batch_tenant, hd.source_name FROM log JOIN hd USING (batch_id) WHERE mixed_error) l,
   LATERAL {_LOG_TAGS} m"""))
 def r2(spark: SparkSession, d: str) -> DataFrame:
-    stats = attribute_batches(profile_json(fx.envelopes(spark, d, LOGS), LOGS))
+    stats = attribute_batches(profile_batches(fx.mixed(spark, d, LOGS), LOGS))
     extra = F.col("extra")
     return log_errors_to_events(explode_errors(stats), CTX, OPTS).select(
         "batch_id", "source_name", "message", "severity", F.unix_millis("ts").alias("ts_ms"), "correlation_id",
