@@ -103,6 +103,9 @@ _POINTS = sql("""SELECT batch_id, svc AS service_name, m.name, arg_max(ms, event
   FROM ev, (VALUES ('events.total'), ('value.last'), ('value.dist')) m(name) GROUP BY batch_id, svc, m.name""")
 
 
+_POINT_COLUMNS = ("as_int", "as_double", "count", "sum", "min", "max", "bucket_counts")
+
+
 def _point_rows(points: DataFrame) -> DataFrame:
     return points.select(
         "batch_id", "service_name", "name", ms("ts").alias("point_ms"), "as_int",
@@ -113,7 +116,7 @@ def _point_rows(points: DataFrame) -> DataFrame:
 
 @query("a5_metric_points", _POINTS)
 def a5(spark: SparkSession, d: str) -> DataFrame:
-    return _point_rows(otlp.metric_points(otlp.decode_metrics(fx.envelopes(spark, d, METRICS))))
+    return _point_rows(otlp.decode_points(fx.envelopes(spark, d, METRICS), _POINT_COLUMNS))
 
 
 _LOGS = sql("""SELECT batch_id, svc AS service_name, ms AS ts_ms, sev AS severity_number, sev_text AS severity_text, body,
@@ -143,7 +146,7 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a9_decode_metrics_proto", _POINTS)
 def a9(spark: SparkSession, d: str) -> DataFrame:
-    return _point_rows(otlp.metric_points(otlp.decode_metrics_proto(fx.proto_envelopes(spark, d, METRICS))))
+    return _point_rows(otlp.decode_points_proto(fx.proto_envelopes(spark, d, METRICS), _POINT_COLUMNS))
 
 
 _NESTED = """'hop-' || batch_no AS hop, 4 AS hops, batch_no AS n, true AS flag, 0.5::double AS half, batch_no AS caller_id,

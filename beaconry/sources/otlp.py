@@ -6,16 +6,17 @@ A payload is parsed once into a ``doc`` column; ``payload`` itself never travels
 
 from __future__ import annotations
 
-from typing import Callable, Union
+from typing import Callable, Iterable, Mapping, Sequence, Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beaconry.constants import JSON, LOGS, METRICS, PROTOBUF, TRACES
 from beaconry.functions.columns import attrs_map, body_text, nano_ts, service_name
 from beaconry.functions.maps import let, nonempty, record
 from beaconry.functions.reuse import reused
-from beaconry.schemas import HEADER_COLUMNS, TREE, WHOLE_ITEM, document
+from beaconry.schemas import ANY_VALUE, FULL_VALUE, HEADER_COLUMNS, POINT, TREE, WHOLE_ITEM, document
 from beaconry.sources.envelopes import json_branch, proto_branch
 from beaconry.sources.proto import decode_documents
 
@@ -32,11 +33,14 @@ def parse_json(payload: Column, signal: str, item: str | None = None, resources:
     return F.from_json(payload.cast("string"), document(signal, item, resources))
 
 
-def decode_json(envelopes: DataFrame, signal: str) -> DataFrame:
-    """JSON envelopes of one signal with their parsed document, attribute values of every kind in it."""
+def decode_json(envelopes: DataFrame, signal: str, item: str | None = None) -> DataFrame:
+    """JSON envelopes of one signal with their parsed document.
+
+    ``item``: struct type of what is wanted of an item, None for all of it with attribute values of every kind.
+    """
     return json_branch(envelopes, signal).select(
         *[c for c in HEADER_COLUMNS if c in envelopes.columns],
-        F.lit(JSON).alias("source_format"), parse_json(F.col("payload"), signal, WHOLE_ITEM[signal]).alias("doc"))
+        F.lit(JSON).alias("source_format"), parse_json(F.col("payload"), signal, item or WHOLE_ITEM[signal]).alias("doc"))
 
 
 def decode_proto(envelopes: DataFrame, signal: str, item: str | None = None, resources: bool = True) -> DataFrame:
@@ -80,26 +84,61 @@ def _common(flat: DataFrame) -> list[str]:
     return [c for c in flat.columns if c != "x"]
 
 
-def flatten_spans(decoded: DataFrame, fmt: Format = None) -> DataFrame:
+Columns = Union[Sequence[str], None]
+# Column -> field of the item; a time stamp's default is the arrival.
+SPAN_COLUMNS = {
+    "trace_id": "traceId", "span_id": "spanId", "parent_span_id": "parentSpanId", "name": "name", "kind": "kind",
+    "start_ts": "startTimeUnixNano", "end_ts": "endTimeUnixNano", "status_code": "status", "status_message": "status",
+    "attributes": "attributes", "events": "events", "links": "links",
+}
+LOG_COLUMNS = {
+    "time_unix_nano": "timeUnixNano", "ts": "timeUnixNano", "severity_number": "severityNumber",
+    "severity_text": "severityText", "body": "body", "body_value": "body", "trace_id": "traceId", "span_id": "spanId",
+    "attributes": "attributes",
+}
+
+
+def _wanted(fields: Mapping[str, object], columns: Columns) -> list[str]:
+    """The item's columns to make: those named, all of them for None. Columns of the batch are always there."""
+    return [c for c in fields if columns is None or c in columns]
+
+
+def narrowed(struct: str, fields: Iterable[str]) -> str:
+    """The struct type with the named fields alone."""
+    kept = [f for f in T.DataType.fromDDL(struct).fields if f.name in set(fields)]
+    return T.StructType(kept or [T.StructField("_", T.BooleanType())]).simpleString()
+
+
+def _item(signal: str, fields: Mapping[str, str], columns: Columns) -> str:
+    """What must be parsed of an item for these columns."""
+    return WHOLE_ITEM[signal] if columns is None else narrowed(WHOLE_ITEM[signal], [fields[c] for c in _wanted(fields, columns)])
+
+
+def flatten_spans(decoded: DataFrame, fmt: Format = None, columns: Columns = None) -> DataFrame:
     flat, x = flatten(decoded, TRACES, fmt), F.col("x")
     arrival, fmt = F.col("received_at"), format_of(fmt)
-    return flat.select(
-        *_common(flat), x["traceId"].alias("trace_id"), x["spanId"].alias("span_id"),
-        x["parentSpanId"].alias("parent_span_id"), x["name"].alias("name"), x["kind"].alias("kind"),
-        nano_ts(x["startTimeUnixNano"], arrival, fmt).alias("start_ts"),
-        nano_ts(x["endTimeUnixNano"], arrival, fmt).alias("end_ts"),
-        x["status"]["code"].alias("status_code"), x["status"]["message"].alias("status_message"),
-        x["attributes"].alias("attributes"), x["events"].alias("events"), x["links"].alias("links"))
+
+    def column(name: str) -> Column:
+        value = x[SPAN_COLUMNS[name]]
+        if name in ("start_ts", "end_ts"):
+            return nano_ts(value, arrival, fmt)
+        return value[name.removeprefix("status_")] if name.startswith("status_") else value
+
+    return flat.select(*_common(flat), *[column(c).alias(c) for c in _wanted(SPAN_COLUMNS, columns)])
 
 
-def flatten_logs(decoded: DataFrame, fmt: Format = None) -> DataFrame:
+def flatten_logs(decoded: DataFrame, fmt: Format = None, columns: Columns = None) -> DataFrame:
     flat, x = flatten(decoded, LOGS, fmt), F.col("x")
-    return flat.select(
-        *_common(flat), x["timeUnixNano"].alias("time_unix_nano"),
-        nano_ts(x["timeUnixNano"], F.col("received_at"), format_of(fmt)).alias("ts"),
-        F.coalesce(x["severityNumber"], F.lit(0)).alias("severity_number"),
-        x["severityText"].alias("severity_text"), body_text(x["body"]).alias("body"), x["body"].alias("body_value"),
-        x["traceId"].alias("trace_id"), x["spanId"].alias("span_id"), x["attributes"].alias("attributes"))
+
+    def column(name: str) -> Column:
+        value = x[LOG_COLUMNS[name]]
+        if name == "ts":
+            return nano_ts(value, F.col("received_at"), format_of(fmt))
+        if name == "severity_number":
+            return F.coalesce(value, F.lit(0))
+        return body_text(value) if name == "body" else value
+
+    return flat.select(*_common(flat), *[column(c).alias(c) for c in _wanted(LOG_COLUMNS, columns)])
 
 
 def flatten_metrics(decoded: DataFrame, fmt: Format = None) -> DataFrame:
@@ -120,28 +159,30 @@ METRIC_KINDS = {
 }
 
 
-def decode_spans(envelopes: DataFrame) -> DataFrame:
-    return flatten_spans(decode_json(envelopes, TRACES), JSON)
+def decode_spans(envelopes: DataFrame, columns: Columns = None) -> DataFrame:
+    """JSON spans. ``columns`` names the span's columns that are wanted: what they don't need is not parsed."""
+    return flatten_spans(decode_json(envelopes, TRACES, _item(TRACES, SPAN_COLUMNS, columns)), JSON, columns)
 
 
 def decode_metrics(envelopes: DataFrame) -> DataFrame:
     return flatten_metrics(decode_json(envelopes, METRICS), JSON)
 
 
-def decode_logs(envelopes: DataFrame) -> DataFrame:
-    return flatten_logs(decode_json(envelopes, LOGS), JSON)
+def decode_logs(envelopes: DataFrame, columns: Columns = None) -> DataFrame:
+    """JSON log records; ``columns`` as in ``decode_spans``."""
+    return flatten_logs(decode_json(envelopes, LOGS, _item(LOGS, LOG_COLUMNS, columns)), JSON, columns)
 
 
-def decode_spans_proto(envelopes: DataFrame) -> DataFrame:
-    return flatten_spans(decode_proto(envelopes, TRACES, WHOLE_ITEM[TRACES]), PROTOBUF)
+def decode_spans_proto(envelopes: DataFrame, columns: Columns = None) -> DataFrame:
+    return flatten_spans(decode_proto(envelopes, TRACES, _item(TRACES, SPAN_COLUMNS, columns)), PROTOBUF, columns)
 
 
 def decode_metrics_proto(envelopes: DataFrame) -> DataFrame:
     return flatten_metrics(decode_proto(envelopes, METRICS, WHOLE_ITEM[METRICS]), PROTOBUF)
 
 
-def decode_logs_proto(envelopes: DataFrame) -> DataFrame:
-    return flatten_logs(decode_proto(envelopes, LOGS, WHOLE_ITEM[LOGS]), PROTOBUF)
+def decode_logs_proto(envelopes: DataFrame, columns: Columns = None) -> DataFrame:
+    return flatten_logs(decode_proto(envelopes, LOGS, _item(LOGS, LOG_COLUMNS, columns)), PROTOBUF, columns)
 
 
 # Point column -> (document field, type).
@@ -153,10 +194,30 @@ POINT_COLUMNS = {
     "scale": ("scale", None), "zero_count": ("zeroCount", "decimal(20,0)"), "zero_threshold": ("zeroThreshold", None),
     "quantile_values": ("quantileValues", None), "exemplars": ("exemplars", None), "flags": ("flags", None),
 }
+_SIDES = ("positive", "negative")
 _BUCKET_COLUMNS = {"offset": ("offset", None), "counts": ("bucketCounts", "array<decimal(20,0)>")}
 
 
-def metric_points(metrics: DataFrame) -> DataFrame:
+def _points_item(columns: Columns) -> str:
+    """Metrics whose points hold only what these columns need."""
+    if columns is None:
+        return WHOLE_ITEM[METRICS]
+    fields = [field for name, (field, _) in POINT_COLUMNS.items() if name in columns]
+    fields += [side for side in _SIDES for name in _BUCKET_COLUMNS if f"{side}_{name}" in columns]
+    whole = POINT.replace(ANY_VALUE, FULL_VALUE)
+    return WHOLE_ITEM[METRICS].replace(whole, narrowed(whole, fields + ["timeUnixNano"]))
+
+
+def decode_points(envelopes: DataFrame, columns: Columns = None) -> DataFrame:
+    """JSON data points of every kind; ``columns`` names the point's columns that are wanted, as in ``decode_spans``."""
+    return metric_points(flatten_metrics(decode_json(envelopes, METRICS, _points_item(columns)), JSON), columns)
+
+
+def decode_points_proto(envelopes: DataFrame, columns: Columns = None) -> DataFrame:
+    return metric_points(flatten_metrics(decode_proto(envelopes, METRICS, _points_item(columns)), PROTOBUF), columns)
+
+
+def metric_points(metrics: DataFrame, columns: Columns = None) -> DataFrame:
     """One row per data point of every kind, in one pass: the kinds share one point layout."""
     keep = [c for c in metrics.columns if c not in METRIC_KINDS]
     temporality = F.coalesce(*[F.col(f)["aggregationTemporality"] for f in ("sum", "histogram", "exponentialHistogram")])
@@ -169,9 +230,9 @@ def metric_points(metrics: DataFrame) -> DataFrame:
     def value(struct: Column, field: str, kind: str | None) -> Column:
         return struct[field] if kind is None else struct[field].try_cast(kind)
 
-    columns = [value(p, field, kind).alias(name) for name, (field, kind) in POINT_COLUMNS.items()]
-    columns += [value(p[side], field, kind).alias(f"{side}_{name}")
-                for side in ("positive", "negative") for name, (field, kind) in _BUCKET_COLUMNS.items()]
+    made = [value(p, *POINT_COLUMNS[name]).alias(name) for name in _wanted(POINT_COLUMNS, columns)]
+    made += [value(p[side], field, kind).alias(f"{side}_{name}")
+             for side in _SIDES for name, (field, kind) in _BUCKET_COLUMNS.items() if columns is None or f"{side}_{name}" in columns]
     return exploded.select(
-        *keep, "temporality", "monotonic", "point_pos", *columns,
+        *keep, "temporality", "monotonic", "point_pos", *made,
         nano_ts(p["timeUnixNano"], F.col("received_at"), F.col("source_format")).alias("ts"))
