@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,11 @@ def arriving(envelopes: DataFrame, seconds: Column) -> DataFrame:
     return envelopes.withColumn("received_at", F.timestamp_seconds(F.lit(1_800_000_000) + seconds))
 
 
-def _in_turn(path: str, *waves: DataFrame) -> None:
-    """Waves of envelopes as files; the stream takes them one by one in this order."""
+def _in_turn(path: str, run: Callable[[], None], *waves: DataFrame) -> None:
+    """Waves of envelopes, each of as many files as it has tasks; ``run`` takes in what is there as one micro-batch."""
     for wave in waves:
-        wave.coalesce(1).write.mode("append").parquet(path)
+        wave.write.mode("append").parquet(path)
+        run()
 
 
 AGAIN = """SELECT batch_id, 1 + (batch_no % 3 = 1)::int AS deliveries FROM bt UNION ALL
@@ -48,13 +50,15 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
     env = fx.envelopes(spark, d, LOGS)
     new = env.filter(n % 5 == 0)
     renamed = lambda rows, tail: rows.withColumn("batch_id", F.concat("batch_id", F.lit(tail)))
-    _in_turn(f"{path}/in", arriving(env, n % (10 * MINUTE)), arriving(env.filter(n % 3 == 0), n % (10 * MINUTE) + 20 * MINUTE),
+
+    def run() -> None:
+        seen = first_deliveries(stream_envelopes(spark, f"{path}/in", None), "60 minutes")
+        (seen.select("batch_id").writeStream.format("parquet").option("path", f"{path}/out")
+         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+
+    _in_turn(f"{path}/in", run, arriving(env, n % (10 * MINUTE)), arriving(env.filter(n % 3 == 0), n % (10 * MINUTE) + 20 * MINUTE),
              renamed(arriving(new, F.lit(150 * MINUTE)), "-later"), renamed(arriving(new, F.lit(152 * MINUTE)), "-last"),
              arriving(env.filter(n % 3 == 1), n % (10 * MINUTE) + 180 * MINUTE))
-    seen = first_deliveries(stream_envelopes(spark, f"{path}/in", 1), "60 minutes")
-    run = (seen.select("batch_id").writeStream.format("parquet").option("path", f"{path}/out")
-           .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
-    run.awaitTermination()
     return spark.read.parquet(f"{path}/out").groupBy("batch_id").agg(F.count("*").cast("int").alias("deliveries"))
 
 
@@ -68,7 +72,7 @@ X1_SQL = f"""SELECT 'window' AS kind, slot * {_STEP} AS starts, source_name, {sa
 
 @query("x1_windowed_counters", sql(X1_SQL))
 def x1(spark: SparkSession, d: str) -> DataFrame:
-    """Counters by half hour from two runs of one checkpoint: batches, each twice, then one two hours after, then others too late."""
+    """Counters by half hour from runs of one checkpoint: batches, each twice, then one two hours after, then others too late."""
     path, n = shared_folder(spark), batch_number()
     env = fx.envelopes(spark, d, LOGS)
     base = arriving(env, (n.cast("bigint") * 7) % _SPREAD)
@@ -80,16 +84,18 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
     listener = LateBatches(spark, f"{path}/late", name)
     spark.streams.addListener(listener)
 
-    def run() -> None:
-        count_stream(stream_envelopes(spark, f"{path}/in", 1), LOGS, f"{path}/out", f"{path}/checkpoint", "30 minutes", "60 minutes",
+    def run(max_files: int | None = None) -> None:
+        count_stream(stream_envelopes(spark, f"{path}/in", max_files), LOGS, f"{path}/out", f"{path}/checkpoint", "30 minutes", "60 minutes",
                      name=name, trigger={"availableNow": True}).awaitTermination()
         listener.ended.wait(60)
 
     try:
-        _in_turn(f"{path}/in", base, base)
-        run()
-        _in_turn(f"{path}/in", marker, late)
-        run()
+        files = 0
+        for _ in range(2):  # two micro-batches of one run: both waves have the same files
+            base.write.mode("append").parquet(f"{path}/in")
+            files = files or len(spark.read.parquet(f"{path}/in").inputFiles())
+        run(files)
+        _in_turn(f"{path}/in", run, marker, late)
         rows = spark.read.parquet(f"{path}/out").select(
             F.lit("window").alias("kind"), F.unix_seconds("window_start").alias("starts"), "source_name", "tenant_id", "value")
         dropped = late_batches(spark, f"{path}/late").agg(F.sum("late_batches").alias("value"))

@@ -94,3 +94,13 @@ def test_copies_within_one_micro_batch(envelope, spark, tmp_path):
              .option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
     query.awaitTermination()
     assert sorted(r.batch_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["q1", "q2"]
+
+
+def test_waves_are_written_by_many_tasks(spark, tmp_path):
+    """A wave of envelopes is one micro-batch, but no single task writes or reads it."""
+    from beaconry.plans.queries_streams import _in_turn
+
+    seen = []
+    waves = [spark.range(start, start + 100, 1, 4) for start in (0, 100)]
+    _in_turn(f"{tmp_path}/in", lambda: seen.append(len(spark.read.parquet(f"{tmp_path}/in").inputFiles())), *waves)
+    assert seen == [4, 8]
