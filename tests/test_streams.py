@@ -104,3 +104,20 @@ def test_waves_are_written_by_many_tasks(spark, tmp_path):
     waves = [spark.range(start, start + 100, 1, 4) for start in (0, 100)]
     _in_turn(f"{tmp_path}/in", lambda: seen.append(len(spark.read.parquet(f"{tmp_path}/in").inputFiles())), *waves)
     assert seen == [4, 8]
+
+
+def test_a_stream_without_pauses_is_stopped(spark, tmp_path):
+    """Micro-batches outlast the trigger, so the stream is never seen idle; it ends all the same, alive until then."""
+    from beaconry.plans.queries_streams import stop_when
+
+    epochs = []
+
+    def slow(df, epoch):
+        time.sleep(1)
+        epochs.append(epoch)
+
+    rows = spark.readStream.format("rate").option("rowsPerSecond", 100).load()
+    run = rows.writeStream.foreachBatch(slow).option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="100 milliseconds").start()
+    began = time.monotonic()
+    assert stop_when(run, lambda: len(epochs) >= 2, patience=5)
+    assert not run.isActive and time.monotonic() - began < 60
