@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterable
+from typing import Any
 
 import numpy as np
 
@@ -41,16 +42,20 @@ def encoder(path: str | None = None) -> "WordEncoder":
     return KEPT[path]
 
 
-def _cuts_plainly(path: str) -> bool:
+def _cuts_plainly(spec: dict) -> bool:
     """Whether a vocabulary lower-cases, cuts by ``CUT`` and marks the last token of a piece."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
     cuts = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
     return kinds == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [CUT] and (
         spec["model"].get("end_of_word_suffix") == WORD_END)
 
 
+def _of_pieces(spec: dict) -> dict:
+    """The same vocabulary for plain pieces, which need no normalizing and are cut at the white space between them."""
+    cuts = [{"type": "WhitespaceSplit"}, *spec["pre_tokenizer"]["pretokenizers"][1:]]
+    return {**spec, "normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": cuts}}
+
+
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
@@ -64,21 +69,24 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.known: dict[str, bytes] = {}
-        self.plain = _cuts_plainly(path)
+        self.plain = _cuts_plainly(spec)
+        self.of_pieces = Tokenizer.from_str(json.dumps(_of_pieces(spec))) if self.plain else self.tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str], tokenizer: Any = None) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_pieces(self, pieces: list[str]) -> Iterable[bytes]:
         """Many pieces as one text, cut again behind each token that ends a piece."""
         for at in range(0, len(pieces), TOGETHER):
             some = pieces[at:at + TOGETHER]
-            raw = self._encode([" ".join(some)])[0]
+            raw = self._encode([" ".join(some)], self.of_pieces)[0]
             stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1)).tolist()
             if len(stops) == len(some):
                 yield from (raw[i:j] for i, j in zip([0, *stops], stops))

@@ -23,3 +23,18 @@ def test_special_tokens_long_words_and_a_full_store(monkeypatch):
     for _ in range(2):
         assert enc.encode(texts) == enc._encode(texts)
     assert all(len(p) <= encoding.LONGEST_KEPT for p in enc.known)
+
+
+def test_plain_pieces_are_not_normalized_and_cut_again():
+    """Pieces of a plain text are lower-case and cut already: they go through the vocabulary alone, with the same ids."""
+    enc = encoding.WordEncoder(public_tokenizers.path(encoding.VOCABULARY))
+    texts = ["Don't stop, we'll see: 42 ÀÉßıŉŽ.", "x" * 500 + " <-- ''s ½²7"]
+    want, seen = enc._encode(texts), []
+
+    class Full:
+        def encode_batch_fast(self, some, **kwargs):
+            seen.extend(some)
+            return whole.encode_batch_fast(some, **kwargs)
+
+    whole, enc.tokenizer = enc.tokenizer, Full()
+    assert enc.encode(texts) == want and seen == []
