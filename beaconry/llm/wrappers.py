@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import html
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -26,8 +27,6 @@ from beaconry.llm.graph import hinted
 
 #: Wrappers of so many hosts are held in a task before they are sent on; groups a hot host's wrappers meet in first.
 HELD_HOSTS, SPLITS = 5_000, 32
-#: Of so many different pages of a host, those with the smallest hashes, it is known which slots they have.
-KEPT_PAGES = 32
 
 # Elements of HTML by their role.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr picture q rp rt "
@@ -211,14 +210,10 @@ def _content(node: list) -> Iterator[str]:
             yield from _content(c)
 
 
-def page_wrapper(page: list) -> list:
-    """A parsed page alone as a wrapper. Pages of equal content count once; a page without any does not count."""
+def content_hash(page: list) -> str | None:
+    """What tells a parsed page from the host's other pages; None if it has no text at all."""
     content = "\n".join(_content(page)) or "\n".join(_all_texts(page))
-    found = [int(_text_hash(content), 16)] if content else []
-    seen = [found, [] if containers(page)[0] else found]
-    root = wrapper_of(page, seen)
-    root[4] = seen
-    return root
+    return hashlib.md5(content.encode("utf-8", "surrogatepass")).hexdigest() if content else None
 
 
 def _all_texts(node: list) -> Iterator[str]:
@@ -229,29 +224,23 @@ def _all_texts(node: list) -> Iterator[str]:
             yield from _all_texts(c)
 
 
-def wrapper_of(node: list, seen: list) -> list:
-    """A page's part alone as a wrapper: its repeated parts are groups already."""
+def wrapper_of(node: list) -> list:
+    """A parsed page, or a part of it, alone as a wrapper: its repeated parts are groups already.
+
+    A slot ends with the numbers it bears, whether a page is known to have it, and the least and greatest hash of its texts.
+    """
     if node[0] in (TEXT, LINKS):
         h = _text_hash(node[1])
-        return [node[0], 0, 0, [], [*seen, h, h]]
-    return [node[0], 0, 0, folded([wrapper_of(c, seen) for c in node[1]]), []]
-
-
-def _least(a: list[int], b: list[int]) -> list[int]:
-    """The smallest of both. A slot's hashes that are among the host's are then all of the host's pages that have it."""
-    if a is b or not b or a and len(a) == KEPT_PAGES and b[0] >= a[-1]:
-        return a
-    return b if not a else sorted({*a, *b})[:KEPT_PAGES]
+        return [node[0], 0, 0, [], [[], 1, h, h]]
+    return [node[0], 0, 0, folded([wrapper_of(c) for c in node[1]]), []]
 
 
 def merged(a: list, b: list) -> list:
     """The wrapper of both, which have one key."""
     stats = a[4]
-    if a[0] in (TEXT, LINKS):
+    if stats:
         x, y = a[4], b[4]
-        stats = [_least(x[0], y[0]), _least(x[1], y[1]), min(x[2], y[2]), max(x[3], y[3])]
-    elif stats:
-        stats = [_least(stats[0], b[4][0]), _least(stats[1], b[4][1])]
+        stats = [x[0] + y[0], x[1] | y[1], min(x[2], y[2]), max(x[3], y[3])]
     return [a[0], a[1] | b[1], a[2] | b[2], aligned(a[3], b[3]), stats]
 
 
@@ -377,19 +366,48 @@ def only_links(node: list) -> bool:
     return node[0] == LINKS if node[0] in (TEXT, LINKS) else all(only_links(c) for c in node[1])
 
 
-def finished(root: list) -> list:
-    """A host's whole wrapper with statistics as they are read: whether a text is the template's, whether it varies."""
-    pages = [set(x) for x in root[4]]
+def numbered(root: list) -> list:
+    """A host's whole wrapper whose slots bear numbers, from 1; 0 stands for the page."""
+    number = itertools.count(1)
+
+    def done(node: list) -> list:
+        if node[0] not in (TEXT, LINKS):
+            return [*node[:3], [done(c) for c in node[3]], []]
+        return [*node[:4], [[next(number)], 0, *node[4][2:]]]
+
+    return done(root)
+
+
+def slots_had(root: list, page: list) -> list[int]:
+    """Numbers of the slots of a numbered wrapper that a parsed page has, by the alignment that wrappers are merged with."""
+    found: set[int] = {0}
+
+    def walk(node: list) -> None:
+        if node[0] in (TEXT, LINKS):
+            if node[4][1]:
+                found.update(node[4][0])
+        else:
+            for c in node[3]:
+                walk(c)
+
+    walk(merged(root, wrapper_of(page)))
+    return sorted(found)
+
+
+def finished(root: list, pages: dict[int, int]) -> list:
+    """A numbered wrapper with statistics as they are read: whether a text is the template's, whether it varies.
 
-    def most(stats: list) -> bool:
+    ``pages``: the number of different pages that have slot i, at 2 * i; of those without a mark, at 2 * i + 1.
+    """
+    def most(numbers: list[int]) -> bool:
         """Whether most pages of the host, or most of those without a mark, have the slot, and two at least."""
-        return any(n > 1 and 2 * n > len(p) for p, x in zip(pages, stats) for n in [len(p.intersection(x))])
+        return any(n > 1 and 2 * n > pages[k] for i in numbers for k in (0, 1) for n in [pages.get(2 * i + k, 0)])
 
     def done(node: list) -> list:
         if node[0] not in (TEXT, LINKS):
             return [*node[:3], [done(c) for c in node[3]], []]
         varies = node[4][2] != node[4][3]
-        return [*node[:4], [int(not varies and most(node[4])), int(varies)]]
+        return [*node[:4], [int(not varies and most(node[4][0])), int(varies)]]
 
     return done(root)
 
@@ -476,7 +494,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
         for b in batches(source, "html"):
             for host, page in zip(b.column("host").to_pylist(), texts_of(b.column("html"))):
-                w = page_wrapper(parse(page))
+                w = wrapper_of(parse(page))
                 held[host] = merged(held[host], w) if host in held else w
             if len(held) >= HELD_HOSTS:
                 yield flush()
@@ -492,11 +510,51 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def last(p: pd.DataFrame) -> pd.DataFrame:
         p = join(p)
-        return p.assign(wrapper=[json.dumps(finished(json.loads(w))) for w in p["wrapper"]])
+        return p.assign(wrapper=[json.dumps(numbered(json.loads(w))) for w in p["wrapper"]])
 
     found = pages.mapInArrow(run, "host string, wrapper string").withColumn("split", F.pmod(F.xxhash64("wrapper"), F.lit(SPLITS)))
     some = found.groupBy("host", "split").applyInPandas(join, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(last, "host string, wrapper string")
+    whole = cut(some.groupBy("host").applyInPandas(last, "host string, wrapper string"))
+
+    def finish(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            done = [json.dumps(finished(json.loads(w), {x["slot"]: x["n"] for x in counts or ()}))
+                    for w, counts in zip(b.column("wrapper").to_pylist(), b.column("counts").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(done, pa.string())], names=["host", "wrapper"])
+
+    # a host's counts are as many as its template has slots
+    counts = slot_counts(pages, whole).groupBy("host").agg(F.collect_list(F.struct("slot", "n")).alias("counts"))
+    return whole.join(counts, "host", "left").select("host", "wrapper", "counts").mapInArrow(finish, "host string, wrapper string")
+
+
+def slot_counts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(host, slot, n): the different pages of a host that have a slot, see ``finished``; every page is counted.
+
+    Pages of equal content count once, a page without any does not count. Only a hash and the slots' numbers are shuffled.
+    """
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
+        for b in batches(source, "html"):
+            rows = []
+            for host, w, html in zip(b.column("host").to_pylist(), b.column("wrapper").to_pylist(), texts_of(b.column("html"))):
+                if host not in known:
+                    if len(known) >= HELD_HOSTS:
+                        known = {}
+                    known[host] = json.loads(w)
+                page = parse(html)
+                content = content_hash(page)
+                if content is not None:
+                    had, marked = slots_had(known[host], page), containers(page)[0]
+                    rows.append((host, content, [2 * i for i in had] + ([] if marked else [2 * i + 1 for i in had])))
+            hosts, contents, slots = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(contents, pa.string()), pa.array(slots, pa.list_(pa.int32()))],
+                names=["host", "content", "slots"])
+
+    seen = pages.join(hinted(wrappers), "host").select("host", "wrapper", "html").mapInArrow(
+        run, "host string, content string, slots array<int>")
+    different = seen.groupBy("host", "content").agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    return different.select("host", F.explode("slots").alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 from beaconry.llm import warc
-from beaconry.llm.wrappers import main_text
+from beaconry.llm.wrappers import _content, main_text, parse
 
 SCHEMA = "page_id long, url string, html string, host string, payload string, wrapper string"
 
@@ -135,3 +135,22 @@ def test_foreign_archive():
 
 def test_no_pages(spark):
     assert texts(spark, []) == {}
+
+
+def test_a_slot_of_a_third_of_all_pages_is_not_the_templates(spark):
+    """A text on 20 of a host's 60 pages, which are those of smallest hash: all pages are counted, not the first of them."""
+    def page(line, i):
+        return f"<html><body>{line}<div><p>Story {i} of the day</p></div></body></html>"
+
+    def low(text):
+        return hashlib.md5("\n".join(_content(parse(text))).encode()).hexdigest() < "8"
+
+    line = "<section>One line</section>"
+    some = [p for p in (page(line, i) for i in range(200)) if low(p)][:20]
+    others = [p for p in (page("", i) for i in range(200, 600)) if not low(p)][:40]
+    rows = [(i, f"http://h/{i}", p) for i, p in enumerate(some + others)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i].startswith("One line\n\nStory") for i in range(20))
+    most = [(i, u, p) for i, u, p in rows if i < 35]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(most, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i].startswith("Story") for i in range(35))
