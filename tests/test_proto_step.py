@@ -6,8 +6,9 @@ import pyarrow as pa
 from google.protobuf.json_format import MessageToDict
 from pyspark.sql import types as T
 
-from beaconry.constants import LOGS
+from beaconry.constants import LOGS, METRICS, TRACES
 from beaconry.plans import fixtures as fx
+from beaconry.plans.proto_columns import messages
 from beaconry.schemas import WHOLE_ITEM, document
 from beaconry.sources import proto
 
@@ -53,3 +54,34 @@ def test_columns_hold_what_messages_hold(spark):
     whole = message.resource_logs[1].scope_logs[0].log_records[0].attributes
     for i, name in ((6, "arrayValue"), (7, "kvlistValue")):
         assert got[i][name] == json.dumps(MessageToDict(whole[i].value)[name], separators=(",", ":"), ensure_ascii=False)
+
+
+def test_columns_are_encoded_as_the_runtime_does(spark):
+    for signal in (LOGS, TRACES, METRICS):
+        text = fx.as_proto(fx.envelopes(spark, SF, signal), signal)
+        columns = fx._encoded(fx._documents(spark, SF, signal), signal)
+        assert columns.columns == text.columns
+        assert text.exceptAll(columns).isEmpty() and columns.exceptAll(text).isEmpty()
+
+
+def test_values_at_their_borders_are_encoded():
+    value = pa.struct([("doubleValue", pa.float64()), ("stringValue", pa.string()), ("boolValue", pa.bool_()), ("intValue", pa.string())])
+    record = pa.struct([("spanId", pa.string()), ("severityNumber", pa.int32()), ("timeUnixNano", pa.string()),
+                        ("severityText", pa.string()), ("body", value), ("attributes", pa.list_(pa.struct([("key", pa.string()), ("value", value)])))])
+    values = [{"stringValue": ""}, {"stringValue": "é" * 70}, {"boolValue": False}, {"intValue": str(-(2 ** 63))}, {"intValue": "127"},
+              {"intValue": "BARE:128"}, {"doubleValue": 0.0}, {"doubleValue": -0.5}, None]
+    rows = [
+        {"timeUnixNano": str(2 ** 64 - 1), "severityNumber": -1, "spanId": "00ff", "severityText": "x" * 20_000,
+         "attributes": [{"key": str(i), "value": v} for i, v in enumerate(values)]},
+        {"severityNumber": 0, "severityText": "", "attributes": []}, {"body": {"intValue": "0"}}]
+    cls = proto.message_class("LogRecord")
+    members = fx._members(cls.DESCRIPTOR, {})
+    got = messages(record, cls.DESCRIPTOR)(pa.array([rows[0], *rows], record).slice(1)).to_pylist()
+    for body, row in zip(got, rows, strict=True):
+        plain = json.loads(json.dumps(row).replace("BARE:", ""), object_pairs_hook=lambda kv: {k: v for k, v in kv if v is not None})
+        assert body == cls(**members(plain)).SerializeToString()
+
+
+def test_metrics_are_dealt_over_tasks_whatever_their_size(spark):
+    tree = fx.document_tree(spark, SF, METRICS)[0]
+    assert "REPARTITION_BY_NUM" in tree._jdf.queryExecution().executedPlan().toString()
