@@ -4,13 +4,14 @@ import json
 
 import pyarrow as pa
 from google.protobuf.json_format import MessageToDict
+from google.protobuf.message import DecodeError
 from pyspark.sql import types as T
 
 from beaconry.constants import LOGS, METRICS, TRACES
 from beaconry.plans import fixtures as fx
 from beaconry.plans.proto_columns import messages
 from beaconry.schemas import WHOLE_ITEM, document
-from beaconry.sources import proto
+from beaconry.sources import proto, wire
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,58 @@ def test_values_at_their_borders_are_encoded():
 def test_metrics_are_dealt_over_tasks_whatever_their_size(spark):
     tree = fx.document_tree(spark, SF, METRICS)[0]
     assert "REPARTITION_BY_NUM" in tree._jdf.queryExecution().executedPlan().toString()
+
+
+def _readers(signal, item):
+    kind = T.DataType.fromDDL(document(signal, item))
+    cls = proto.message_class(proto.ROOT[signal], kind.json())
+    package, left = proto._column(kind, message=cls.DESCRIPTOR), []
+
+    def one(payload):
+        try:
+            return cls.FromString(payload) if payload else None
+        except (DecodeError, UnicodeDecodeError):
+            return None
+
+    def by_package(payloads):
+        left.extend(payloads)
+        return package([one(p) for p in payloads])
+
+    read = wire.reader(kind, cls.DESCRIPTOR)
+    return lambda payloads: wire.documents(pa.array([b"-", *payloads], pa.binary()).slice(1), read, by_package), by_package, left
+
+
+def test_usual_payloads_are_read_without_the_package(spark):
+    for signal in (LOGS, TRACES, METRICS):
+        payloads = [r.payload for r in fx.as_proto(fx.nested(spark, SF, signal), signal).select("payload").collect()]
+        payloads += [r.payload for r in fx.proto_envelopes(spark, SF, signal).select("payload").collect()]
+        for item in (WHOLE_ITEM[signal], None):
+            fast, by_package, left = _readers(signal, item)
+            got = fast(payloads)
+            assert left == [] and repr(got.to_pylist()) == repr(by_package(payloads).to_pylist())
+
+
+def test_unusual_payloads_hold_what_the_package_reads(spark):
+    fast, by_package, left = _readers(LOGS, WHOLE_ITEM[LOGS])
+    usual = fx.proto_envelopes(spark, SF, LOGS).select("payload").first().payload
+
+    def logs(record):  # a document of one record; all lengths below 16,384
+        for tag in (b"\x12", b"\x12", b"\x0a"):
+            n = len(record)
+            record = tag + (bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])) + record
+        return record
+
+    odd = [
+        usual[:-1], usual + usual[:9], b"{ not protobuf", b"\x00", b"\x0b\x0c", b"\x80" * 12,  # broken off, group, endless number
+        logs(b"\x10\x01\x10\x02"), logs(b"\x15\x01\x02\x03\x04"),  # a number twice, in another form
+        logs(b"\x2a\x02\x10\x01\x2a\x03\x0a\x01a"), logs(b"\x2a\x05\x0a\x01a\x10\x01"),  # a body twice, two kinds in it
+        logs(b"\x1a\x02\xff\xfe"), logs(b"\x32\x00" * 300),  # not UTF-8, very many fields
+        logs(b"\x2a\x84\x01\x2a\x81\x01" + b"\x0a\x7f\x0a\x7d" + b"x" * 125)]  # a long list
+    usual_too = [
+        logs(b"\x10\xff\xff\xff\xff\xff\xff\xff\xff\xff\x01"), logs(b"\x10\xff\xff\xff\xff\x1f"), logs(b"\xa0\x06\x01\xaa\x06\x01a"),
+        logs(b"\x2a\x02\x10\x00"), logs(b"\x2a\x09\x21" + b"\x00" * 6 + b"\xf8\x7f"), logs(b""), b"\xfa\x7f\x00"]
+    rows = [None, usual, *odd, b"", *usual_too, usual]
+    got = fast(rows)
+    assert sorted(left) == sorted(odd)
+    got.validate(full=True)
+    assert repr(got.to_pylist()) == repr(by_package(rows).to_pylist()) and fast([None]).to_pylist() == [None] and len(fast([])) == 0
